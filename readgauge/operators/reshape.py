@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 SECTIONS = ("abstract", "summary")
 
 
-def stack_sections(pairs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per text of a pairs frame: ``(doc_id, section, text)``."""
-    return pairs.unpivot(["doc_id"], list(SECTIONS), "section", text)
+def stack_sections(pairs: DataFrame, *keep: str) -> DataFrame:
+    """One row per text of a pairs frame: the kept columns, by default ``doc_id``, ``section`` and ``text``."""
+    rows = [F.struct(F.lit(s).alias("section"), F.col(s).alias("text")) for s in SECTIONS]
+    return pairs.select(*(keep or ("doc_id",)), F.inline(F.array(*rows)))
 
 
 def per_section(pairs: DataFrame, measures) -> DataFrame:

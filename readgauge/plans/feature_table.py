@@ -55,7 +55,7 @@ def feature_table(pairs: DataFrame, model: CorpusModel | None = None, cues=None,
     if model is None:
         model = CorpusModel.fit(stack_sections(pairs), "text")
     keyed = pairs.withColumn("_v", F.xxhash64(*SECTIONS))
-    texts = keyed.unpivot(["doc_id", "_v"], list(SECTIONS), "section", "text")
+    texts = stack_sections(keyed, "doc_id", "_v")
     scores = model.score(texts, "text", ["doc_id", "_v", "section"])
     scored = scores.groupBy("doc_id", "_v").agg(*[
         F.max(F.when(F.col("section") == s, F.col(m))).alias(f"{s}_{m}") for s in SECTIONS for m in CORPUS_MEASURES

@@ -59,7 +59,7 @@ def main() -> None:
     sf_dir, *names = sys.argv[1:]
     spark = build_session(master="local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
+        "spark.ui.showConsoleProgress": "false", "spark.sql.codegen.fallback": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
