@@ -27,26 +27,30 @@ from ..functions import text as tx
 from ..functions.measures import is_content_word
 from ..session import scratch_path
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 
 
-def _followed_words(text: Column) -> Column:
-    """``array<struct<w, nxt>>``: each word with the one after it, null for the last."""
-    words = tx.lower_words(text)
-    tail = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
-    return F.arrays_zip(words.alias("w"), tail.alias("nxt"))
+def _words(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The kept columns and one row per lower-case word ``w``; a text without words has one null."""
+    return df.select(*keep, tx.lower_words(F.col(text)).alias("_ws")).select(*keep, F.explode_outer("_ws").alias("w"))
+
+
+def _followed_words(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """Like ``_words`` with the word after it as ``nxt``, null for the last one."""
+    tail = F.slice("_ws", F.lit(2), F.greatest(F.size("_ws"), F.lit(1)))
+    listed = df.select(*keep, tx.lower_words(F.col(text)).alias("_ws"))
+    return listed.select(*keep, F.inline_outer(F.arrays_zip(F.col("_ws").alias("w"), tail.alias("nxt"))))
 
 
 def count_words(df: DataFrame, text: str) -> DataFrame:
     """``(w, n)`` over all lower-case words."""
-    return df.select(F.explode(tx.lower_words(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return _words(df, text).filter("w IS NOT NULL").groupBy("w").agg(F.count("*").alias("n"))
 
 
 def count_followed(df: DataFrame, text: str) -> DataFrame:
     """``(w, nxt, n)``: neighbouring words, and with a null ``nxt`` the last words."""
-    return df.select(F.inline(_followed_words(F.col(text))).alias("w", "nxt")).groupBy("w", "nxt").agg(
-        F.count("*").alias("n")
-    )
+    followed = _followed_words(df, text).filter("w IS NOT NULL")
+    return followed.groupBy("w", "nxt").agg(F.count("*").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -105,18 +109,26 @@ class CorpusModel:
     def score(self, df: DataFrame, text: str, keys, cwe: bool = True, ppl: bool = True) -> DataFrame:
         """``(keys…, cwe, ppl)`` for every row of ``df``; ``keys`` tell the texts apart."""
         spark, keys = df.sparkSession, list(keys)
-        n_pairs = F.greatest(tx.word_count(F.col(text)) - 1, F.lit(0))
-        parts = [df.select(*keys, n_pairs.cast("long").alias("n_pairs"))]
+        often, seldom = _by_frequency(self.words(spark), self.n_words, self.n_tokens)
         if ppl:
-            followed = df.select(*keys, F.inline(_followed_words(F.col(text))).alias("w", "nxt"))
-            pairs = followed.filter("nxt IS NOT NULL")
-            found = _lookup(pairs, self.pairs(spark), ["w", "nxt"], self.n_pairs, self.n_pair_tokens)
-            parts += [f.select(*keys, "log_pair") for f in found]
+            occurrences = _followed_words(df, text, *keys)
+            often_pairs, seldom_pairs = _by_frequency(self.pairs(spark), self.n_pairs, self.n_pair_tokens)
         else:
-            followed = df.select(*keys, F.explode(tx.lower_words(F.col(text))).alias("w"), F.lit(None).alias("nxt"))
-        found = _lookup(followed, self.words(spark), ["w"], self.n_words, self.n_tokens)
-        context = F.when(F.col("nxt").isNotNull(), F.col("ctx"))
-        parts += [f.select(*keys, "nll", "known_content", context.alias("ctx")) for f in found]
+            occurrences = _words(df, text, *keys).withColumn("nxt", F.lit(None).cast("string"))
+        followed = F.col("nxt").isNotNull()
+        word_terms = ["nll", "known_content", F.when(followed, F.col("ctx")).alias("ctx")]
+
+        # one pass over the texts settles all that the broadcast tables know
+        near = occurrences.join(F.broadcast(often.drop("n")), "w", "left")
+        near_terms = [*word_terms, followed.cast("long").alias("n_pairs")]
+        if ppl:
+            near = near.join(F.broadcast(often_pairs.drop("n")), ["w", "nxt"], "left")
+            near_terms.append("log_pair")
+        parts = [near.select(*keys, *near_terms)]
+        if seldom is not None:
+            parts.append(_rest(occurrences, often, seldom, ["w"]).select(*keys, *word_terms))
+        if ppl and seldom_pairs is not None:
+            parts.append(_rest(occurrences, often_pairs, seldom_pairs, ["w", "nxt"]).select(*keys, "log_pair"))
 
         stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         names = ["n_pairs", "nll", "known_content", "ctx"] + (["log_pair"] if ppl else [])
@@ -131,18 +143,25 @@ class CorpusModel:
         return sums.select(*keys, *measures)
 
 
-def _lookup(occurrences: DataFrame, table: DataFrame, on: list[str], n_rows: int, n_total: int) -> list[DataFrame]:
-    """Frames that together are ``occurrences`` joined to ``table``.
+def _by_frequency(table: DataFrame, n_rows: int, n_total: int) -> tuple[DataFrame, DataFrame | None]:
+    """Split a table of counts into a part small enough to broadcast and the rest.
 
-    A table of at most ``BROADCAST_ROWS`` rows is broadcast. Of a larger one
-    only the rows counted at least ``n_total / BROADCAST_ROWS`` times are, of
-    which there cannot be more than ``BROADCAST_ROWS``. These hold the frequent
-    words, so they never reach a shuffle, and no key left for the shuffled join
-    has more than that share of the training corpus.
+    Up to ``BROADCAST_ROWS`` rows there is no rest. Otherwise the first part has
+    the rows counted at least ``n_total / BROADCAST_ROWS`` times, of which there
+    cannot be more than ``BROADCAST_ROWS``.
     """
     if n_rows <= BROADCAST_ROWS:
-        return [occurrences.join(F.broadcast(table), on)]
+        return table, None
     often = math.ceil(n_total / BROADCAST_ROWS)
-    frequent = table.filter(F.col("n") >= often)
-    rest = occurrences.join(F.broadcast(frequent.select(*on)), on, "left_anti")
-    return [occurrences.join(F.broadcast(frequent), on), rest.join(table.filter(F.col("n") < often), on)]
+    return table.filter(F.col("n") >= often), table.filter(F.col("n") < often)
+
+
+def _rest(occurrences: DataFrame, often: DataFrame, seldom: DataFrame, on: list[str]) -> DataFrame:
+    """The occurrences that only the rest of the table knows.
+
+    Frequent keys are gone before the shuffle, so no key of this join holds more
+    than a ``1 / BROADCAST_ROWS`` share of the training corpus. The merge hint
+    keeps the planner from broadcasting either side on a guess of its size.
+    """
+    left = occurrences.join(F.broadcast(often.select(*on)), on, "left_anti")
+    return left.join(seldom.drop("n").hint("merge"), on)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -60,14 +61,22 @@ class PrincipalComponents:
     def fit(cls, df: DataFrame, columns, k: int | None = None) -> PrincipalComponents:
         """Default ``k``: the number of columns, or one less than the rows if that is smaller."""
         columns = tuple(columns)
-        doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-        stats = doubles.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns]).first()
-        fill = {c: (0.0 if stats[c] is None else stats[c]) for c in columns}
-        filled = doubles.fillna(fill)
-        scaler = Standardizer.fit(filled, columns)
-        k = min(len(columns), stats["n"] - 1) if k is None else k
-        vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(scaler.transform(filled))
-        model = PCA(k=k, inputCol="v", outputCol="s").fit(vectors.select("v"))
+        doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
+        try:
+            row = doubles.agg(
+                F.count("*").alias("n"), *[f(c) for c in columns for f in (F.count, F.avg, F.stddev_pop)]
+            ).first()
+            known, means, deviations = row[1::3], row[2::3], row[3::3]
+            fill = {c: m or 0.0 for c, m in zip(columns, means)}
+            # filling with the mean keeps the mean and shrinks the variance by the share of known values
+            scales = [(s or 0.0) * math.sqrt(k / max(row["n"], 1)) or 1.0 for s, k in zip(deviations, known)]
+            scaler = Standardizer(columns, tuple(fill.values()), tuple(scales))
+            k = min(len(columns), row["n"] - 1) if k is None else k
+            scaled = scaler.transform(doubles.fillna(fill))
+            vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(scaled)
+            model = PCA(k=k, inputCol="v", outputCol="s").fit(vectors.select("v"))
+        finally:
+            doubles.unpersist()
         loadings = []
         for component in model.pc.toArray().T:
             sign = -1.0 if component[abs(component).argmax()] < 0 else 1.0

@@ -26,7 +26,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     any length spreads over all tasks and no text is gathered. A question
     without an answer has the summary ''.
     """
-    turns = table(spark, sf_dir, "conversations")
+    turns = table(spark, sf_dir, "conversations", spread=True)
     asked = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("abstract"))
     answered = turns.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("summary")
