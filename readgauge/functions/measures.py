@@ -1,7 +1,13 @@
-"""Per-text measures that need no other row: pure column expressions."""
+"""Per-text measures that need no other row: pure column expressions.
+
+Functions of ``lowered_sents`` take the sentences of a lower-case text, so that
+one array serves all of them and no sentence is lower-cased again.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,7 +40,7 @@ def fre(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
 
 
 def clause_markers(text: Column, markers=lexicon.CLAUSE_MARKERS) -> Column:
-    return F.regexp_count(F.lower(text), F.lit(tx.any_of(markers, whole_words=True)))
+    return F.regexp_count(F.lower(text), F.lit(tx.any_word_of(markers)))
 
 
 def avg_clauses(text: Column, markers=lexicon.CLAUSE_MARKERS) -> Column:
@@ -42,17 +48,21 @@ def avg_clauses(text: Column, markers=lexicon.CLAUSE_MARKERS) -> Column:
     return ratio(clause_markers(text, markers), tx.sentence_count(text))
 
 
-def connective_coverage(sents: Column, match: str = "substring",
+def connective_coverage(lowered_sents: Column, match: str = "substring",
                         connectives=lexicon.CONNECTIVES) -> Column:
     """Share of sentences with a connective.
 
     ``match='substring'`` also finds "as" inside "was"; ``'word'`` does not.
     """
-    if match not in ("substring", "word"):
+    if match == "substring":
+        parts = tx.shortest_parts(connectives)
+        hits = F.filter(lowered_sents, lambda s: reduce(Column.__or__, [F.contains(s, F.lit(p)) for p in parts]))
+    elif match == "word":
+        pattern = tx.any_word_of(connectives)
+        hits = F.filter(lowered_sents, lambda s: s.rlike(pattern))
+    else:
         raise ValueError(f"match must be 'substring' or 'word', not {match!r}")
-    pattern = tx.any_of(connectives, whole_words=match == "word")
-    hits = F.filter(sents, lambda s: F.lower(s).rlike(pattern))
-    return ratio(F.size(hits), F.size(sents))
+    return ratio(F.size(hits), F.size(lowered_sents))
 
 
 def content_words(words: Column, stop_words=lexicon.STOP_WORDS, min_length: int = 4) -> Column:
@@ -64,12 +74,11 @@ def is_content_word(word: Column, stop_words=lexicon.STOP_WORDS, min_length: int
     return (F.length(word) >= min_length) & ~word.isin(*stop_words)
 
 
-def cue_role(sentence: Column, cues=None, default: str = "background") -> Column:
-    """The first role one of whose cue words occurs in the sentence."""
-    lowered = F.lower(sentence)
+def cue_role(lowered: Column, cues=None, default: str = "background") -> Column:
+    """The first role one of whose cue words occurs in the lower-case sentence."""
     role = F.lit(default)
     for label, terms in reversed(list((cues or lexicon.ROLE_CUES).items())):
-        pattern = tx.any_of(terms, whole_words=True)
+        pattern = tx.any_word_of(terms)
         role = F.when(lowered.rlike(pattern), F.lit(label)).otherwise(role)
     return role
 
@@ -89,44 +98,53 @@ def cosine(a: Column, b: Column) -> Column:
     return ratio(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def adjacent_bow_cosine(sents: Column) -> Column:
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def adjacent_bow_cosine(lowered_sents: Column) -> Column:
     """Mean bag-of-words cosine of neighbouring sentences, 1.0 below two sentences.
 
-    Each pair is one sorted run of (word, side) entries that a single pass folds
-    into the dot product and both squared norms, so the work is linear in the
-    text apart from the sort, and nothing is shuffled.
+    Sentences become sorted runs of (word, count). The runs of two neighbours are
+    sorted together, where equal words end up side by side, and folded into the
+    dot product. Apart from the sorts the work is linear in the text, and nothing
+    is shuffled.
     """
-    bags = F.transform(sents, lambda s: tx.lower_words(s))
-    n_pairs = F.greatest(F.size(sents) - 1, F.lit(0))
-    cosines = F.zip_with(F.slice(bags, F.lit(1), n_pairs), F.slice(bags, F.lit(2), n_pairs), _bag_cosine)
-    total = F.aggregate(cosines, F.lit(0.0), lambda acc, v: acc + v)
-    return ratio(total, n_pairs, empty=1.0)
+    bags = F.transform(lowered_sents, lambda s: _word_runs(F.sort_array(tx.words(s))))
 
+    def mean_of_pairs(bags: Column) -> Column:
+        n = F.greatest(F.size(bags) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(bags, F.lit(1), n), F.slice(bags, F.lit(2), n), _bag_cosine)
+        return ratio(F.aggregate(pairs, F.lit(0.0), lambda acc, v: acc + v), n, empty=1.0)
 
-def _bag_cosine(left: Column, right: Column) -> Column:
-    def tagged(bag: Column, side: int) -> Column:
-        return F.transform(bag, lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
+    return _bound(bags, mean_of_pairs)
 
-    entries = F.sort_array(F.concat(tagged(left, 0), tagged(right, 1)))
-    start = F.struct(
-        F.lit("").alias("w"), *[F.lit(0).cast("long").alias(n) for n in ("l", "r", "dot", "ll", "rr")]
-    )
+
+def _word_runs(sorted_words: Column) -> Column:
+    """``struct<runs: array<struct<w, n>>, norm>`` of a sorted array of words."""
+
+    def runs(words: Column) -> Column:
+        new = lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i)
+        starts = F.filter(F.transform(words, new), lambda i: i.isNotNull())
+        return _bound(starts, lambda at: F.zip_with(
+            at, F.slice(F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(words))), F.lit(1), F.size(at)),
+            lambda i, end: F.struct(F.get(words, i).alias("w"), (end - i).cast("double").alias("n")),
+        ))
+
+    def with_norm(found: Column) -> Column:
+        norm = F.aggregate(found, F.lit(0.0), lambda acc, e: acc + e["n"] * e["n"])
+        return F.struct(found.alias("runs"), F.sqrt(norm).alias("norm"))
+
+    return _bound(_bound(sorted_words, runs), with_norm)
+
+
+def _bag_cosine(left: Column, right: Column) -> Column:
+    start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("n"), F.lit(0.0).alias("dot"))
 
     def step(acc: Column, e: Column) -> Column:
-        same = acc["w"] == e["w"]
-        l = F.when(same, acc["l"]).otherwise(F.lit(0).cast("long"))
-        r = F.when(same, acc["r"]).otherwise(F.lit(0).cast("long"))
-        on_left = e["side"] == 0
-        return F.struct(
-            e["w"].alias("w"),
-            F.when(on_left, l + 1).otherwise(l).alias("l"),
-            F.when(on_left, r).otherwise(r + 1).alias("r"),
-            (acc["dot"] + F.when(on_left, r).otherwise(l)).alias("dot"),
-            F.when(on_left, acc["ll"] + 2 * l + 1).otherwise(acc["ll"]).alias("ll"),
-            F.when(on_left, acc["rr"]).otherwise(acc["rr"] + 2 * r + 1).alias("rr"),
-        )
-
-    def finish(acc: Column) -> Column:
-        return ratio(acc["dot"], F.sqrt(acc["ll"].cast("double")) * F.sqrt(acc["rr"].cast("double")))
-
-    return F.aggregate(entries, start, step, finish)
+        shared = F.when(acc["w"] == e["w"], acc["n"] * e["n"]).otherwise(F.lit(0.0))
+        return F.struct(e["w"].alias("w"), e["n"].alias("n"), (acc["dot"] + shared).alias("dot"))
+
+    merged = F.sort_array(F.concat(left["runs"], right["runs"]))
+    return ratio(F.aggregate(merged, start, step, lambda acc: acc["dot"]), left["norm"] * right["norm"])

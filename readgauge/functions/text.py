@@ -38,6 +38,10 @@ def sentences(text: Column) -> Column:
     )
 
 
+def lower_sentences(text: Column) -> Column:
+    return sentences(F.lower(text))
+
+
 def sentence_count(text: Column) -> Column:
     """``size(sentences(text))`` without building the array."""
     inner_cuts = F.regexp_count(text, F.lit(r"[.!?][ \n\t\r]++(?!\z)"))
@@ -76,14 +80,23 @@ def syllable_count(text: Column) -> Column:
     return count(_VOWEL_RUN) - count(_FINAL_E) + count(_NO_VOWEL_BUT_FINAL_E)
 
 
-def any_of(terms, whole_words: bool) -> str:
-    """An alternation over lower-case terms.
+def any_word_of(words) -> str:
+    """A pattern for any of the given lower-case words or phrases as whole words.
 
-    As substrings, a term that contains another one adds nothing and is left out.
+    Common beginnings are written once, so a position is dismissed by its first letters.
     """
-    terms = sorted(set(terms))
-    if whole_words:
-        terms.sort(key=lambda t: (-len(t), t))
-        return f"{WORD_START}(?:{'|'.join(terms)}){WORD_END}"
-    shortest = [t for t in terms if not any(o != t and o in t for o in terms)]
-    return "|".join(shortest)
+    return f"{WORD_START}(?:{_by_prefix(set(words))}){WORD_END}"
+
+
+def _by_prefix(words: set[str]) -> str:
+    branches = []
+    for first in sorted({w[0] for w in words if w}):
+        rests = {w[1:] for w in words if w.startswith(first)}
+        branches.append(first + (rests.pop() if len(rests) == 1 else f"(?:{_by_prefix(rests)})"))
+    return "|".join(branches + [""] * ("" in words))
+
+
+def shortest_parts(terms) -> list[str]:
+    """Terms to look for as substrings, short ones first, without those that contain another."""
+    terms = sorted(set(terms), key=lambda t: (len(t), t))
+    return [t for t in terms if not any(o != t and o in t for o in terms)]

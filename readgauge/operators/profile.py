@@ -96,35 +96,35 @@ def _bracket_quantiles(values: DataFrame, brackets: DataFrame) -> DataFrame:
     return ends.select("feature", "q", (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("value"))
 
 
-def _ranges(values: DataFrame, by) -> DataFrame:
-    return values.groupBy(*by).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+def _span(values: DataFrame) -> Column:
+    """The observed ``low`` and ``high`` as a scalar subquery; a single value gets half a unit on either side."""
+    pad = F.when(F.min("value") == F.max("value"), F.lit(0.5)).otherwise(F.lit(0.0))
+    return values.agg(F.struct((F.min("value") - pad).alias("low"), (F.max("value") + pad).alias("high")).alias("r")).scalar()
 
 
-def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """0-based equal-width bin; the top edge belongs to the last bin, a zero range to bin 0."""
-    step = F.try_divide(high - low, F.lit(float(bins)))
-    at = F.floor(F.try_divide(value - low, step))
-    return F.coalesce(F.least(at, F.lit(bins - 1).cast("long")), F.lit(0).cast("long"))
+def _values(df: DataFrame, feature: str, *keep: str) -> DataFrame:
+    return df.select(*keep, F.col(feature).cast("double").alias("value")).filter("value IS NOT NULL")
 
 
 def feature_histogram(df: DataFrame, feature: str, group: str, bins: int = 20) -> DataFrame:
-    """``(group, bin, n)`` over equal bins of the range observed in all groups together."""
-    values = df.select(group, F.col(feature).cast("double").alias("value")).filter("value IS NOT NULL")
-    edges = values.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high")).alias("r"))
-    spread = edges.scalar()
-    return values.groupBy(group, _bin(F.col("value"), spread["low"], spread["high"], bins).alias("bin")).agg(
-        F.count("*").alias("n")
-    )
+    """``(group, bin, n)`` over equal bins of the range observed in all groups together.
+
+    The top edge belongs to the last bin. Bins count from 0; empty ones have no row.
+    """
+    values = _values(df, feature, group)
+    span = _span(values)
+    step = (span["high"] - span["low"]) / F.lit(float(bins))
+    at = F.least(F.floor((F.col("value") - span["low"]) / step), F.lit(bins - 1).cast("long"))
+    return values.groupBy(group, at.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def feature_density(df: DataFrame, feature: str, group: str, bins: int = 20) -> DataFrame:
     """``(group, bin, density)`` over common bins; each group integrates to 1."""
     counts = feature_histogram(df, feature, group, bins)
-    values = df.select(F.col(feature).cast("double").alias("value"))
-    width = (values.agg(((F.max("value") - F.min("value")) / bins).alias("w"))).scalar()
+    span = _span(_values(df, feature))
     # the window runs over at most ``bins`` rows per group
-    total = F.sum("n").over(Window.partitionBy(group))
-    return counts.select(group, "bin", F.try_divide(F.col("n").cast("double"), total * width).alias("density"))
+    area = F.sum("n").over(Window.partitionBy(group)) * (span["high"] - span["low"]) / bins
+    return counts.select(group, "bin", (F.col("n").cast("double") / area).alias("density"))
 
 
 def feature_kde(df: DataFrame, feature: str, group: str, points: int = 50) -> DataFrame:
@@ -135,7 +135,7 @@ def feature_kde(df: DataFrame, feature: str, group: str, points: int = 50) -> Da
     first, each distinct value then adds to every grid point, and these partial
     sums are combined before they are shuffled.
     """
-    values = df.select(group, F.col(feature).cast("double").alias("value")).filter("value IS NOT NULL")
+    values = _values(df, feature, group)
     counted = values.groupBy(group, "value").agg(F.count("*").alias("n"))
     shape = values.groupBy(group).agg(
         F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("total"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def type_matrix(spark, sf) -> DataFrame:
 def judged(spark, sf) -> DataFrame:
     """Documents with their language as label and the language guessed from cue words as prediction."""
     docs = views.documents(spark, sf)
-    guess = ms.cue_role(F.col("text"), LANGUAGE_CUES, default="es")
+    guess = ms.cue_role(F.lower("text"), LANGUAGE_CUES, default="es")
     return docs.select("doc_id", "source", F.col("lang").alias("label"), guess.alias("prediction"))
 
 
@@ -203,7 +205,7 @@ def features_wide(spark, sf):
 @query
 def reshape_fixed(spark, sf):
     def ratios(text):
-        found = F.transform(tx.sentences(text), lambda s: ms.cue_role(s, TEST_CUES))
+        found = F.transform(tx.lower_sentences(text), lambda s: ms.cue_role(s, TEST_CUES))
         return {f"{r}_ratio": ms.role_ratio(found, r) for r in ("background", "objective")}
 
     both = reshape.per_section(views.pairs(spark, sf), ratios)
@@ -263,7 +265,7 @@ def merge_features(spark, sf):
         part(lambda t: tx.sentence_count(t).cast("double"), "sentences", 1),
         part(ms.avg_sentence_length, "avg_sentence_length", 2),
         part(ms.avg_clauses, "avg_clauses", 3),
-        part(lambda t: ms.connective_coverage(tx.sentences(t)), "pdtb_coverage", 4),
+        part(lambda t: ms.connective_coverage(tx.lower_sentences(t)), "pdtb_coverage", 4),
     ]
     return joins.merge_features(frames)
 
@@ -321,7 +323,7 @@ def corpus_role_ratio(spark, sf):
 
 def _role_table(spark, sf) -> DataFrame:
     def ratios(text):
-        found = F.transform(tx.sentences(text), lambda s: ms.cue_role(s, TEST_CUES))
+        found = F.transform(tx.lower_sentences(text), lambda s: ms.cue_role(s, TEST_CUES))
         return {f"{r}_ratio": ms.role_ratio(found, r) for r in lexicon.ROLES}
 
     return reshape.per_section(views.pairs(spark, sf), ratios)
@@ -483,13 +485,13 @@ def avg_clause_markers(spark, sf):
 
 @query
 def connective_coverage_substring(spark, sf):
-    found = ms.connective_coverage(tx.sentences(F.col("text")), "substring")
+    found = ms.connective_coverage(tx.lower_sentences(F.col("text")), "substring")
     return _per_document(spark, sf, coverage=F.round(found, 6))
 
 
 @query
 def connective_coverage_word(spark, sf):
-    return _per_document(spark, sf, coverage=F.round(ms.connective_coverage(tx.sentences(F.col("text")), "word"), 6))
+    return _per_document(spark, sf, coverage=F.round(ms.connective_coverage(tx.lower_sentences(F.col("text")), "word"), 6))
 
 
 @query
@@ -500,7 +502,7 @@ def adjacent_cosine_vectors(spark, sf):
 
 @query
 def adjacent_cosine_bow(spark, sf):
-    return _per_document(spark, sf, similarity=F.round(ms.adjacent_bow_cosine(tx.sentences(F.col("text"))), 6))
+    return _per_document(spark, sf, similarity=F.round(ms.adjacent_bow_cosine(tx.lower_sentences(F.col("text"))), 6))
 
 
 @query
@@ -610,21 +612,32 @@ def feature_subsets(spark, sf):
 CLASSES = ("abstract", "summary")
 
 
+@contextmanager
+def _cached(df: DataFrame):
+    """Keep ``df`` while a model is fitted to it; later uses compute it again."""
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 @query
 def logistic_single(spark, sf):
-    record = learn.logistic_record(type_matrix(spark, sf).persist(), MATRIX, CLASSES)
-    return learn.records_table(spark, [record])
+    with _cached(type_matrix(spark, sf)) as matrix:
+        return learn.records_table(spark, [learn.logistic_record(matrix, MATRIX, CLASSES)])
 
 
 @query
 def forest_single(spark, sf):
-    record = learn.forest_record(type_matrix(spark, sf).persist(), MATRIX, CLASSES)
-    return learn.records_table(spark, [record])
+    with _cached(type_matrix(spark, sf)) as matrix:
+        return learn.records_table(spark, [learn.forest_record(matrix, MATRIX, CLASSES)])
 
 
 def _fitted_forest(spark, sf):
-    train, test, _ = learn.train_test(type_matrix(spark, sf).persist(), MATRIX, "label", "is_test")
-    return learn.fit_forest(train, "label"), test
+    with _cached(type_matrix(spark, sf)) as matrix:
+        train, test, _ = learn.train_test(matrix, MATRIX, "label", "is_test")
+        return learn.fit_forest(train, "label"), test
 
 
 @query

@@ -22,7 +22,7 @@ def row_measures(df: DataFrame, text: str, keep, prefix: str = "", cues=None, ma
     """Add the measures that need no other row. Sentences and counts are made once and used by all."""
     t = F.col(text)
     counted = df.select(
-        *keep, tx.sentences(t).alias("_sents"), t.alias("_text"), tx.word_count(t, tokens).alias("_tokens"),
+        *keep, tx.lower_sentences(t).alias("_sents"), tx.word_count(t, tokens).alias("_tokens"),
         tx.word_count(t).alias("_words"), tx.sentence_count(t).alias("_n"), tx.syllable_count(t).alias("_syllables"),
         ms.clause_markers(t).alias("_clauses"),
     ).withColumn("_roles", F.transform("_sents", lambda s: ms.cue_role(s, cues)))

@@ -48,4 +48,6 @@ def duplicate_keys(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header; an empty frame still leaves a file with its header."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    df.write.mode(mode).options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
