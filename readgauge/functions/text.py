@@ -26,6 +26,10 @@ _NO_VOWEL_BUT_FINAL_E = (
 )
 
 
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
@@ -44,8 +48,7 @@ def lower_sentences(text: Column) -> Column:
 
 def sentence_count(text: Column) -> Column:
     """``size(sentences(text))`` without building the array."""
-    inner_cuts = F.regexp_count(text, F.lit(r"[.!?][ \n\t\r]++(?!\z)"))
-    return inner_cuts + text.rlike(r"[^ \n\t\r]").cast("int")
+    return _count(text, r"[.!?][ \n\t\r]++(?!\z)") + text.rlike(r"[^ \n\t\r]").cast("long")
 
 
 def words(text: Column, tokens: str = "words") -> Column:
@@ -57,7 +60,7 @@ def lower_words(text: Column) -> Column:
 
 
 def word_count(text: Column, tokens: str = "words") -> Column:
-    return F.regexp_count(text, F.lit(TOKEN_PATTERNS[tokens]))
+    return _count(text, TOKEN_PATTERNS[tokens])
 
 
 def truncated(tokens: Column, n: int) -> Column:
@@ -73,11 +76,7 @@ def syllable_count(text: Column) -> Column:
     least one. Summed over the text this is: vowel runs, minus words with such a
     final ``e``, plus words whose only vowel it is or that have none at all.
     """
-
-    def count(pattern: str) -> Column:
-        return F.regexp_count(text, F.lit(pattern))
-
-    return count(_VOWEL_RUN) - count(_FINAL_E) + count(_NO_VOWEL_BUT_FINAL_E)
+    return _count(text, _VOWEL_RUN) - _count(text, _FINAL_E) + _count(text, _NO_VOWEL_BUT_FINAL_E)
 
 
 def any_word_of(words) -> str:

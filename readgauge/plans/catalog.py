@@ -118,8 +118,9 @@ def src_csv_pairs(spark, sf):
 @query
 def src_feature_csv(spark, sf):
     path = scratch_path(spark, "features-csv")
-    tables.write_csv(rounded(wide(spark, sf, nulls=True), *ROUND_WIDE), path)
-    return tables.read_feature_csv(spark, path)
+    features = rounded(wide(spark, sf, nulls=True), *ROUND_WIDE)
+    tables.write_csv(features, path)
+    return tables.read_feature_csv(spark, path, features.schema)
 
 
 @query

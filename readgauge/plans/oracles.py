@@ -305,7 +305,7 @@ ORACLES["bigram_perplexity_heldout"] = f"""WITH train AS (SELECT * FROM document
 ORACLES["content_words"] = f"""WITH s AS (SELECT doc_id, list_filter({words('lower(text)')}, lambda w: {content('w')}) AS s
     FROM documents WHERE lang = 'en')
   SELECT doc_id, (unnest(range(len(s))))::INT AS pos, unnest(s) AS word FROM s"""
-ORACLES["truncate_tokens"] = f"""SELECT doc_id, len({words('text')}[1:128]) AS n_tokens,
+ORACLES["truncate_tokens"] = f"""SELECT doc_id, len({words('text')}[1:128])::INT AS n_tokens,
   coalesce(array_to_string({words('text')}[1:128], ' '), '') AS tokens FROM documents"""
 
 SECTION_ROW = f"""f AS (SELECT doc_id, section, w AS length, coalesce(w / nullif(s, 0)::DOUBLE, 0) AS avg_sentence_length,
