@@ -1,7 +1,7 @@
 """Sentence, word and syllable expressions.
 
-Counts are taken with whole-text regular expressions rather than by walking
-arrays, so that they stay inside generated code and allocate no arrays per row.
+Counts are taken with whole-text regular expressions rather than by walking an
+array of words with lambdas, so that they stay inside generated code.
 """
 
 from __future__ import annotations

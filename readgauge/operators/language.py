@@ -28,6 +28,7 @@ from ..functions.measures import is_content_word
 from ..session import scratch_path
 
 BROADCAST_ROWS = 500_000
+BROADCAST_WORD_CHARS = 64
 
 
 def _words(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -63,12 +64,14 @@ class CorpusModel:
     path: str
     n_tokens: int
     n_words: int
+    n_long_words: int
     n_pairs: int
+    n_long_pairs: int
     n_pair_tokens: int
 
     @classmethod
     def fit(cls, df: DataFrame, text: str, path: str | None = None, pairs: bool = True) -> CorpusModel:
-        """Count ``df`` in one pass and write the tables; only four totals come to the driver."""
+        """Count ``df`` in one pass and write the tables; only a few totals come to the driver."""
         spark = df.sparkSession
         path = path or scratch_path(spark, "corpus")
         if pairs:
@@ -85,10 +88,13 @@ class CorpusModel:
     def load(cls, spark: SparkSession, path: str, pairs: bool = True) -> CorpusModel:
         zero = F.lit(0).cast("long")
         words = spark.read.parquet(f"{path}/words").agg(
-            F.coalesce(F.sum("n"), zero), F.count("*"), F.coalesce(F.sum("n_followed"), zero)
+            F.coalesce(F.sum("n"), zero), F.count("*"), F.count_if(_too_long("w")), F.coalesce(F.sum("n_followed"), zero)
         ).first()
-        n_pairs = spark.read.parquet(f"{path}/pairs").filter("nxt IS NOT NULL").count() if pairs else 0
-        return cls(path, words[0], words[1], n_pairs, words[2])
+        n_pairs = n_long_pairs = 0
+        if pairs:
+            known = spark.read.parquet(f"{path}/pairs").filter("nxt IS NOT NULL")
+            n_pairs, n_long_pairs = known.agg(F.count("*"), F.count_if(_too_long("w", "nxt"))).first()
+        return cls(path, words[0], words[1], words[2], n_pairs, n_long_pairs, words[3])
 
     def words(self, spark: SparkSession) -> DataFrame:
         """``(w, n, nll, known_content, ctx)``: what one occurrence of a word adds."""
@@ -109,10 +115,12 @@ class CorpusModel:
     def score(self, df: DataFrame, text: str, keys, cwe: bool = True, ppl: bool = True) -> DataFrame:
         """``(keys…, cwe, ppl)`` for every row of ``df``; ``keys`` tell the texts apart."""
         spark, keys = df.sparkSession, list(keys)
-        often, seldom = _by_frequency(self.words(spark), self.n_words, self.n_tokens)
+        often, seldom = _by_frequency(self.words(spark), ["w"], self.n_words, self.n_long_words, self.n_tokens)
         if ppl:
             occurrences = _followed_words(df, text, *keys)
-            often_pairs, seldom_pairs = _by_frequency(self.pairs(spark), self.n_pairs, self.n_pair_tokens)
+            often_pairs, seldom_pairs = _by_frequency(
+                self.pairs(spark), ["w", "nxt"], self.n_pairs, self.n_long_pairs, self.n_pair_tokens
+            )
         else:
             occurrences = _words(df, text, *keys).withColumn("nxt", F.lit(None).cast("string"))
         followed = F.col("nxt").isNotNull()
@@ -143,25 +151,33 @@ class CorpusModel:
         return sums.select(*keys, *measures)
 
 
-def _by_frequency(table: DataFrame, n_rows: int, n_total: int) -> tuple[DataFrame, DataFrame | None]:
+def _too_long(*words: str) -> Column:
+    return F.greatest(F.lit(0), *[F.length(w) for w in words]) > BROADCAST_WORD_CHARS
+
+
+def _by_frequency(table: DataFrame, on: list[str], n_rows: int, n_long: int,
+                  n_total: int) -> tuple[DataFrame, DataFrame | None]:
     """Split a table of counts into a part small enough to broadcast and the rest.
 
-    Up to ``BROADCAST_ROWS`` rows there is no rest. Otherwise the first part has
-    the rows counted at least ``n_total / BROADCAST_ROWS`` times, of which there
-    cannot be more than ``BROADCAST_ROWS``.
+    The first part has the rows counted at least ``n_total / BROADCAST_ROWS``
+    times, of which there cannot be more than ``BROADCAST_ROWS``, or all rows if
+    they are no more than that; and of these the ones without an overlong word.
+    So its bytes are bounded too. There is no rest if that is the whole table.
     """
-    if n_rows <= BROADCAST_ROWS:
+    if n_rows <= BROADCAST_ROWS and not n_long:
         return table, None
-    often = math.ceil(n_total / BROADCAST_ROWS)
-    return table.filter(F.col("n") >= often), table.filter(F.col("n") < often)
+    least = 1 if n_rows <= BROADCAST_ROWS else math.ceil(n_total / BROADCAST_ROWS)
+    often = (F.col("n") >= least) & ~_too_long(*on)
+    return table.filter(often), table.filter(~often)
 
 
 def _rest(occurrences: DataFrame, often: DataFrame, seldom: DataFrame, on: list[str]) -> DataFrame:
     """The occurrences that only the rest of the table knows.
 
-    Frequent keys are gone before the shuffle, so no key of this join holds more
-    than a ``1 / BROADCAST_ROWS`` share of the training corpus. The merge hint
-    keeps the planner from broadcasting either side on a guess of its size.
+    Frequent keys are gone before the shuffle, so hardly a key of this join holds
+    more than a ``1 / BROADCAST_ROWS`` share of the training corpus; what skew
+    other texts bring is split by adaptive execution. The merge hint keeps the
+    planner from broadcasting either side on a guess of its size.
     """
     left = occurrences.join(F.broadcast(often.select(*on)), on, "left_anti")
     return left.join(seldom.drop("n").hint("merge"), on)

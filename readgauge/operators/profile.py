@@ -131,7 +131,8 @@ def feature_kde(df: DataFrame, feature: str, group: str, points: int = 50) -> Da
     """``(group, point, x, density)``: a Gaussian kernel estimate per group.
 
     Bandwidth by Scott's rule, n^(-1/5) times the sample deviation; the grid has
-    ``points`` equal steps over the group's own range. Equal values are counted
+    ``points`` equal steps over the group's own range; a group of equal values has
+    no curve. Equal values are counted
     first, each distinct value then adds to every grid point, and these partial
     sums are combined before they are shuffled.
     """

@@ -55,17 +55,18 @@ def naive_scores(train, texts):
     return out
 
 
-@pytest.mark.parametrize("broadcast_rows", [3, 6, 1000])
-def test_language_scores(spark, monkeypatch, broadcast_rows):
+@pytest.mark.parametrize("broadcast_rows, chars", [(3, 64), (6, 64), (6, 5), (1000, 64), (1000, 5)])
+def test_language_scores(spark, monkeypatch, broadcast_rows, chars):
     monkeypatch.setattr(language, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(language, "BROADCAST_WORD_CHARS", chars)
     model = CorpusModel.fit(spark.createDataFrame([(t,) for t in TRAIN], "text string"), "text")
     df = spark.createDataFrame(list(enumerate(SCORED)), "i int, text string")
     got = {r["i"]: (r["cwe"], r["ppl"]) for r in model.score(df, "text", ["i"]).collect()}
     for i, want in enumerate(naive_scores(TRAIN, SCORED)):
         assert got[i] == pytest.approx(want), SCORED[i]
         assert got[i][1] is None or got[i][1] >= 1
-    often, seldom = language._by_frequency(model.words(spark), model.n_words, model.n_tokens)
-    assert often.count() <= broadcast_rows
+    often, seldom = language._by_frequency(model.words(spark), ["w"], model.n_words, model.n_long_words, model.n_tokens)
+    assert often.count() <= broadcast_rows and often.filter(F.length("w") > chars).isEmpty()
     assert often.count() + (seldom.count() if seldom else 0) == model.n_words
 
 
