@@ -254,19 +254,19 @@ def complete_cases(spark, sf):
 
 @query
 def merge_features(spark, sf):
+    """Five feature tables, each of the pairs for which its feature tells something."""
     pair = views.pairs(spark, sf)
-    conv = F.split_part("doc_id", F.lit("-"), F.lit(1)).cast("long")
+    question, answer = F.col("abstract"), F.col("summary")
 
-    def part(measure, name, lacks):
-        """One measure of both texts, without the documents of some conversations."""
-        return reshape.per_section(pair.filter(conv % 7 != lacks), lambda t: {name: F.round(measure(t), 6)})
+    def part(measure, name, where):
+        return reshape.per_section(pair.filter(where), lambda t: {name: F.round(measure(t), 6)})
 
     frames = [
-        part(lambda t: tx.word_count(t).cast("double"), "length", 0),
-        part(lambda t: tx.sentence_count(t).cast("double"), "sentences", 1),
-        part(ms.avg_sentence_length, "avg_sentence_length", 2),
-        part(ms.avg_clauses, "avg_clauses", 3),
-        part(lambda t: ms.connective_coverage(tx.lower_sentences(t)), "pdtb_coverage", 4),
+        part(lambda t: tx.word_count(t).cast("double"), "length", answer != ""),
+        part(lambda t: tx.sentence_count(t).cast("double"), "sentences", tx.sentence_count(question) > 1),
+        part(ms.avg_sentence_length, "avg_sentence_length", tx.sentence_count(answer) > 1),
+        part(ms.avg_clauses, "avg_clauses", ms.clause_markers(question) > 0),
+        part(lambda t: ms.connective_coverage(tx.lower_sentences(t)), "pdtb_coverage", ms.clause_markers(answer) > 0),
     ]
     return joins.merge_features(frames)
 

@@ -158,13 +158,20 @@ ORACLES["label_map"] = f"""WITH {TYPED} SELECT doc_id, type, length,
 ORACLES["complete_cases"] = f"""WITH {GAPPY} SELECT {ALL_WIDE} FROM gappy
   WHERE summary_length IS NOT NULL AND abstract_length IS NOT NULL"""
 
+def n_clauses(t):
+    return f"len(list_filter({words(f'lower({t})')}, lambda w: {in_list('w', lexicon.CLAUSE_MARKERS)}))"
+
+
 MERGED = {
-    "length": lambda t: f"{n_words(t)}::DOUBLE", "sentences": lambda t: f"{n_sents(t)}::DOUBLE", "avg_sentence_length": asl,
-    "avg_clauses": clauses, "pdtb_coverage": lambda t: coverage(t, has_part),
+    "length": (lambda t: f"{n_words(t)}::DOUBLE", "summary <> ''"),
+    "sentences": (lambda t: f"{n_sents(t)}::DOUBLE", f"{n_sents('abstract')} > 1"),
+    "avg_sentence_length": (asl, f"{n_sents('summary')} > 1"),
+    "avg_clauses": (clauses, f"{n_clauses('abstract')} > 0"),
+    "pdtb_coverage": (lambda t: coverage(t, has_part), f"{n_clauses('summary')} > 0"),
 }
 ORACLES["merge_features"] = f"WITH {PAIRS}, " + ", ".join(
     f"t{i} AS (SELECT doc_id, round({f('abstract')}, 6) AS abstract_{n}, round({f('summary')}, 6) AS summary_{n} FROM pairs "
-    f"WHERE split_part(doc_id, '-', 1)::BIGINT % 7 <> {i})" for i, (n, f) in enumerate(MERGED.items())
+    f"WHERE {where})" for i, (n, (f, where)) in enumerate(MERGED.items())
 ) + " SELECT * FROM t0 FULL JOIN t1 USING (doc_id) FULL JOIN t2 USING (doc_id) FULL JOIN t3 USING (doc_id) FULL JOIN t4 USING (doc_id)"
 ORACLES["lookup_companion"] = """SELECT doc_id, coalesce(url, '') AS companion FROM documents LEFT JOIN pages ON page_id = doc_id"""
 ORACLES["concat_corpora"] = """SELECT doc_id AS id, source, n_chars, NULL::VARCHAR AS url FROM documents
