@@ -24,16 +24,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.measures import is_content_word
+from ..functions.measures import content_words, is_content_word
 from ..session import scratch_path
 
 BROADCAST_ROWS = 500_000
 BROADCAST_WORD_CHARS = 64
 
 
-def _words(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """The kept columns and one row per lower-case word ``w``; a text without words has one null."""
-    return df.select(*keep, tx.lower_words(F.col(text)).alias("_ws")).select(*keep, F.explode_outer("_ws").alias("w"))
+def _words(df: DataFrame, text: str, *keep: str, content_only: bool = False) -> DataFrame:
+    """The kept columns and one row per lower-case word ``w``; a text without any has one null."""
+    found = tx.lower_words(F.col(text))
+    listed = df.select(*keep, (content_words(found) if content_only else found).alias("_ws"))
+    return listed.select(*keep, F.explode_outer("_ws").alias("w"))
 
 
 def _followed_words(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -122,7 +124,7 @@ class CorpusModel:
                 self.pairs(spark), ["w", "nxt"], self.n_pairs, self.n_long_pairs, self.n_pair_tokens
             )
         else:
-            occurrences = _words(df, text, *keys).withColumn("nxt", F.lit(None).cast("string"))
+            occurrences = _words(df, text, *keys, content_only=True).withColumn("nxt", F.lit(None).cast("string"))
         followed = F.col("nxt").isNotNull()
         word_terms = ["nll", "known_content", F.when(followed, F.col("ctx")).alias("ctx")]
 
