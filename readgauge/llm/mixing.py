@@ -102,4 +102,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, demand: float = DEMAND, repeats: int =
 
 def ordered(mixed: DataFrame) -> DataFrame:
     """Range-sorted by training position; untaken rows last."""
-    return mixed.orderBy(F.col("position").asc_nulls_last())
+    return mixed.orderBy(F.col("position").asc_nulls_last(), F.xxhash64("doc"))
