@@ -103,3 +103,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, demand: float = DEMAND, repeats: int =
 def ordered(mixed: DataFrame) -> DataFrame:
     """Range-sorted by training position; untaken rows last."""
     return mixed.orderBy(F.col("position").asc_nulls_last(), F.xxhash64("doc"))
+
+
+def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
+    """The taken documents in training order, each as often as it is begun (its last time may be taken in part)."""
+    parts = mix(docs, **parameters)
+    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
+    again = parts.where("taken > 0").withColumn("copy", F.explode(copies))
+    return ordered(again).select("doc.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, neighbours, packing, quality, shingles, tokencounts, urlfilter
+from . import fingerprints, licenses, mixing, neighbours, packing, quality, shingles, suffixes, tokencounts, urlfilter
 from .common import table
 
 QUERIES = {}
@@ -23,6 +23,11 @@ def op1_quality_classifier(spark, sf):
                          F.round("quality", 6).alias("quality"), "keep")
 
 
+@query
+def op2_suffix_array_dedup(spark, sf):
+    return suffixes.remove_repeats(table(spark, sf, "documents"))
+
+
 @query
 def op3_ngram_jaccard(spark, sf):
     return shingles.near_duplicates(table(spark, sf, "documents"), n=4, percent=85)
