@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in shared storage: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -27,8 +27,14 @@ def lower_ascii(column) -> F.Column:
     return F.translate(column, upper, upper.lower())
 
 
-def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
-    """Written once, bucketed by ``pid``: joins on it don't shuffle this side. ``pid`` is the writing task's, so a file each."""
+def bucketed(df: DataFrame, name: str, least: int) -> DataFrame:
+    """Written once, bucketed by ``pid``: joins on it and more columns don't shuffle this side.
+
+    ``pid`` is the writing task's number, so each task writes one file. Joins keep the buckets only with the setting below,
+    which stays on for the session, and with as many buckets as there are shuffle partitions.
+    """
+    buckets = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     spark, table_name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "pid").option("path", scratch_path(spark, name)).saveAsTable(table_name)
+    df.write.option("compression", "zstd").bucketBy(buckets, "pid").option("path", scratch_path(spark, name)).saveAsTable(table_name)
     return spark.table(table_name)

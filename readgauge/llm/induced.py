@@ -103,6 +103,7 @@ class Sweep:
     """One sweep: scans buckets in its order and pushes what precedes the scanned suffixes."""
 
     def __init__(self, text: np.ndarray, depth: int, queue: DiskQueue, upwards: bool):
+        """With ``depth`` 0, prefixes are not followed."""
         self.text, self.depth, self.queue, self.upwards = text, depth, queue, upwards
         self.since = np.full(SYMBOLS, 255, np.uint8)  # least prefix since the last push to a bucket
         self.begun = np.zeros(SYMBOLS, bool)
@@ -116,7 +117,9 @@ class Sweep:
                 yield positions, prefixes, run
                 before = positions - 1
                 same = np.flatnonzero((before >= 0) & (self.text[before] == bucket))
-                if len(same):
+                if len(same) and not self.depth:
+                    again.append((before[same], np.zeros(len(same), np.uint8)))
+                elif len(same):
                     ranges = RangeMin(prefixes, int(max(same[0] + 1, np.diff(same).max(initial=0))))
                     least = ranges.of(np.concatenate([[0], same[:-1] + 1]), same + 1)
                     least[0] = min(int(least[0]), last_least)
@@ -149,6 +152,11 @@ class Sweep:
         at, target = at[order], target[order]
         first = np.ones(len(at), bool)
         first[1:] = target[1:] != target[:-1]
+        if not self.depth:
+            heads, moved, least = np.flatnonzero(first), before[at], np.zeros(len(at), np.uint8)
+            for s, a, b in zip(target[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(at)]):
+                self.queue.push(s, moved[a:b], least[a:b])
+            return
         low = np.where(first, 0, np.concatenate([[0], at[:-1] + 1]))
         heads = np.flatnonzero(first)
         ends = np.concatenate([heads[1:], [len(at)]]) - 1
@@ -183,6 +191,8 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nda
 
 
 def run_length(text: np.ndarray, position: int, depth: int) -> int:
+    if not depth:
+        return 0
     part = text[position:position + depth]
     other = np.flatnonzero(part != part[0])
     return int(other[0]) if len(other) else len(part)
@@ -201,9 +211,9 @@ class SuffixSorter:
         ascends = np.append(np.append(step, 1)[follow] < 0, True)
         self.lms = np.flatnonzero(ascends[1:] & ~ascends[:-1]) + 1
 
-    def _sweeps(self, seeds: np.ndarray, prefixes: np.ndarray, folder: str):
+    def _sweeps(self, seeds: np.ndarray, prefixes: np.ndarray, folder: str, depth: int):
         """Chunks (positions, prefixes) of all suffixes in descending order, from LMS suffixes in ascending order."""
-        text, depth = self.text, self.depth
+        text = self.text
         first = text[seeds]
         bounds = np.searchsorted(first, np.arange(SYMBOLS + 1))
         waiting = DiskQueue(folder, f"l{id(seeds)}", self.queue_bytes)
@@ -247,7 +257,7 @@ class SuffixSorter:
         by_char = lms[np.argsort(text[lms], kind="stable")]
         is_lms = np.zeros(len(text), bool)
         is_lms[lms] = True
-        found = [p[is_lms[p]] for p, _ in self._sweeps(by_char, np.zeros(len(by_char), np.uint8), folder)]
+        found = [p[is_lms[p]] for p, _ in self._sweeps(by_char, np.zeros(len(by_char), np.uint8), folder, 0)]
         order = np.concatenate([*found, lms[-1:]])[::-1]  # the end of the string is induced by nothing
         length = np.zeros(len(text), np.int64)
         length[lms[:-1]] = np.diff(lms) + 1
@@ -282,7 +292,7 @@ class SuffixSorter:
         """All suffixes but the empty one in descending order, in chunks: positions, prefixes with the one before."""
         with tempfile.TemporaryDirectory(dir=self.folder) as folder:
             seeds, prefixes = self._ranked(folder)
-            yield from self._sweeps(seeds, prefixes, folder)
+            yield from self._sweeps(seeds, prefixes, folder, self.depth)
 
 
 def pieces_text(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

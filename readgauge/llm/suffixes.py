@@ -33,7 +33,8 @@ WINDOW = 50
 GRAM = 24
 PACK_BYTES = 2_000_000
 NO_ID = (1 << 63) - 1
-PACKS = "pid int, pack bigint, ids binary, ends binary, text binary"
+SHARD_BYTES = 4_000_000
+PACKS = "pid int, pack bigint, bytes bigint, ids binary, ends binary, text binary"
 
 
 def packs_of(docs: DataFrame) -> DataFrame:
@@ -49,9 +50,9 @@ def packs_of(docs: DataFrame) -> DataFrame:
             rows = pa.concat_arrays(rest)
             return pa.RecordBatch.from_arrays([
                 pa.array([pid], pa.int32()), pa.array([pid << 32 | number], pa.int64()),
-                pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.array(ends, "<i8").tobytes()], pa.binary()),
+                pa.array([held], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.array(ends, "<i8").tobytes()], pa.binary()),
                 pa.array([b"".join(texts)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-            ], ["pid", "pack", "ids", "ends", "text", "rest"])
+            ], ["pid", "pack", "bytes", "ids", "ends", "text", "rest"])
 
         for batch in batches:
             first = 0
@@ -123,6 +124,15 @@ class Anchors:
         return h[new], place, several
 
 
+def squeezed(data: bytes) -> bytes:
+    """Compressed, behind its length: what is shuffled and written shrinks by half."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def restored(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def read_pack(batch, i: int) -> tuple[np.ndarray, np.ndarray, bytes]:
     value = lambda name: batch.column(batch.schema.get_field_index(name))[i].as_py()
     return np.frombuffer(value("ids"), "<i8"), np.frombuffer(value("ends"), "<i8"), value("text")
@@ -185,7 +195,7 @@ def fragments(packs: DataFrame, told: DataFrame, buckets: int, shards: int) -> D
                     a, b = cuts[answer["bucket"]], cuts[answer["bucket"] + 1]
                     shared[a:b] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=b - a)
                 chosen = np.flatnonzero(shared[place])
-                shard = (anchors.hash[chosen] % np.uint64(buckets) % np.uint64(shards)).astype(np.int64)
+                shard = (mixed(anchors.hash[chosen], 3) % np.uint64(shards)).astype(np.int64)
                 chosen = chosen[np.argsort(shard, kind="stable")]
                 shard.sort()
                 rows = {n: [] for n in names}
@@ -200,8 +210,8 @@ def fragments(packs: DataFrame, told: DataFrame, buckets: int, shards: int) -> D
                     np.minimum.at(lowest, piece, ids[anchors.doc[part]])
                     for name, value in zip(names, (
                         int(shard[a]), batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), lowest.astype("<i8").tobytes(),
-                        bytes(map(len, index)), b"".join(index), np.array(piece, "<u4").tobytes(),
-                        anchors.doc[part].astype("<u4").tobytes(), begins.astype("<u4").tobytes(),
+                        bytes(map(len, index)), squeezed(b"".join(index)), squeezed(np.array(piece, "<u4").tobytes()),
+                        squeezed(anchors.doc[part].astype("<u4").tobytes()), squeezed(begins.astype("<u4").tobytes()),
                     )):
                         rows[name].append(value)
                 if rows["shard"]:
@@ -254,6 +264,7 @@ def sorted_shards(parts: DataFrame) -> DataFrame:
         rows = []
         for low, lengths, data in zip(*(group[n].to_pylist() for n in ("lowest", "lengths", "data"))):
             ends = np.cumsum(np.frombuffer(lengths, np.uint8), dtype=np.int64).tolist()
+            data = restored(data)
             own = [index.setdefault(data[a:b], len(index)) for a, b in zip([0, *ends[:-1]], ends)]
             rows.append((np.array(own, np.int64), np.frombuffer(low, "<i8")))
         lowest = np.full(len(index), NO_ID, np.int64)
@@ -288,7 +299,7 @@ def sorted_shards(parts: DataFrame) -> DataFrame:
 
 def removals(row: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends, in the pack, of the bytes that a shard's answers remove."""
-    piece, doc, start = (np.frombuffer(row[n], "<u4").astype(np.int64) for n in ("piece", "doc", "start"))
+    piece, doc, start = (np.frombuffer(restored(row[n]), "<u4").astype(np.int64) for n in ("piece", "doc", "start"))
     lowest = np.frombuffer(row["lowest"], "<i8")
     own = ids[doc]
     begins, ends = [], []
@@ -317,8 +328,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     row's other columns as struct ``rest``."""
     docs = docs if with_text else docs.select("doc_id", "text")
     parts = max(1, docs.select("text").rdd.getNumPartitions())
-    buckets, shards = 2 * parts, parts
     packs = bucketed(packs_of(docs), "packs", parts)
+    shards = 16 + (packs.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES
+    buckets = 2 * parts
     told = shared_anchors(packs, buckets)
     pieces = written(fragments(packs, told, buckets, shards), "fragments")
     answers = sorted_shards(pieces)
