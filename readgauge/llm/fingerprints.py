@@ -114,20 +114,16 @@ def with_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return placed.select("doc_id", "text", "place.part", "place.ghost", "place.wraps")
 
 
-NEXT = Window.partitionBy("part").orderBy(
-    "wraps", F.col("doc_id").asc_nulls_last(), "text",
-)
-
-
 def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fingerprint of every text and of its edit with the next document's head.
 
     The edit replaces the last ``floor(n_chars / 2)`` code points by as many first ones of the next document by
     ascending id (after the last: the first; a single document is its own next). Repeated rows each get a row.
     """
+    following = Window.partitionBy("part").orderBy("wraps", F.col("doc_id").asc_nulls_last(), "text")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = with_neighbours(docs, parts).withColumn("n_chars", F.length("text").cast("bigint"))
-    df = df.withColumn("next_text", F.coalesce(F.lead("text").over(NEXT), F.lit("")))
+    df = df.withColumn("next_text", F.coalesce(F.lead("text").over(following), F.lit("")))
     df = df.withColumn("edited", F.concat(
         F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half),
     ))
@@ -135,7 +131,7 @@ def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     df = with_sums(with_sums(df, "text", "own"), "edited", "changed")
     df = df.select(
         "part", "wraps", "ghost", "doc_id", "text", "n_chars", "edited_sha256", "own", "changed",
-        F.lead("own").over(NEXT).alias("next_own"),
+        F.lead("own").over(following).alias("next_own"),
     ).where(~F.col("ghost"))
     return df.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"),

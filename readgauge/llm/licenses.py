@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 # Phrases whose words stand consecutively, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Customary short notices, label by label.
@@ -31,7 +31,6 @@ TEMPLATES = (
     ("lgpl", "licensed under the GNU Lesser General Public License"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("mpl", "subject to the terms of the Mozilla Public License version 2.0"),
-    ("cc-by", "licensed under CC BY 4.0"),
     ("cc-by-nc", "licensed under CC BY NC 4.0"),
     ("cc-by-sa", "licensed under CC BY SA 4.0"),
 )
