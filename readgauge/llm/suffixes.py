@@ -334,8 +334,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     told = shared_anchors(packs, buckets)
     pieces = written(fragments(packs, told, buckets, shards), "fragments")
     answers = sorted_shards(pieces)
-    found = pieces.select("shard", "pid", "pack", "lowest", "lengths", "piece", "doc", "start").join(
-        answers, ["shard", "pid", "pack"], "left")
+    # dealt by pid like the buckets: the joins and the grouping below move nothing more
+    wide = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = pieces.select("shard", "pid", "pack", "lowest", "lengths", "piece", "doc", "start").repartition(wide, "pid").join(
+        answers.repartition(wide, "pid"), ["shard", "pid", "pack"], "left")
     fields = ("lowest", "lengths", "piece", "doc", "start", "answers")
     found = found.groupBy("pid", "pack").agg(F.collect_list(F.struct(*fields)).alias("found"))
 
