@@ -4,9 +4,10 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry_point
+from readgauge.plans.catalog import QUERIES
+from readgauge.plans.oracles import ORACLES as SQL
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
 ROWS_ONLY = {
     "pca_scores", "pca_loadings", "pca_variance", "logistic_single", "forest_single", "feature_importances",
     "attribution_mean_abs", "subset_sweep", "role_classifier",
@@ -20,7 +21,7 @@ def con():
 
 def test_only_learned_results_lack_sql():
     assert set(QUERIES) - set(SQL) == ROWS_ONLY
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) <= set(entry_point.queries()) and set(SQL) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
