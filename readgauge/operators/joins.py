@@ -14,7 +14,7 @@ def merge_features(frames, key: str = "doc_id", unique_keys: bool = False) -> Da
     A chain of full outer joins would shuffle the growing result again at every
     step. Here the distinct keys come first and each frame is joined to them from
     the left, which keeps their partitioning, so each frame is shuffled once.
-    Rows with a null key match nothing and are appended as they are.
+    A null key is a key like any other and meets the null keys of other frames.
 
     ``unique_keys=True`` promises one row per key and frame, and instead stacks
     the frames and groups once; a broken promise is an error.
@@ -22,12 +22,11 @@ def merge_features(frames, key: str = "doc_id", unique_keys: bool = False) -> Da
     frames = _distinct_names(list(frames), key)
     if unique_keys:
         return _merge_by_grouping(frames, key)
-    keyed = [f.filter(F.col(key).isNotNull()) for f in frames]
-    spine = reduce(DataFrame.union, [f.select(key) for f in keyed]).distinct()
-    merged = reduce(lambda left, right: left.join(right, key, "left"), keyed, spine)
-    for frame in frames:
-        merged = merged.unionByName(frame.filter(F.col(key).isNull()), allowMissingColumns=True)
-    return merged
+    # structs compare their nulls as equal, and need no second shuffle for it
+    keyed = [f.select(F.struct(key).alias("_key"), *[c for c in f.columns if c != key]) for f in frames]
+    spine = reduce(DataFrame.union, [f.select("_key") for f in keyed]).distinct()
+    merged = reduce(lambda left, right: left.join(right, "_key", "left"), keyed, spine)
+    return merged.select(F.col("_key")[key].alias(key), *[c for c in merged.columns if c != "_key"])
 
 
 def _distinct_names(frames: list[DataFrame], key: str) -> list[DataFrame]:
@@ -55,12 +54,7 @@ def _merge_by_grouping(frames: list[DataFrame], key: str) -> DataFrame:
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     values = [c for f in frames for c in f.columns if c != key]
     counts = [f"_in{i}" for i in range(len(frames))]
-    grouped = stacked.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        *[F.max(c).alias(c) for c in values], *[F.sum(c).alias(c) for c in counts]
-    )
+    grouped = stacked.groupBy(key).agg(*[F.max(c).alias(c) for c in values], *[F.sum(c).alias(c) for c in counts])
     repeated = F.greatest(*[F.coalesce(c, F.lit(0)) for c in counts], F.lit(0)) > 1
-    bad = F.raise_error(F.concat(F.lit("repeated key: "), F.col(key).cast("string")))
-    checked = grouped.filter(F.when(repeated, bad.cast("boolean")).otherwise(F.lit(True)))
-    return checked.select(key, *values).unionByName(
-        stacked.filter(F.col(key).isNull()).select(key, *values)
-    )
+    bad = F.raise_error(F.concat(F.lit("repeated key: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return grouped.filter(F.when(repeated, bad.cast("boolean")).otherwise(F.lit(True))).select(key, *values)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,9 +32,10 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
 
 
 def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """``(class, precision, recall, f1, support)``, then 'macro avg' and 'weighted avg'.
+    """``(class, precision, recall, f1, support)``, then 'accuracy', 'macro avg' and 'weighted avg'.
 
-    One pass counts the pairs of classes; a ratio over nothing is 0.
+    The accuracy stands in column ``f1`` of its row. One pass counts the pairs of
+    classes; a ratio over nothing is 0.
     """
     counts = df.groupBy(F.col(label).cast("string").alias("l"), F.col(prediction).cast("string").alias("p")).agg(
         F.count("*").alias("n")
@@ -59,9 +62,12 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
         *[share(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in scores],
         F.sum("support").alias("support"),
     )
-    return rows.unionByName(macro.withColumn("class", F.lit("macro avg"))).unionByName(
-        weighted.withColumn("class", F.lit("weighted avg"))
+    overall = sums.agg(
+        F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"),
+        share(F.sum("tp"), F.sum("actual")).alias("f1"), F.sum("actual").alias("support"),
     )
+    named = {"accuracy": overall, "macro avg": macro, "weighted avg": weighted}
+    return reduce(lambda done, name: done.unionByName(named[name].withColumn("class", F.lit(name))), named, rows)
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

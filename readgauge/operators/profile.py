@@ -109,13 +109,17 @@ def _values(df: DataFrame, feature: str, *keep: str) -> DataFrame:
 def feature_histogram(df: DataFrame, feature: str, group: str, bins: int = 20) -> DataFrame:
     """``(group, bin, n)`` over equal bins of the range observed in all groups together.
 
-    The top edge belongs to the last bin. Bins count from 0; empty ones have no row.
+    The top edge belongs to the last bin. Bins count from 0; a group has a row for each, empty ones count 0.
     """
     values = _values(df, feature, group)
     span = _span(values)
     step = (span["high"] - span["low"]) / F.lit(float(bins))
     at = F.least(F.floor((F.col("value") - span["low"]) / step), F.lit(bins - 1).cast("long"))
-    return values.groupBy(group, at.alias("bin")).agg(F.count("*").alias("n"))
+    counts = values.groupBy(group, at.alias("bin")).agg(F.count("*").alias("n"))
+    # at most ``bins`` entries per group
+    filled = counts.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("found"))
+    every = filled.select(group, "found", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    return every.select(group, "bin", F.coalesce(F.try_element_at("found", F.col("bin")), F.lit(0)).cast("long").alias("n"))
 
 
 def feature_density(df: DataFrame, feature: str, group: str, bins: int = 20) -> DataFrame:

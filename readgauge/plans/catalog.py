@@ -26,7 +26,7 @@ LANGUAGE_CUES = {
     "en": ("and", "of", "the"), "de": ("der", "die", "und"), "fr": ("et", "les", "qui"),
 }
 TURN_ROLES = ("assistant", "system", "user")
-MATRIX = ("length", "avg_sentence_length", "FKGL", "FRE", "avg_clauses", "pdtb_coverage")
+MATRIX = MEASURES
 QUERIES = {}
 
 
@@ -39,6 +39,12 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def logged(df: DataFrame, *columns: str) -> DataFrame:
+    """Perplexities as rounded logarithms, ``…log_ppl``: six decimals of a number near 1e5 are beyond its precision."""
+    return rounded(df.withColumns({c: F.log(c) for c in columns}), *columns).withColumnsRenamed(
+        {c: c.removesuffix("ppl") + "log_ppl" for c in columns})
+
+
 def basic(text) -> dict:
     return {
         "length": tx.word_count(text), "avg_sentence_length": ms.avg_sentence_length(text),
@@ -60,18 +66,27 @@ def wide(spark, sf, nulls: bool = False) -> DataFrame:
 ROUND_WIDE = ("abstract_avg_sentence_length", "abstract_avg_clauses", "summary_avg_sentence_length", "summary_avg_clauses")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Written once to shared storage, so that fits and transformations don't compute the texts again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def doc_matrix(spark, sf) -> DataFrame:
-    """Row measures of the documents: ``doc_id, lang`` and the columns of ``MATRIX``."""
+    """All measures of the documents, nulls included: ``doc_id, lang`` and the columns of ``MATRIX``."""
     docs = views.documents(spark, sf).select("doc_id", "lang", "text")
-    return row_measures(docs, "text", ["doc_id", "lang"], names=MATRIX)
+    scores = CorpusModel.fit(docs, "text").score(docs, "text", ["doc_id"])
+    measured = row_measures(docs, "text", ["doc_id", "lang"], cues=TEST_CUES).join(scores, "doc_id", "left")
+    return kept(measured.select("doc_id", "lang", *MATRIX), "doc-matrix")
 
 
 def type_matrix(spark, sf) -> DataFrame:
-    """Row measures of both texts of every pair as ``doc_id, type, …``, numbered and split."""
-    texts = views.sections(spark, sf).withColumnRenamed("section", "type")
-    long = row_measures(texts, "text", ["doc_id", "type"], names=MATRIX)
+    """All measures of both texts of every pair as ``doc_id, type, …``, numbered and split evenly by type."""
+    long = reshape.long_features(feature_table(views.pairs(spark, sf), cues=TEST_CUES), list(MATRIX))
     numbered = reshape.label_from_map(long, {"abstract": 0, "summary": 1})
-    return numbered.withColumn("is_test", stats.in_test(F.concat_ws("/", "doc_id", "type"), 0.3))
+    named = kept(numbered.withColumn("text_id", F.concat_ws("/", "doc_id", "type")), "type-matrix")
+    return stats.stratified_test_flag(named, "text_id", "label", 0.3)
 
 
 def judged(spark, sf) -> DataFrame:
@@ -160,7 +175,7 @@ def extract_after_marker(spark, sf):
 @query
 def prep_min_length(spark, sf):
     docs = views.table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text")
-    return companion.keep_longer_than(docs, "text", 100, length_col="n_chars").drop("text")
+    return companion.keep_longer_than(docs, "text", 100)
 
 
 @query
@@ -170,11 +185,13 @@ def prep_dataset(spark, sf):
         F.col("doc_id").alias("id"), F.col("source").alias("Paper_Journal"), F.col("lang").alias("Eureka_Text_Simplified"),
         F.concat("source", F.lit("/"), "doc_id", F.lit(".xml")).alias("Full_Paper_XML"),
     )
-    bodies = docs.filter("lang <> 'es'").select(
+    # every document once more with a path that leads to no companion
+    gaps = named.withColumn("Full_Paper_XML", F.concat(F.lit("missing/"), "Full_Paper_XML"))
+    bodies = docs.select(
         F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("file"),
         F.concat(F.lit("Abstract\n"), "text").alias("body"),
     )
-    return companion.prepare_dataset(named, bodies)
+    return companion.prepare_dataset(named.union(gaps), bodies)
 
 
 @query
@@ -242,6 +259,13 @@ def label_map(spark, sf):
     return reshape.label_from_map(long, {"abstract": 0, "summary-elife": 1, "summary-plos": 2}, on_unknown="drop")
 
 
+@query
+def label_map_complete(spark, sf):
+    """Every kind of text has a number; one without would be an error."""
+    long = reshape.long_features(_typed_wide(spark, sf), ["length"])
+    return reshape.label_from_map(long, {"abstract": 0, "summary": 1, "summary-elife": 2, "summary-plos": 3})
+
+
 @query
 def complete_cases(spark, sf):
     return rounded(
@@ -481,7 +505,7 @@ def fre(spark, sf):
 
 @query
 def avg_clause_markers(spark, sf):
-    return _per_document(spark, sf, "en", avg_clauses=F.round(ms.avg_clauses(F.col("text")), 6))
+    return _per_document(spark, sf, avg_clauses=F.round(ms.avg_clauses(F.col("text")), 6))
 
 
 @query
@@ -517,7 +541,7 @@ def content_word_entropy(spark, sf):
 def bigram_perplexity(spark, sf):
     docs = views.documents(spark, sf).select("doc_id", "text")
     model = CorpusModel.fit(docs, "text")
-    return rounded(model.score(docs, "text", ["doc_id"], cwe=False), "ppl")
+    return logged(model.score(docs, "text", ["doc_id"], cwe=False), "ppl")
 
 
 @query
@@ -525,13 +549,13 @@ def bigram_perplexity_heldout(spark, sf):
     docs = views.documents(spark, sf).select("doc_id", "text")
     held_out = stats.in_test(F.col("doc_id"), 0.1)
     model = CorpusModel.fit(docs.filter(~held_out), "text")
-    return rounded(model.score(docs.filter(held_out), "text", ["doc_id"], cwe=False), "ppl")
+    return logged(model.score(docs.filter(held_out), "text", ["doc_id"], cwe=False), "ppl")
 
 
 @query
 def content_words(spark, sf):
     found = ms.content_words(tx.lower_words(F.col("text")))
-    return views.documents(spark, sf, "en").select("doc_id", F.posexplode(found).alias("pos", "word"))
+    return views.documents(spark, sf).select("doc_id", F.posexplode(found).alias("pos", "word"))
 
 
 @query
@@ -543,7 +567,8 @@ def truncate_tokens(spark, sf):
 @query
 def feature_table_pairs(spark, sf):
     table = feature_table(views.pairs(spark, sf), cues=TEST_CUES)
-    return rounded(table, *[f"{s}_{m}" for s in reshape.SECTIONS for m in MEASURES if m != "length"])
+    plain = rounded(table, *[f"{s}_{m}" for s in reshape.SECTIONS for m in MEASURES if m not in ("length", "ppl")])
+    return logged(plain, *[f"{s}_ppl" for s in reshape.SECTIONS])
 
 
 QUERIES["feature_table"] = QUERIES.pop("feature_table_pairs")
@@ -656,7 +681,7 @@ def attribution_mean_abs(spark, sf):
 
 @query
 def subset_sweep(spark, sf):
-    swept = learn.subset_sweep(type_matrix(spark, sf), MATRIX[:5], 4, CLASSES)
+    swept = learn.subset_sweep(type_matrix(spark, sf), MATRIX, len(MATRIX) - 1, CLASSES)
     return metrics.top_k(swept, "accuracy", 5, "feature_combination")
 
 

@@ -40,6 +40,21 @@ def row_measures(df: DataFrame, text: str, keep, prefix: str = "", cues=None, ma
     return counted.select(*keep, *[columns[c].alias(prefix + c) for c in names])
 
 
+def _with_matches(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Left join in which a null id meets a null id."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [left[k].eqNullSafe(other[f"_right_{k}"]) for k in keys]
+    return left.join(other, same, "left").drop(*[f"_right_{k}" for k in keys])
+
+
+def _one_per_id(roles: DataFrame) -> DataFrame:
+    """``roles`` as given; an id with several rows is an error, for it would multiply its texts."""
+    names = [c for c in roles.columns if c != "doc_id"]
+    single = roles.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in names], F.count("*").alias("_n"))
+    bad = F.raise_error(F.concat(F.lit("several rows of roles for "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return single.filter(F.when(F.col("_n") > 1, bad.cast("boolean")).otherwise(F.lit(True))).drop("_n")
+
+
 def feature_table(pairs: DataFrame, model: CorpusModel | None = None, cues=None, match: str = "substring",
                   tokens: str = "words", roles: DataFrame | None = None) -> DataFrame:
     """``doc_id`` and every measure of both texts, ``abstract_*`` and ``summary_*``.
@@ -67,7 +82,7 @@ def feature_table(pairs: DataFrame, model: CorpusModel | None = None, cues=None,
         waiting = [other] if section == SECTIONS[0] else []
         table = row_measures(table, section, kept + waiting, f"{section}_", cues, match, tokens, names)
         kept += [f"{section}_{n}" for n in names]
-    table = table.join(scored, ["doc_id", "_v"], "left")
+    table = _with_matches(table, scored, ["doc_id", "_v"])
     if roles is not None:
-        table = table.join(roles, "doc_id", "left")
+        table = _with_matches(table, _one_per_id(roles), ["doc_id"])
     return table.select("doc_id", *[f"{s}_{m}" for s in SECTIONS for m in MEASURES])

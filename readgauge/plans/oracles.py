@@ -122,10 +122,10 @@ ORACLES["src_labelled_rejects"] = f"""SELECT {ONE_LINE.format('text')} AS line F
 ORACLES["extract_after_marker"] = f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
   m AS (SELECT doc_id, lines, list_position(list_transform(lines, lambda x: contains(x, ', the')), true) AS hit FROM l)
   SELECT doc_id, replace(trim(coalesce(CASE WHEN hit > 0 THEN lines[hit + 1] END, ''), {BLANKS}), 'and', '') AS found FROM m"""
-ORACLES["prep_min_length"] = "SELECT doc_id, source, lang, n_chars FROM documents WHERE n_chars > 100"
+ORACLES["prep_min_length"] = "SELECT doc_id, source, lang, n_chars, text FROM documents WHERE length(text) > 100"
 ORACLES["prep_dataset"] = rf"""WITH f AS (SELECT doc_id AS id, source AS "Paper_Journal", lang AS "Eureka_Text_Simplified",
     replace(trim(string_split(text, chr(10))[1], {BLANKS}), '#@NEW_LINE#@#', '') AS "Paper_abstract"
-    FROM documents WHERE lang <> 'es')
+    FROM documents)
   SELECT * FROM f WHERE length("Paper_abstract") > 100"""
 JUDGED = f"""judged AS (SELECT doc_id, source, lang AS label, {cue('text', LANGUAGE_CUES, 'es')} AS prediction FROM documents)"""
 ORACLES["sink_json_results"] = f"""WITH {JUDGED} SELECT source, count(*) FILTER (label = prediction) AS hit,
@@ -155,6 +155,8 @@ ORACLES["select_by_target"] = f"""WITH {WIDE} SELECT doc_id, summary_length,
   {rounded('summary_avg_sentence_length', 'summary_avg_clauses')} FROM wide"""
 ORACLES["label_map"] = f"""WITH {TYPED} SELECT doc_id, type, length,
   CASE type WHEN 'abstract' THEN 0 WHEN 'summary-elife' THEN 1 ELSE 2 END AS label FROM long WHERE type <> 'summary'"""
+ORACLES["label_map_complete"] = f"""WITH {TYPED} SELECT doc_id, type, length, CASE type WHEN 'abstract' THEN 0 WHEN 'summary' THEN 1
+  WHEN 'summary-elife' THEN 2 ELSE 3 END AS label FROM long"""
 ORACLES["complete_cases"] = f"""WITH {GAPPY} SELECT {ALL_WIDE} FROM gappy
   WHERE summary_length IS NOT NULL AND abstract_length IS NOT NULL"""
 
@@ -202,8 +204,10 @@ ORACLES["mean_role_ratio"] = f"WITH {SHARES} SELECT label, round(avg(m), 6) AS m
 ORACLES["mean_role_ratio_by_section"] = f"WITH {SHARES} SELECT section, label, round(m, 6) AS mean_ratio FROM shares"
 LENGTHS = f"""{SECTIONS}, lengths AS (SELECT section, {n_words('text')}::DOUBLE AS v FROM sections),
   r AS (SELECT min(v) AS low, max(v) AS high FROM lengths),
-  bins AS (SELECT section, least(floor((v - low) / ((high - low) / 20.0)), 19)::BIGINT AS bin, count(*) AS n, any_value(high - low) AS span
-    FROM lengths, r GROUP BY ALL)"""
+  counted AS (SELECT section, least(floor((v - low) / ((high - low) / 20.0)), 19)::BIGINT AS bin, count(*) AS n
+    FROM lengths, r GROUP BY ALL),
+  bins AS (SELECT section, bin, coalesce(n, 0) AS n, high - low AS span FROM (SELECT DISTINCT section FROM lengths)
+    CROSS JOIN range(20) t(bin) CROSS JOIN r LEFT JOIN counted USING (section, bin))"""
 ORACLES["feature_histogram"] = f"WITH {LENGTHS} SELECT section, bin, n FROM bins"
 ORACLES["feature_density"] = f"""WITH {LENGTHS} SELECT section, bin,
   round(n / (sum(n) OVER (PARTITION BY section) * span / 20), 6) AS density FROM bins"""
@@ -222,6 +226,7 @@ ORACLES["classification_report"] = f"""WITH {JUDGED}, c AS (SELECT label AS c FR
   r AS (SELECT c AS class, coalesce(tp / nullif(pp, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall,
     coalesce(2 * tp / nullif(pp + support, 0), 0) AS f1, support FROM k)
   SELECT class, {rounded('precision', 'recall', 'f1')}, support FROM r
+  UNION ALL SELECT 'accuracy', NULL, NULL, round((SELECT sum(tp) FROM k) / sum(support), 6), sum(support)::BIGINT FROM r
   UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::BIGINT FROM r
   UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
     round(sum(f1 * support) / sum(support), 6), sum(support)::BIGINT FROM r"""
@@ -248,7 +253,7 @@ ORACLES["syllables"] = f"SELECT doc_id, {n_syllables('text')} AS n_syllables FRO
 COUNTS = f"counts AS (SELECT doc_id, {n_words('text')} AS w, {n_sents('text')} AS s, {n_syllables('text')} AS y FROM documents)"
 ORACLES["fkgl"] = f"WITH {COUNTS} SELECT doc_id, round({fkgl('w', 's', 'y')}, 6) AS fkgl FROM counts"
 ORACLES["fre"] = f"WITH {COUNTS} SELECT doc_id, round({fre('w', 's', 'y')}, 6) AS fre FROM counts"
-ORACLES["avg_clause_markers"] = f"SELECT doc_id, round({clauses('text')}, 6) AS avg_clauses FROM documents WHERE lang = 'en'"
+ORACLES["avg_clause_markers"] = f"SELECT doc_id, round({clauses('text')}, 6) AS avg_clauses FROM documents"
 ORACLES["connective_coverage_substring"] = f"SELECT doc_id, round({coverage('text', has_part)}, 6) AS coverage FROM documents"
 ORACLES["connective_coverage_word"] = f"SELECT doc_id, round({coverage('text', has_word)}, 6) AS coverage FROM documents"
 ORACLES["adjacent_cosine_vectors"] = """WITH v AS (SELECT label, embedding::DOUBLE[] AS a,
@@ -298,7 +303,7 @@ def language(train, scored, keys):
 
 
 ORACLES["content_word_entropy"] = f"WITH {language('documents', 'documents', 'doc_id')} SELECT doc_id, round(cwe, 6) AS cwe FROM lm"
-ORACLES["bigram_perplexity"] = f"WITH {language('documents', 'documents', 'doc_id')} SELECT doc_id, round(ppl, 6) AS ppl FROM lm"
+ORACLES["bigram_perplexity"] = f"WITH {language('documents', 'documents', 'doc_id')} SELECT doc_id, round(ln(ppl), 6) AS log_ppl FROM lm"
 HASH = "('0x' || substr(md5('42|' || {}), 1, 8))::BIGINT"
 
 
@@ -308,9 +313,9 @@ def is_test(key, fraction):
 
 ORACLES["bigram_perplexity_heldout"] = f"""WITH train AS (SELECT * FROM documents WHERE NOT {is_test('doc_id', 0.1)}),
   held AS (SELECT * FROM documents WHERE {is_test('doc_id', 0.1)}), {language('train', 'held', 'doc_id')}
-  SELECT doc_id, round(ppl, 6) AS ppl FROM lm"""
+  SELECT doc_id, round(ln(ppl), 6) AS log_ppl FROM lm"""
 ORACLES["content_words"] = f"""WITH s AS (SELECT doc_id, list_filter({words('lower(text)')}, lambda w: {content('w')}) AS s
-    FROM documents WHERE lang = 'en')
+    FROM documents)
   SELECT doc_id, (unnest(range(len(s))))::INT AS pos, unnest(s) AS word FROM s"""
 ORACLES["truncate_tokens"] = f"""SELECT doc_id, len({words('text')}[1:128])::INT AS n_tokens,
   coalesce(array_to_string({words('text')}[1:128], ' '), '') AS tokens FROM documents"""
@@ -325,17 +330,22 @@ SECTION_ROW = f"""f AS (SELECT doc_id, section, w AS length, coalesce(w / nullif
 ORACLES["feature_table"] = f"""WITH {SECTIONS}, {bow('sections', 'doc_id, section', 'text')},
   {language('sections', 'sections', 'doc_id, section')}, {SECTION_ROW}
   SELECT a.doc_id, """ + ", ".join(
-    (f'{t}."{m}" AS "{s}_{m}"' if m == "length" else f'round({t}."{m}", 6) AS "{s}_{m}"')
+    {"length": f"{t}.length AS {s}_length", "ppl": f"round(ln({t}.ppl), 6) AS {s}_log_ppl"}.get(
+        m, f'round({t}."{m}", 6) AS "{s}_{m}"')
     for t, s in (("a", "abstract"), ("b", "summary")) for m in MEASURES
 ) + """ FROM (SELECT * FROM f WHERE section = 'abstract') a JOIN (SELECT * FROM f WHERE section = 'summary') b USING (doc_id)"""
 
 ORACLES["impute_mean"] = f"""WITH {GAPPY} SELECT doc_id,
   round(coalesce(summary_length, avg(summary_length) OVER ()), 6) AS summary_length,
   round(coalesce(summary_avg_sentence_length, avg(summary_avg_sentence_length) OVER ()), 6) AS summary_avg_sentence_length FROM gappy"""
-DOC_MATRIX = f"""m AS (SELECT doc_id, w::DOUBLE AS length, coalesce(w / nullif(s, 0)::DOUBLE, 0) AS avg_sentence_length,
-    {fkgl('w', 's', 'y')} AS "FKGL", {fre('w', 's', 'y')} AS "FRE", avg_clauses, pdtb_coverage
+DOC_MATRIX = f"""{bow('documents', 'doc_id', 'text')}, {language('documents', 'documents', 'doc_id')},
+  m AS MATERIALIZED (SELECT doc_id, w::DOUBLE AS length, coalesce(w / nullif(s, 0)::DOUBLE, 0) AS avg_sentence_length,
+    {fkgl('w', 's', 'y')} AS "FKGL", {fre('w', 's', 'y')} AS "FRE", avg_clauses, similarity AS sbert_sim, pdtb_coverage,
+    {', '.join(f'{r}_ratio' for r in lexicon.ROLES)}, cwe, ppl
   FROM (SELECT doc_id, {n_words('text')} AS w, {n_sents('text')} AS s, {n_syllables('text')} AS y,
-    {clauses('text')} AS avg_clauses, {coverage('text', has_part)} AS pdtb_coverage FROM documents))"""
+    {clauses('text')} AS avg_clauses, {coverage('text', has_part)} AS pdtb_coverage,
+    {', '.join(f"{role_share('text', r)} AS {r}_ratio" for r in lexicon.ROLES)} FROM documents)
+  JOIN bow USING (doc_id) JOIN lm USING (doc_id))"""
 ORACLES["standardize"] = f"WITH {DOC_MATRIX} SELECT doc_id, " + ", ".join(
     f'round(("{c}" - avg("{c}") OVER ()) / coalesce(nullif(stddev_pop("{c}") OVER (), 0), 1), 6) AS "{c}"' for c in MATRIX) + " FROM m"
 ORACLES["feature_correlation"] = f"WITH {DOC_MATRIX} " + " UNION ALL ".join(

@@ -36,9 +36,14 @@ def explode_articles(df: DataFrame, json: str, *keep: str) -> DataFrame:
     """One row per article of a JSON array in column ``json``.
 
     An article without an id is called ``doc_{n}`` after its place in the array,
-    counted from 1.
+    counted from 1. A text that is not such an array, cut off or with a string in
+    place of a list, is an error; a blank one has no articles.
     """
-    parsed = df.select(*keep, F.posexplode(F.from_json(json, T.ArrayType(ARTICLE))).alias("pos", "a"))
+    given = F.nullif(F.btrim(json, F.lit(" \t\r\n")), F.lit(""))
+    articles = F.from_json(given, T.ArrayType(ARTICLE), {"mode": "FAILFAST"})
+    not_parsed = F.raise_error(F.concat(F.lit("not an array of articles: "), F.left(given, F.lit(80))))
+    checked = F.when(given.isNotNull() & articles.isNull(), not_parsed).otherwise(articles)
+    parsed = df.select(*keep, F.posexplode(checked).alias("pos", "a"))
     return parsed.select(
         *keep,
         F.coalesce("a.id", F.concat(F.lit("doc_"), F.col("pos") + 1)).alias("doc_id"),
@@ -55,11 +60,14 @@ def read_articles(spark: SparkSession, path: str, layout: str = "lines") -> Data
       record here, so files over ``ARRAY_FILE_LIMIT`` are refused.
     * ``array_with_ids``: each file holds one array of any size, parsed as a
       stream; ids are required.
+
+    JSON that is cut off, garbled or of another shape is an error in every layout.
     """
+    reader = spark.read.schema(ARTICLE).option("mode", "FAILFAST")
     if layout == "lines":
-        return _with_required_id(spark.read.schema(ARTICLE).json(path))
+        return _with_required_id(reader.json(path))
     if layout == "array_with_ids":
-        return _with_required_id(spark.read.schema(ARTICLE).option("multiLine", True).json(path))
+        return _with_required_id(reader.option("multiLine", True).json(path))
     if layout == "array":
         files = spark.read.text(path, wholetext=True)
         too_big = F.raise_error(F.concat(F.col("_metadata.file_path"), F.lit(

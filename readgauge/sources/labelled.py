@@ -6,23 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_labelled_groups(spark: SparkSession, path: str, line_ending: str = "\n",
+def line_ending_of(spark: SparkSession, path: str) -> str:
+    """How the first line found below ``path`` ends; reads no more than that."""
+    first = spark.read.option("lineSep", "\n").text(path).first()
+    return "\r\n" if first and first["value"].endswith("\r") else "\n"
+
+
+def read_labelled_groups(spark: SparkSession, path: str, line_ending: str | None = None,
                          on_malformed: str = "error") -> DataFrame:
     """``(abstract_id, pos, label, sentence)``, ``pos`` counting from 0 in each abstract.
 
-    The blank line is the record separator, so large files still split. The id
-    comes from the ``###`` line, else from a hash of the abstract. Lines without
-    a tab are ignored; a line with several tabs is an error, or with
-    ``on_malformed='drop'`` left out.
+    The blank line is the record separator, so large files still split; how lines
+    end is seen from the first one unless given, and files that end them otherwise
+    are read rightly but whole. The id comes from the ``###`` line; an abstract
+    without it is told apart by its file and place, so that equal abstracts stay
+    apart. Lines without a tab are ignored; a line with several tabs is an error,
+    or with ``on_malformed='drop'`` left out.
     """
     if on_malformed not in ("error", "drop"):
         raise ValueError(f"on_malformed must be 'error' or 'drop', not {on_malformed!r}")
-    records = spark.read.option("lineSep", line_ending * 2).text(path)
+    line_ending = line_ending or line_ending_of(spark, path)
+    records = spark.read.option("lineSep", line_ending * 2).text(path).select(
+        "value", F.concat_ws("-", F.lit("at"), F.md5("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string"),
+                             F.monotonically_increasing_id().cast("string")).alias("place"))
     # three or more line ends in a row leave blanks at the edges, which carry no tab
-    abstracts = records.select(F.explode(F.split("value", r"\n[ \t\r]*\n")).alias("abstract"))
+    abstracts = records.select("place", F.posexplode(F.split("value", r"\n[ \t\r]*\n")).alias("part", "abstract"))
     lines = abstracts.filter(F.contains("abstract", F.lit("\t"))).select(
         F.coalesce(
-            F.nullif(F.regexp_extract("abstract", r"(?m)^###[ ]*([^\s]+)", 1), F.lit("")), F.md5("abstract")
+            F.nullif(F.regexp_extract("abstract", r"(?m)^###[ ]*([^\s]+)", 1), F.lit("")), F.concat_ws("-", "place", "part")
         ).alias("abstract_id"),
         F.posexplode(
             F.filter(

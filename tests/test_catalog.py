@@ -66,12 +66,12 @@ def test_record_is_consistent(spark, name):
     if name == "forest_single":
         assert sum(row["feature_importances"]) == pytest.approx(1)
     else:
-        assert len(row["model_coefficients"]) == 1 and len(row["model_coefficients"][0]) == 6
+        assert len(row["model_coefficients"]) == 1 and len(row["model_coefficients"][0]) == 14
 
 
 def test_sweep_covers_all_subsets(spark):
     rows = QUERIES["subset_sweep"](spark, SF).collect()
-    assert len({tuple(r["feature_combination"]) for r in rows}) == 5
+    assert len({tuple(r["feature_combination"]) for r in rows}) == 5 and all(len(r["feature_combination"]) == 13 for r in rows)
     assert all(r["error"] is None for r in rows)
     accuracies = [r["accuracy"] for r in rows]
     assert accuracies == sorted(accuracies, reverse=True)
@@ -79,11 +79,11 @@ def test_sweep_covers_all_subsets(spark):
 
 def test_attribution_is_symmetric_for_two_classes(spark):
     rows = {(r["class"], r["feature"]): r["mean_abs"] for r in QUERIES["attribution_mean_abs"](spark, SF).collect()}
-    assert len(rows) == 12
+    assert len(rows) == 2 * 14
     assert all(value == pytest.approx(rows[1, f]) for (c, f), value in rows.items() if c == 0)
 
 
 def test_role_classifier_learns(spark):
     report = {r["class"]: r for r in QUERIES["role_classifier"](spark, SF).collect()}
-    assert set(report) == {"assistant", "system", "user", "macro avg", "weighted avg"}
+    assert set(report) == {"assistant", "system", "user", "accuracy", "macro avg", "weighted avg"}
     assert report["weighted avg"]["f1"] > 0.4

@@ -39,6 +39,31 @@ def test_article_array_too_large_to_number(spark, tmp_path, monkeypatch):
     assert set(as_dict(articles.read_articles(spark, str(path), "array_with_ids"))) == {"elife-1", "x"}
 
 
+@pytest.mark.parametrize("text", ['[{"id": "a", "abstract": ["x"]}, {"id": "b", "abs', "plain garbage",
+                                  '[{"id": "a", "abstract": "a string"}]'])
+@pytest.mark.parametrize("layout", ["array", "array_with_ids", "lines"])
+def test_malformed_articles_are_errors(spark, tmp_path, text, layout):
+    path = tmp_path / "a.json"
+    path.write_text(text[1:-1] if layout == "lines" and text[-1] == "]" else text)
+    with pytest.raises(Exception):
+        articles.read_articles(spark, str(path), layout).collect()
+
+
+def test_blank_article_file(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.write_text(" \n")
+    assert articles.read_articles(spark, str(path), "array").collect() == []
+
+
+def test_equal_abstracts_without_an_id_stay_apart(spark, tmp_path):
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_bytes(b"\r\n\r\n".join([b"AIM\tSame.\r\nEND\tDone."] * 2) + b"\r\n")
+    rows = labelled.read_labelled_groups(spark, str(tmp_path)).collect()
+    assert len(rows) == 8 and len({r["abstract_id"] for r in rows}) == 4
+    assert len({(r["abstract_id"], r["pos"]) for r in rows}) == 8
+    assert labelled.line_ending_of(spark, str(tmp_path)) == "\r\n"
+
+
 def test_article_lines_need_ids(spark, tmp_path):
     path = tmp_path / "a.jsonl"
     path.write_text("\n".join(json.dumps(a) for a in ARTICLES if "id" in a))
