@@ -86,7 +86,7 @@ def type_matrix(spark, sf) -> DataFrame:
     long = reshape.long_features(feature_table(views.pairs(spark, sf), cues=TEST_CUES), list(MATRIX))
     numbered = reshape.label_from_map(long, {"abstract": 0, "summary": 1})
     named = kept(numbered.withColumn("text_id", F.concat_ws("/", "doc_id", "type")), "type-matrix")
-    return stats.stratified_test_flag(named, "text_id", "label", 0.3)
+    return kept(stats.stratified_test_flag(named, "text_id", "label", 0.3), "split-matrix")
 
 
 def judged(spark, sf) -> DataFrame:
