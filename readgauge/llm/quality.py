@@ -3,8 +3,8 @@
 Heuristic labellers vote good, bad or nothing on each document. Expectation maximisation over the counts of vote
 patterns (at most 3 ** len(LABELLERS) of them, counted over all documents) estimates how often each labeller votes what on good
 and on bad documents; the posterior of a pattern is its weak label. A logistic model over hashed features, trained
-with these labels as weights, scores every document. Training reads about TRAIN_ROWS documents chosen by a hash of their
-text, so the cost of fitting is bounded; counting and scoring read all.
+with these labels as weights, scores every document. Training reads about TRAIN_ROWS texts at most, chosen by their hash
+and taken once each, so neither the corpus nor a text with many copies makes fitting dearer; counting and scoring read all.
 
 Null and empty texts have no words and are rejected. Repeated rows each get a row and equal texts equal scores; with
 no document to learn from, nothing is returned. Input columns come back as a struct, so their names can't clash.
@@ -125,7 +125,7 @@ class QualityModel:
             return cls({}, [], 0.5, None, features)
         posterior, table, prior = estimate(patterns)
         share = min(1.0, rows / sum(n for _, n in patterns))
-        chosen = voted(docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)))
+        chosen = voted(docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000_000)) < int(share * 1_000_000_000)).distinct())
         known = cls(posterior, table, prior, None, features)
         weak = known.vectors(chosen).withColumn("bad", known.label(F.col("votes")))
         weak = weak.select("features", F.explode(F.array(
