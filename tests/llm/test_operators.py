@@ -224,6 +224,43 @@ def test_template_join_equals_brute_force():
         assert licenses.block_matches(block, index) == want
 
 
+def test_wrapped_notices_and_variants(spark):
+    texts = {
+        "mit": "Copyright 2020\n\nPermission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and",
+        "bsd": "# Redistribution and use in source and binary forms, with or\n# without modification, are permitted provided",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0. If",
+        "apache": "Licensed under\nthe Apache\nLicense, Version 2.0 (the", "cc-by": "Licensed under\nCC BY 4.0.",
+        "cc-by-nc": "x licensed under CC BY-NC 4.0.", "cc-by-sa": "licensed under CC\nBY-SA 4.0", "": "released under the X license",
+        "cc-by,cc-by-nc": "Text licensed under CC BY 4.0, pictures licensed under CC BY-NC 4.0.",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert [got[i]["labels"] for i in range(len(texts))] == list(texts)
+    assert got[0]["blocks"] == [2] and got[0]["score"] == 1 and got[3]["blocks"] == [0] and got[8]["blocks"] == [0]
+
+
+def test_stretches_equal_brute_force():
+    rng = random.Random(6)
+    found = 0
+    for _ in range(400):
+        vocabulary = [f"w{i}".encode() for i in range(9)]
+        text = b" ".join(rng.choices(vocabulary[:6], k=rng.randint(2, 6))).decode()
+        own, foreign = rng.choice([("", ""), ("w0", ""), ("", "w7 w8"), ("w1", "w8")])
+        index = licenses.template_index([("x", text, own, foreign)], {}, 0.8)
+        template = next(iter(index.values()))[0][0]
+        words = rng.choices(vocabulary, k=rng.randint(0, 30))
+        every, shares = set(text.encode().split()), []
+        for a in range(len(words)):
+            for b in range(a + 1, min(len(words), a + len(text.split())) + 1):
+                block = set(words[a:b])
+                if set(own.encode().split()) <= block and not set(foreign.encode().split()) & block:
+                    shares += [len(block & every)] * (len(block & every) >= 0.8 * len(every) - 1e-9)
+        kept = licenses.stretches(words, template)
+        assert max((n for n, _ in kept), default=0) == max(shares, default=0)
+        found += bool(kept)
+    assert found > 50
+
+
 def test_token_counts_follow_edits(docs, rows):
     encode = packing.encoder()
     rng = random.Random(9)
