@@ -4,7 +4,8 @@ Every source has a weight and a schedule: its weight's multiplier at the begin a
 Targets share the demand by weight, none above REPEATS times its source (water filling). A source's documents form a
 stream in a fixed random order (md5 of the id), repeated as often as the target asks; a document is taken for the part
 of the stream before the target. The schedule, integrated, gives a source's cumulative demand at time t; its inverse gives
-the time at which a document's words are due: its position in 0..1. Positions order the result.
+the time at which a document's words are due: its position in 0..1, one for each pass over the source that takes it.
+Positions order the result.
 
 Null texts have no words and are never taken; null ids and null sources are ids and a source like others (null sorts last);
 repeated rows each count. An empty table gives an empty result.
@@ -65,8 +66,9 @@ def targets(sources: DataFrame, weights=WEIGHTS, demand: float = DEMAND, repeats
 
 def mix(docs: DataFrame, weights=WEIGHTS, demand: float = DEMAND, repeats: int = REPEATS, schedules=SCHEDULES,
         size: Column | None = None, slices: int = SLICES, slim: tuple[str, ...] | None = None) -> DataFrame:
-    """One row per row of ``docs``: its columns (or those in ``slim``) as struct ``doc``, ``size, source_size, target, taken, position``.
+    """One row per row of ``docs``: its columns (or those in ``slim``) as struct ``doc``, ``size, source_size, target, taken, position, positions``.
 
+    ``positions`` has one for each pass that takes the document, in order (none: empty); ``position`` is the first, or null.
     A source's stream is cut by the leading digits of the md5 into ``slices``; running sums are taken within a slice
     and over the slices' sums, so a source with a third of all rows spreads over all tasks.
     """
@@ -90,13 +92,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, demand: float = DEMAND, repeats: int =
     at = F.col("before") + F.col("inner")
     asked = F.floor(F.col("target") + 1e-6).cast("bigint")
     zero = F.lit(0).cast("bigint")
-    taken = sum((
-        F.greatest(zero, F.least(F.col("size"), asked - F.col("source_size") * r - at)) for r in range(repeats)
-    ), zero)
-    share = F.when(asked > 0, F.least(F.lit(1.0), (at + F.col("size") / 2.0) / asked))
+    begins = [at + F.col("source_size") * r for r in range(repeats)]
+    parts = [F.greatest(zero, F.least(F.col("size"), asked - b)) for b in begins]
+    times = [F.when(part > 0, due(F.least(F.lit(1.0), (b + F.col("size") / 2.0) / asked), F.col("begin"), F.col("end")))
+             for b, part in zip(begins, parts)]
     return rows.select(
-        "doc", "size", "source_size", "target", taken.cast("bigint").alias("taken"),
-        F.when(taken > 0, due(share, F.col("begin"), F.col("end"))).alias("position"),
+        "doc", "size", "source_size", "target", sum(parts, zero).cast("bigint").alias("taken"),
+        times[0].alias("position"), F.array_compact(F.array(*times)).alias("positions"),
     )
 
 
@@ -108,6 +110,4 @@ def ordered(mixed: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The taken documents in training order, each as often as it is begun (its last time may be taken in part)."""
     parts = mix(docs, **parameters)
-    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    again = parts.where("taken > 0").withColumn("copy", F.explode(copies))
-    return ordered(again).select("doc.*")
+    return ordered(parts.select("doc", F.explode("positions").alias("position"))).select("doc.*")

@@ -51,7 +51,7 @@ def op6_packing(spark, sf):
 @query
 def op7_mixing(spark, sf):
     mixed = mixing.ordered(mixing.mix(table(spark, sf, "documents").select("doc_id", "source", "text"), slim=("doc_id",)))
-    return mixed.select("doc.doc_id", "size", "source_size", "target", "taken", "position")
+    return mixed.select("doc.doc_id", "size", "source_size", "target", "taken", "position", "positions")
 
 
 @query

@@ -179,6 +179,27 @@ def test_mix(docs, rows):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_every_pass_has_its_position(spark):
+    texts = [("rare", i, " ".join(["w"] * (1 + i % 5))) for i in range(20)] + [("wide", 100 + i, "w " * 9) for i in range(200)]
+    docs = spark.createDataFrame(texts, "source string, doc_id bigint, text string")
+    options = {"weights": (5, 1), "schedules": ((0.5, 1.5), (1.0, 1.0)), "repeats": 3, "demand": 1.2}
+    got = [r for r in mixing.mix(docs, **options).select("doc.source", "doc.doc_id", "size", "target", "position", "positions").collect()
+           if r["source"] == "rare"]
+    stream = sorted(got, key=lambda r: hashlib.md5(str(r["doc_id"]).encode()).hexdigest())
+    target = stream[0]["target"]
+    assert target == 3 * sum(r["size"] for r in stream)
+    at, want = 0, {}
+    for r in stream * 3:
+        share = (at + r["size"] / 2) / target
+        want.setdefault(r["doc_id"], []).append((0.25 + 2 * share) ** 0.5 - 0.5)  # t with 0.5 t + 0.5 t² = share
+        at += r["size"]
+    for r in got:
+        assert r["positions"] == pytest.approx(want[r["doc_id"]]) and r["position"] == r["positions"][0]
+    assert max(r["positions"][-1] for r in got) > 0.95
+    order = [r["doc_id"] for r in mixing.mixed_documents(docs, **options).collect() if r["source"] == "rare"]
+    assert order == [r["doc_id"] for r in stream * 3]
+
+
 def test_packing_is_a_round_trip(docs, rows):
     from tokenizers import Tokenizer
     import public_tokenizers
