@@ -1,11 +1,15 @@
-"""The ten operators as queries over the whole test tables, with production parameters."""
+"""The operators as queries over the whole test tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, neighbours, packing, quality, shingles, suffixes, tokencounts, urlfilter
+from . import (
+    decontaminate, divergence, fingerprints, lexical, licenses, mixing, neighbours, packing, quality, shingles, suffixes,
+    tokencounts, urlfilter,
+)
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES = {}
 
@@ -74,4 +78,18 @@ def op10_nearest_neighbours(spark, sf):
     return neighbours.nearest(table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
 
 
-ORACLES = {}
+@query
+def op11_benchmark_decontamination(spark, sf):
+    found = decontaminate.scan(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return found.select("doc.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        decontaminate.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op12_ranked_search(spark, sf):
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op13_source_divergence(spark, sf):
+    return divergence.audit(table(spark, sf, "documents"))
