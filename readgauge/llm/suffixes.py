@@ -73,6 +73,20 @@ def packs_of(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, f"{PACKS}, rest array<{slim.schema['rest'].dataType.simpleString()}>")
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash for every GRAM bytes that stand together."""
+    with np.errstate(over="ignore"):
+        h, width, powers = BYTE_VALUES[data], 1, {}
+        while width <= GRAM // 2:
+            h = h[:-width] * np.uint64(pow(BASE, width, 1 << 64)) + h[width:]
+            width *= 2
+            powers[width] = h
+        rest = GRAM - width
+        if rest:
+            h = h[:len(h) - rest] * np.uint64(pow(BASE, rest, 1 << 64)) + powers[rest][width:]
+        return mixed(h)
+
+
 class Anchors:
     """The windows of a pack in fragments: ``first`` window, number ``count``, ``hash`` of the anchor, ``doc`` in the pack."""
 
@@ -82,16 +96,7 @@ class Anchors:
         self.hash = np.zeros(0, np.uint64)
         if len(data) < WINDOW:
             return
-        with np.errstate(over="ignore"):
-            h, width, powers = BYTE_VALUES[data], 1, {}
-            while width <= GRAM // 2:
-                h = h[:-width] * np.uint64(pow(BASE, width, 1 << 64)) + h[width:]
-                width *= 2
-                powers[width] = h
-            rest = GRAM - width
-            if rest:
-                h = h[:len(h) - rest] * np.uint64(pow(BASE, rest, 1 << 64)) + powers[rest][width:]
-            h = mixed(h)
+        h = gram_hashes(data)
         least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
         span, width = WINDOW - GRAM + 1, 1
         while 2 * width <= span:
@@ -221,6 +226,31 @@ def fragments(packs: DataFrame, told: DataFrame, buckets: int, shards: int) -> D
     return packs.join(told, ["pid", "pack"]).select("pid", "pack", "ids", "ends", "text", "told").mapInArrow(run, FRAGMENTS)
 
 
+def with_company(pieces: list[bytes]) -> np.ndarray:
+    """Whether another piece has the same anchor. Equal windows have equal anchors, so a piece without company shares none.
+
+    All windows of a piece have its least gram as anchor; the high half of its hash tells, and a clash only sorts in vain.
+    """
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    h = gram_hashes(np.frombuffer(b"".join(pieces), np.uint8)) >> np.uint64(32)
+    starts = np.cumsum(lengths) - lengths
+    bounds = np.stack([starts, starts + lengths - GRAM + 1], axis=1).ravel()
+    least = np.minimum.reduceat(np.append(h, np.uint64(1 << 32)), bounds)[::2]
+    _, at, n = np.unique(least, return_inverse=True, return_counts=True)
+    return n[at] > 1
+
+
+def lowest_of_pieces(pieces: list[bytes], lowest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``lowest_documents``, piece after piece, and each one's number of windows; only pieces with company are sorted."""
+    counts = np.array([len(p) - WINDOW + 1 for p in pieces], np.int64)
+    flat, starts = np.repeat(lowest, counts), np.cumsum(counts) - counts
+    several = np.flatnonzero(with_company(pieces)).tolist()
+    if several:
+        for i, found in zip(several, lowest_documents([pieces[i] for i in several], lowest[several])):
+            flat[starts[i]:starts[i] + counts[i]] = found
+    return flat, counts
+
+
 def lowest_documents(pieces: list[bytes], lowest: np.ndarray) -> list[np.ndarray]:
     """For each window of each distinct piece, the smallest ``lowest`` of a piece that holds the window."""
     text, starts = pieces_text(pieces)
@@ -270,9 +300,8 @@ def sorted_shards(parts: DataFrame) -> DataFrame:
         lowest = np.full(len(index), NO_ID, np.int64)
         for own, low in rows:
             np.minimum.at(lowest, own, low)
-        windows = lowest_documents(list(index), lowest)
-        counts = np.array([len(w) for w in windows])
-        flat, starts = np.concatenate(windows), np.cumsum(counts) - counts
+        flat, counts = lowest_of_pieces(list(index), lowest)
+        starts = np.cumsum(counts) - counts
         piece = np.repeat(np.arange(len(counts)), counts)
         new = np.ones(len(flat), bool)
         new[1:] = (flat[1:] != flat[:-1]) | (piece[1:] != piece[:-1])
