@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, measures as ms, text as tx
 from ..operators import (
-    attribution, coherence, joins, learn, metrics, profile, reshape, roles, scorers, stats,
+    attribution, boundaries, chains, coherence, joins, learn, metrics, profile, reshape, roles, scorers, stats, sweep, vectors,
 )
 from ..operators.language import CorpusModel
+from ..operators.trigrams import KneserNey
 from ..session import scratch_path
 from ..sources import articles, companion, labelled, results, tables
 from . import views
@@ -552,6 +553,54 @@ def bigram_perplexity_heldout(spark, sf):
     return logged(model.score(docs.filter(held_out), "text", ["doc_id"], cwe=False), "ppl")
 
 
+@query
+def kneser_ney_perplexity(spark, sf):
+    docs = views.documents(spark, sf).select("doc_id", "text")
+    return logged(KneserNey.fit(docs, "text").score(docs, "text", ["doc_id"], known=True), "ppl")
+
+
+@query
+def kneser_ney_perplexity_heldout(spark, sf):
+    docs = views.documents(spark, sf).select("doc_id", "text")
+    held_out = stats.in_test(F.col("doc_id"), 0.1)
+    model = KneserNey.fit(docs.filter(~held_out), "text")
+    return logged(model.score(docs.filter(held_out), "text", ["doc_id"]), "ppl")
+
+
+@query
+def word_associations(spark, sf):
+    return rounded(vectors.word_pairs(views.documents(spark, sf), "text"), "ppmi")
+
+
+@query
+def adjacent_cosine_learned(spark, sf):
+    docs = views.documents(spark, sf).select("doc_id", "text")
+    model = vectors.SentenceModel.fit(docs, "text")
+    return rounded(model.neighbour_similarity(docs, "text", "doc_id"), "similarity")
+
+
+@query
+def abbreviations(spark, sf):
+    rows = boundaries.token_rows(views.documents(spark, sf), "text")
+    found = boundaries.abbreviation_scores(boundaries.type_counts(rows)).filter(F.col("score") >= boundaries.ABBREVIATION)
+    return rounded(found, "score")
+
+
+@query
+def sentence_starters(spark, sf):
+    rows = boundaries.token_rows(views.documents(spark, sf), "text")
+    counted = boundaries.type_counts(rows)
+    short = boundaries.Boundaries.fit(views.documents(spark, sf), "text").abbreviations
+    scores = boundaries.starter_scores(boundaries.follow_counts(rows, short), counted)
+    return rounded(scores.filter(F.col("score") >= boundaries.STARTER), "score")
+
+
+@query
+def sentence_split_learned(spark, sf):
+    docs = views.documents(spark, sf).select("doc_id", "text")
+    return boundaries.split_rows(docs, "text", "doc_id", model=boundaries.Boundaries.fit(docs, "text"))
+
+
 @query
 def content_words(spark, sf):
     found = ms.content_words(tx.lower_words(F.col("text")))
@@ -679,9 +728,19 @@ def attribution_mean_abs(spark, sf):
     return attribution.attribution_mean_abs(model, test, MATRIX)
 
 
+@query
+def subset_sweep_records(spark, sf):
+    return sweep.logistic_sweep(type_matrix(spark, sf), MATRIX, 4, CLASSES)
+
+
 @query
 def subset_sweep(spark, sf):
-    swept = learn.subset_sweep(type_matrix(spark, sf), MATRIX, len(MATRIX) - 1, CLASSES)
+    return metrics.top_k(subset_sweep_records(spark, sf), "accuracy", 5, "feature_combination")
+
+
+@query
+def forest_sweep(spark, sf):
+    swept = sweep.forest_sweep(type_matrix(spark, sf), MATRIX, 4, CLASSES)
     return metrics.top_k(swept, "accuracy", 5, "feature_combination")
 
 
@@ -694,6 +753,25 @@ def role_classifier(spark, sf):
     return metrics.classification_report(predicted, "label", "role")
 
 
+@query
+def role_chain(spark, sf):
+    turns = views.turns(spark, sf)
+    held_out = stats.in_test(F.col("abstract_id"), 0.3)
+    model = chains.RoleChain.fit(turns.filter(~held_out), "abstract_id", "pos", "sentence", "label", passes=30)
+    predicted = model.predict(turns.filter(held_out), "abstract_id", "pos", "sentence", "label")
+    return metrics.classification_report(predicted, "label", "role")
+
+
+@query
+def feature_table_trained_roles(spark, sf):
+    """Roles learned from sentences of the documents that cue words label, then read off the order of the pairs' sentences."""
+    parts = views.documents(spark, sf).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
+    labelled_parts = parts.withColumn("label", ms.cue_role(F.lower("sentence"), TEST_CUES))
+    model = chains.RoleChain.fit(labelled_parts, "doc_id", "pos", "sentence", "label", passes=30)
+    pairs = views.pairs(spark, sf)
+    return feature_table(pairs, roles=chains.section_role_ratios(pairs, model))
+
+
 @query
 def custom_scorer(spark, sf):
     scorers.register_scorer("n_words", lambda texts: texts.str.count(r"[^\W_]+"), "long")

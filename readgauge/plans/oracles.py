@@ -314,6 +314,118 @@ def is_test(key, fraction):
 ORACLES["bigram_perplexity_heldout"] = f"""WITH train AS (SELECT * FROM documents WHERE NOT {is_test('doc_id', 0.1)}),
   held AS (SELECT * FROM documents WHERE {is_test('doc_id', 0.1)}), {language('train', 'held', 'doc_id')}
   SELECT doc_id, round(ln(ppl), 6) AS log_ppl FROM lm"""
+
+
+def kneser_ney(train, scored, keys):
+    """Named subqueries ending in ``kn({keys}, ppl)``; both tables have a column text."""
+    def triples(name, table, columns):
+        return f"""{name}w AS (SELECT {columns} {words('lower(text)')} AS ws FROM {table}),
+  {name} AS (SELECT {columns} unnest(list_concat(['', ' '], ws)[1:len(ws)]) AS u, unnest(list_concat([' '], ws)[1:len(ws)]) AS v,
+    unnest(ws) AS w FROM {name}w WHERE len(ws) > 0)"""
+
+    def discounts(name, table):
+        n = [f"count(*) FILTER (n = {i})" for i in (1, 2, 3, 4)]
+        step = lambda i, before: (
+            f"CASE WHEN n{i} > 0 THEN least({i}.0::DOUBLE, greatest(0.1::DOUBLE, {i} - {i + 1} * (n1 / (n1 + 2 * n2)) * (n{i + 1} / n{i}))) ELSE {before} END")
+        return f"""{name}0 AS (SELECT {', '.join(f'({x})::DOUBLE AS n{i}' for i, x in enumerate(n, 1))} FROM {table}),
+  {name}1 AS (SELECT *, {step(1, '0.5::DOUBLE')} AS d1 FROM {name}0),
+  {name}2 AS (SELECT *, {step(2, 'd1')} AS d2 FROM {name}1),
+  {name} AS (SELECT d1, d2, {step(3, 'd2')} AS d3 FROM {name}2)"""
+
+    def taken(n, d):
+        return f"coalesce({n} - CASE WHEN {n} = 1 THEN {d}.d1 WHEN {n} = 2 THEN {d}.d2 ELSE {d}.d3 END, 0)"
+
+    def kinds(n):
+        return (f"sum({n})::DOUBLE AS total, count(*) FILTER ({n} = 1) AS n1, count(*) FILTER ({n} = 2) AS n2, "
+                f"count(*) FILTER ({n} >= 3) AS n3")
+
+    def given(t, d):
+        return f"(({d}.d1 * {t}.n1 + {d}.d2 * {t}.n2 + {d}.d3 * {t}.n3) / {t}.total)"
+
+    return f"""{triples('ko', train, '')},
+  k3 AS (SELECT u, v, w, count(*) AS n FROM ko GROUP BY ALL), k2 AS (SELECT v, w, count(*) AS n FROM k3 GROUP BY ALL),
+  k1 AS (SELECT w, count(*) AS n FROM k2 GROUP BY ALL),
+  {discounts('kd3', 'k3')}, {discounts('kd2', 'k2')}, {discounts('kd1', 'k1')},
+  kc AS (SELECT u, v, {kinds('n')} FROM k3 GROUP BY ALL), kh AS (SELECT v, {kinds('n')} FROM k2 GROUP BY ALL),
+  kt AS (SELECT {kinds('n')}, count(*) AS words FROM k1),
+  {triples('kq', scored, keys + ',')},
+  kp AS (SELECT {', '.join('q.' + k.strip() for k in keys.split(','))},
+      CASE WHEN c.total IS NULL THEN p2 ELSE {taken('k3.n', 'kd3')} / c.total + {given('c', 'kd3')} * p2 END AS p
+    FROM (SELECT q.*, CASE WHEN h.total IS NULL THEN p1 ELSE {taken('k2.n', 'kd2')} / h.total + {given('h', 'kd2')} * p1 END AS p2
+      FROM (SELECT q.*, {taken('k1.n', 'kd1')} / kt.total + {given('kt', 'kd1')} / (kt.words + 1) AS p1
+        FROM kq q LEFT JOIN k1 USING (w), kt, kd1) q
+      LEFT JOIN k2 USING (v, w) LEFT JOIN kh h USING (v), kd2) q
+    LEFT JOIN k3 USING (u, v, w) LEFT JOIN kc c USING (u, v), kd3),
+  kn AS (SELECT {keys}, exp(avg(-ln(p))) AS ppl FROM {scored} LEFT JOIN kp USING ({keys}) GROUP BY {keys})"""
+
+
+ORACLES["kneser_ney_perplexity"] = f"WITH {kneser_ney('documents', 'documents', 'doc_id')} SELECT doc_id, round(ln(ppl), 6) AS log_ppl FROM kn"
+ORACLES["kneser_ney_perplexity_heldout"] = f"""WITH train AS (SELECT * FROM documents WHERE NOT {is_test('doc_id', 0.1)}),
+  held AS (SELECT * FROM documents WHERE {is_test('doc_id', 0.1)}), {kneser_ney('train', 'held', 'doc_id')}
+  SELECT doc_id, round(ln(ppl), 6) AS log_ppl FROM kn"""
+ORACLES["word_associations"] = f"""WITH a AS (SELECT row_number() OVER () AS r, {sents('lower(text)')} AS s FROM documents),
+  b AS (SELECT r, unnest(range(len(s))) AS p, {words('unnest(s)')} AS ws FROM a),
+  c AS (SELECT r, p, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM b),
+  whole AS (SELECT unnest({words('lower(text)')}) AS w FROM documents),
+  known AS (SELECT w FROM whole GROUP BY w HAVING count(*) >= 5 ORDER BY count(*) DESC, w LIMIT 50000),
+  x AS (SELECT c.* FROM c SEMI JOIN known USING (w)),
+  one AS (SELECT x.w, y.w AS near FROM x JOIN x y ON x.r = y.r AND x.p = y.p AND y.i > x.i AND y.i <= x.i + 4),
+  n AS (SELECT w, near, count(*) AS n FROM (SELECT * FROM one UNION ALL SELECT near, w FROM one) GROUP BY ALL),
+  m AS (SELECT w, sum(n) AS n FROM n GROUP BY w), t AS (SELECT sum(n) AS n FROM n)
+  SELECT n.w, n.near, n.n, round(ln(n.n::DOUBLE * t.n::DOUBLE / (a.n::DOUBLE * b.n::DOUBLE)), 6) AS ppmi
+  FROM n JOIN m a ON a.w = n.w JOIN m b ON b.w = n.near, t WHERE n.n::DOUBLE * t.n::DOUBLE > a.n::DOUBLE * b.n::DOUBLE"""
+
+
+def token_type(t):
+    core = rf"regexp_replace(regexp_replace(lower({t}), '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}]+$', '')"
+    return rf"CASE WHEN regexp_matches({core}, '^\p{{N}}[\p{{N}}.,]*$') THEN '#' ELSE {core} END"
+
+
+STOPS = r"regexp_matches({}, '[\p{{L}}\p{{N}}]\.$')"
+TOKENS = rf"""tl AS (SELECT regexp_extract_all(text, '[^ \n\t\r]+') AS t FROM documents),
+  tk AS (SELECT unnest(t) AS token, unnest(list_concat([''], t[:-2])) AS before FROM tl WHERE len(t) > 0),
+  ty AS (SELECT {token_type('token')} AS type, {STOPS.format('token')} AS stop, {token_type('before')} AS previous,
+    {STOPS.format('before')} AS previous_stop, before = '' OR regexp_matches(before, '[.!?]$') AS after_end FROM tk),
+  tc AS (SELECT type, count(*) FILTER (stop) AS n_stop, count(*) FILTER (NOT stop) AS n_plain FROM ty WHERE type <> '' GROUP BY type),
+  tt AS (SELECT sum(n_stop)::DOUBLE AS stops, sum(n_stop + n_plain)::DOUBLE AS tokens FROM tc),
+  ta AS (SELECT type, n_stop, n_plain, 2 * (n_stop * ln(0.99) + n_plain * ln(0.01)
+      - n_stop * ln(stops / tokens) - n_plain * ln(1 - stops / tokens))
+      * exp(-(length(type) - dots)::DOUBLE) * (dots + 1) * pow((length(type) - dots)::DOUBLE, -n_plain::DOUBLE) AS score
+    FROM (SELECT *, length(type) - length(replace(type, '.', '')) AS dots FROM tc), tt
+    WHERE n_stop > 0 AND regexp_matches(type, '\p{{L}}')),
+  tb AS (FROM ta WHERE score >= 0.3 ORDER BY score DESC, type LIMIT 5000),
+  tf AS (SELECT CASE WHEN short THEN previous END AS previous, type, count(*)::DOUBLE AS both FROM (
+      SELECT *, previous = '#' OR regexp_matches(previous, '^\p{{L}}$') OR previous IN (SELECT type FROM tb) AS short FROM ty)
+    WHERE type NOT IN ('', '#') AND previous <> '' AND CASE WHEN short THEN previous_stop ELSE after_end END GROUP BY ALL)"""
+
+
+def ratio_score(both, a, b, n):
+    part = lambda k, m, p: (
+        f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END + CASE WHEN {m} - {k} > 0 THEN ({m} - {k}) * ln(1 - {p}) ELSE 0 END)")
+    x, y = f"({both} / {a})", f"(({b} - {both}) / greatest({n} - {a}, 1.0::DOUBLE))"
+    return (f"CASE WHEN {x} > {y} THEN 2 * ({part(both, a, x)} + {part(f'({b} - {both})', f'({n} - {a})', y)}"
+            f" - {part(both, a, f'({b} / {n})')} - {part(f'({b} - {both})', f'({n} - {a})', f'({b} / {n})')}) ELSE 0 END")
+
+
+STARTERS = f"""ts AS (SELECT f.type, f.both::BIGINT AS both, {ratio_score('f.both', 'e.n', '(c.n_stop + c.n_plain)::DOUBLE', 'tt.tokens')} AS score
+    FROM tf f JOIN tc c USING (type), (SELECT sum(both) AS n FROM tf WHERE previous IS NULL) e, tt WHERE f.previous IS NULL)"""
+ORACLES["abbreviations"] = f"WITH {TOKENS} SELECT type, n_stop, n_plain, round(score, 6) AS score FROM ta WHERE score >= 0.3"
+ORACLES["sentence_starters"] = f"WITH {TOKENS}, {STARTERS} SELECT type, both, round(score, 6) AS score FROM ts WHERE score >= 30"
+ORACLES["sentence_split_learned"] = rf"""WITH {TOKENS}, {STARTERS},
+  st AS (SELECT type FROM ts WHERE score >= 30 ORDER BY score DESC, type LIMIT 5000),
+  co AS (SELECT previous, type FROM (SELECT f.previous, f.type, {ratio_score('f.both', 'p.n', '(c.n_stop + c.n_plain)::DOUBLE', 'tt.tokens')} AS score
+      FROM tf f JOIN (SELECT previous, sum(both) AS n FROM tf GROUP BY previous) p ON p.previous = f.previous JOIN tc c ON c.type = f.type, tt)
+    WHERE score >= 7.88 AND type NOT IN (SELECT type FROM st) ORDER BY score DESC, previous, type LIMIT 5000),
+  pa AS (SELECT row_number() OVER () AS r, doc_id, {sents("translate(text, chr(1), ' ')")} AS s FROM documents),
+  pb AS (SELECT r, doc_id, unnest(range(len(s))) AS i, unnest(s) AS part, unnest(list_concat(s[2:], [NULL])) AS following FROM pa),
+  pc AS (SELECT *, regexp_extract(part, '[^ \n\t\r]+$') AS token, regexp_extract(following, '^[^ \n\t\r]+') AS after FROM pb),
+  pd AS (SELECT *, {token_type('token')} AS before, {token_type('after')} AS next_type FROM pc),
+  pe AS (SELECT *, regexp_matches(before, '^\p{{L}}$') OR before IN (SELECT type FROM tb) AS short FROM pd),
+  pf AS (SELECT *, following IS NOT NULL AND {STOPS.format('token')} AND (short OR before = '#')
+      AND (regexp_matches(after, '^[^\p{{L}}\p{{N}}]*\p{{Ll}}') OR (before, next_type) IN (SELECT (previous, type) FROM co)
+        OR (short AND next_type NOT IN (SELECT type FROM st))) AS same FROM pe),
+  pg AS (SELECT *, coalesce(sum((NOT same)::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM pf)
+  SELECT doc_id, pos::INT AS pos, string_agg(part, ' ' ORDER BY i) AS sentence FROM pg GROUP BY r, doc_id, pos"""
 ORACLES["content_words"] = f"""WITH s AS (SELECT doc_id, list_filter({words('lower(text)')}, lambda w: {content('w')}) AS s
     FROM documents)
   SELECT doc_id, (unnest(range(len(s))))::INT AS pos, unnest(s) AS word FROM s"""

@@ -10,7 +10,8 @@ from readgauge.plans.oracles import ORACLES as SQL
 SF = "/root/testdata/sf0.001"
 ROWS_ONLY = {
     "pca_scores", "pca_loadings", "pca_variance", "logistic_single", "forest_single", "feature_importances",
-    "attribution_mean_abs", "subset_sweep", "role_classifier",
+    "attribution_mean_abs", "subset_sweep", "subset_sweep_records", "forest_sweep", "role_classifier", "role_chain",
+    "adjacent_cosine_learned", "feature_table_trained_roles",
 }
 
 
@@ -70,11 +71,34 @@ def test_record_is_consistent(spark, name):
 
 
 def test_sweep_covers_all_subsets(spark):
-    rows = QUERIES["subset_sweep"](spark, SF).collect()
-    assert len({tuple(r["feature_combination"]) for r in rows}) == 5 and all(len(r["feature_combination"]) == 13 for r in rows)
+    rows = QUERIES["subset_sweep_records"](spark, SF).collect()
+    assert len({tuple(r["feature_combination"]) for r in rows}) == 1001 and all(len(r["feature_combination"]) == 4 for r in rows)
     assert all(r["error"] is None for r in rows)
-    accuracies = [r["accuracy"] for r in rows]
-    assert accuracies == sorted(accuracies, reverse=True)
+    best = QUERIES["subset_sweep"](spark, SF).collect()
+    assert [r["accuracy"] for r in best] == sorted((r["accuracy"] for r in rows), reverse=True)[:5]
+
+
+def test_forest_sweep_is_ordered(spark):
+    rows = QUERIES["forest_sweep"](spark, SF).collect()
+    assert len(rows) == 5 and rows[0]["accuracy"] > 0.7
+    assert [r["accuracy"] for r in rows] == sorted((r["accuracy"] for r in rows), reverse=True)
+
+
+def test_learned_similarity_is_a_cosine(spark):
+    rows = QUERIES["adjacent_cosine_learned"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(-1 <= r["similarity"] <= 1 for r in rows) and len({r["similarity"] for r in rows}) > 20
+
+
+def test_role_chain_learns(spark):
+    report = {r["class"]: r for r in QUERIES["role_chain"](spark, SF).collect()}
+    assert report["weighted avg"]["f1"] > 0.6
+
+
+def test_trained_roles_add_up(spark):
+    rows = QUERIES["feature_table_trained_roles"](spark, SF).collect()
+    sums = {round(sum(r[f"abstract_{x}_ratio"] for x in ("background", "objective", "methods", "results", "conclusions")), 6) for r in rows}
+    assert len(rows[0]) == 1 + 2 * 14 and sums <= {0.0, 1.0} and 1.0 in sums
 
 
 def test_attribution_is_symmetric_for_two_classes(spark):

@@ -11,7 +11,10 @@ ROW_BY_ROW = [
     "connective_coverage_substring", "connective_coverage_word", "adjacent_cosine_bow", "content_words", "truncate_tokens",
     "hash_split",
 ]
-FITTING = {"logistic_single", "forest_single", "feature_importances", "attribution_mean_abs", "subset_sweep", "role_classifier"}
+FITTING = {
+    "logistic_single", "forest_single", "feature_importances", "attribution_mean_abs", "subset_sweep", "subset_sweep_records",
+    "forest_sweep", "role_classifier", "role_chain",
+}
 
 
 def plan(df) -> str:
@@ -33,7 +36,7 @@ def test_row_measures_shuffle_nothing_by_key(spark, name):
 def test_only_needed_columns_are_read(spark):
     assert "ReadSchema: struct<doc_id:bigint,n_chars:bigint>" in plan(QUERIES["topk_longest"](spark, SF))
     assert "TakeOrderedAndProject" in plan(QUERIES["topk_longest"](spark, SF))
-    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan(QUERIES["avg_clause_markers"](spark, SF))
+    assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)" in plan(QUERIES["text_length"](spark, SF))
 
 
 def test_text_is_taken_apart_once(spark):
