@@ -9,27 +9,23 @@ them up for any texts. Two measures come out:
   neighbouring words v, w of a text, where c(v) counts v with a word after it
   and V the distinct words; null below two words. Never below 1.
 
-The second splits into ln(c(v) + V), looked up by word, and ln(c(v, w) + 1),
-looked up by pair. Unknown words give ln V and unknown pairs 0, so only known
-ones need a partner and inner joins do.
+Scoring looks each distinct pair up once, gives it its value, and joins the values to the occurrences, all by 64-bit hashes of
+words. There is one path for all sizes: shuffle joins on words or pairs of words, which adaptive execution splits where one is
+frequent and turns into broadcasts where a side proves small.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.measures import content_words, is_content_word
 from ..session import scratch_path
 
-BROADCAST_ROWS = 500_000
-BROADCAST_WORD_CHARS = 64
-
 
 def _words(df: DataFrame, text: str, *keep: str, content_only: bool = False) -> DataFrame:
     """The kept columns and one row per lower-case word ``w``; a text without any has one null."""
@@ -56,6 +52,20 @@ def count_followed(df: DataFrame, text: str) -> DataFrame:
     return followed.groupBy("w", "nxt").agg(F.count("*").alias("n"))
 
 
+def _pair_hashes(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The kept columns and one row per pair of neighbouring words, as hashes ``v, w``."""
+    listed = df.select(*keep, F.transform(tx.lower_words(F.col(text)), lambda w: F.xxhash64(w)).alias("_ws"))
+    n = F.greatest(F.size("_ws") - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice("_ws", F.lit(1), n).alias("v"), F.slice("_ws", F.lit(2), n).alias("w"))
+    return listed.filter(n > 0).select(*keep, F.inline(pairs))
+
+
+def _content_hashes(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The kept columns and one row per content word, as hash ``w``."""
+    found = F.transform(content_words(tx.lower_words(F.col(text))), lambda w: F.xxhash64(w))
+    return df.select(*keep, F.explode(found).alias("w"))
+
+
 @dataclass(frozen=True)
 class CorpusModel:
     """Counts of a training corpus, kept as two tables below ``path``.
@@ -66,14 +76,10 @@ class CorpusModel:
     path: str
     n_tokens: int
     n_words: int
-    n_long_words: int
-    n_pairs: int
-    n_long_pairs: int
-    n_pair_tokens: int
 
     @classmethod
     def fit(cls, df: DataFrame, text: str, path: str | None = None, pairs: bool = True) -> CorpusModel:
-        """Count ``df`` in one pass and write the tables; only a few totals come to the driver."""
+        """Count ``df`` in one pass and write the tables; only two totals come to the driver."""
         spark = df.sparkSession
         path = path or scratch_path(spark, "corpus")
         if pairs:
@@ -84,102 +90,50 @@ class CorpusModel:
         else:
             words = count_words(df, text).withColumn("n_followed", F.lit(0).cast("long"))
         words.write.parquet(f"{path}/words")
-        return cls.load(spark, path, pairs)
+        return cls.load(spark, path)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, pairs: bool = True) -> CorpusModel:
-        zero = F.lit(0).cast("long")
-        words = spark.read.parquet(f"{path}/words").agg(
-            F.coalesce(F.sum("n"), zero), F.count("*"), F.count_if(_too_long("w")), F.coalesce(F.sum("n_followed"), zero)
-        ).first()
-        n_pairs = n_long_pairs = 0
-        if pairs:
-            known = spark.read.parquet(f"{path}/pairs").filter("nxt IS NOT NULL")
-            n_pairs, n_long_pairs = known.agg(F.count("*"), F.count_if(_too_long("w", "nxt"))).first()
-        return cls(path, words[0], words[1], words[2], n_pairs, n_long_pairs, words[3])
+    def load(cls, spark: SparkSession, path: str) -> CorpusModel:
+        words = spark.read.parquet(f"{path}/words").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        return cls(path, words[0], words[1])
 
     def words(self, spark: SparkSession) -> DataFrame:
-        """``(w, n, nll, known_content, ctx)``: what one occurrence of a word adds."""
-        table = spark.read.parquet(f"{self.path}/words")
-        nll = -F.log(F.col("n") / F.lit(max(self.n_tokens, 1)))
-        ctx = F.log((F.col("n_followed") + self.n_words) / F.lit(max(self.n_words, 1)))
-        content = is_content_word(F.col("w"))
-        return table.select(
-            "w", "n", F.when(content, nll).otherwise(0.0).alias("nll"), content.cast("long").alias("known_content"),
-            ctx.alias("ctx"),
-        )
-
-    def pairs(self, spark: SparkSession) -> DataFrame:
-        """``(w, nxt, n, log_pair)``."""
-        table = spark.read.parquet(f"{self.path}/pairs").filter("nxt IS NOT NULL")
-        return table.withColumn("log_pair", F.log(F.col("n") + 1))
-
-    def score(self, df: DataFrame, text: str, keys, cwe: bool = True, ppl: bool = True) -> DataFrame:
-        """``(keys…, cwe, ppl)`` for every row of ``df``; ``keys`` tell the texts apart."""
-        spark, keys = df.sparkSession, list(keys)
-        often, seldom = _by_frequency(self.words(spark), ["w"], self.n_words, self.n_long_words, self.n_tokens)
-        if ppl:
-            occurrences = _followed_words(df, text, *keys)
-            often_pairs, seldom_pairs = _by_frequency(
-                self.pairs(spark), ["w", "nxt"], self.n_pairs, self.n_long_pairs, self.n_pair_tokens
-            )
-        else:
-            occurrences = _words(df, text, *keys, content_only=True).withColumn("nxt", F.lit(None).cast("string"))
-        followed = F.col("nxt").isNotNull()
-        word_terms = ["nll", "known_content", F.when(followed, F.col("ctx")).alias("ctx")]
+        """``(w, nll)``: hash and surprisal of the content words."""
+        table = spark.read.parquet(f"{self.path}/words").filter(is_content_word(F.col("w")))
+        return table.select(F.xxhash64("w").alias("w"), (-F.log(F.col("n") / F.lit(max(self.n_tokens, 1)))).alias("nll"))
+
+    def pairs(self, spark: SparkSession, pairs: DataFrame | None = None) -> DataFrame:
+        """``(v, w, nll)`` of distinct pairs of hashes, or of the pairs of the training corpus."""
+        read = lambda name: spark.read.parquet(f"{self.path}/{name}")
+        followed = read("words").select(F.xxhash64("w").alias("v"), "n_followed")
+        known = read("pairs").filter("nxt IS NOT NULL").select(F.xxhash64("w").alias("v"), F.xxhash64("nxt").alias("w"), "n")
+        found = known if pairs is None else pairs.join(known, ["v", "w"], "left")
+        zero = F.lit(0).cast("long")
+        context = F.log((F.coalesce("n_followed", zero) + F.lit(max(self.n_words, 1))).cast("double"))
+        value = context - F.log((F.coalesce("n", zero) + 1).cast("double"))
+        return found.join(followed, "v", "left").select("v", "w", value.alias("nll"))
 
-        # one pass over the texts settles all that the broadcast tables know
-        near = occurrences.join(F.broadcast(often.drop("n")), "w", "left")
-        near_terms = [*word_terms, followed.cast("long").alias("n_pairs")]
-        if ppl:
-            near = near.join(F.broadcast(often_pairs.drop("n")), ["w", "nxt"], "left")
-            near_terms.append("log_pair")
-        parts = [near.select(*keys, *near_terms)]
-        if seldom is not None:
-            parts.append(_rest(occurrences, often, seldom, ["w"]).select(*keys, *word_terms))
-        if ppl and seldom_pairs is not None:
-            parts.append(_rest(occurrences, often_pairs, seldom_pairs, ["w", "nxt"]).select(*keys, "log_pair"))
+    def score(self, df: DataFrame, text: str, keys, cwe: bool = True, ppl: bool = True, known: bool = False) -> DataFrame:
+        """``(keys…, cwe, ppl)`` for every row of ``df``; ``keys`` tell the texts apart.
 
+        ``known``: ``df`` is the training corpus, whose pairs need not be told apart again.
+        """
+        spark, keys = df.sparkSession, list(keys)
+        zero, one = F.lit(0.0), F.lit(1).cast("long")
+        parts = [df.select(*keys, zero.alias("nll"), F.lit(0).cast("long").alias("known_content"), zero.alias("pair_nll"),
+                           F.lit(0).cast("long").alias("n_pairs"))]
+        if cwe:
+            rows = _content_hashes(df, text, *keys).join(self.words(spark), "w")
+            parts.append(rows.select(*keys, "nll", one.alias("known_content")))
+        if ppl:
+            rows = _pair_hashes(df, text, *keys)
+            values = self.pairs(spark, None if known else rows.select("v", "w").distinct())
+            parts.append(rows.join(values, ["v", "w"]).select(*keys, F.col("nll").alias("pair_nll"), one.alias("n_pairs")))
         stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        names = ["n_pairs", "nll", "known_content", "ctx"] + (["log_pair"] if ppl else [])
-        sums = stacked.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+        sums = stacked.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("nll", "known_content", "pair_nll", "n_pairs")])
         measures = []
         if cwe:
             measures.append(F.try_divide("nll", F.col("known_content").cast("double")).alias("cwe"))
         if ppl:
-            log_v = F.lit(math.log(max(self.n_words, 1)))
-            total = F.col("n_pairs") * log_v + F.col("ctx") - F.col("log_pair")
-            measures.append(F.exp(F.try_divide(total, F.col("n_pairs").cast("double"))).alias("ppl"))
+            measures.append(F.exp(F.try_divide("pair_nll", F.col("n_pairs").cast("double"))).alias("ppl"))
         return sums.select(*keys, *measures)
-
-
-def _too_long(*words: str) -> Column:
-    return F.greatest(F.lit(0), *[F.length(w) for w in words]) > BROADCAST_WORD_CHARS
-
-
-def _by_frequency(table: DataFrame, on: list[str], n_rows: int, n_long: int,
-                  n_total: int) -> tuple[DataFrame, DataFrame | None]:
-    """Split a table of counts into a part small enough to broadcast and the rest.
-
-    The first part has the rows counted at least ``n_total / BROADCAST_ROWS``
-    times, of which there cannot be more than ``BROADCAST_ROWS``, or all rows if
-    they are no more than that; and of these the ones without an overlong word.
-    So its bytes are bounded too. There is no rest if that is the whole table.
-    """
-    if n_rows <= BROADCAST_ROWS and not n_long:
-        return table, None
-    least = 1 if n_rows <= BROADCAST_ROWS else math.ceil(n_total / BROADCAST_ROWS)
-    often = (F.col("n") >= least) & ~_too_long(*on)
-    return table.filter(often), table.filter(~often)
-
-
-def _rest(occurrences: DataFrame, often: DataFrame, seldom: DataFrame, on: list[str]) -> DataFrame:
-    """The occurrences that only the rest of the table knows.
-
-    Frequent keys are gone before the shuffle, so hardly a key of this join holds
-    more than a ``1 / BROADCAST_ROWS`` share of the training corpus; what skew
-    other texts bring is split by adaptive execution. The merge hint keeps the
-    planner from broadcasting either side on a guess of its size.
-    """
-    left = occurrences.join(F.broadcast(often.select(*on)), on, "left_anti")
-    return left.join(seldom.drop("n").hint("merge"), on)

@@ -77,7 +77,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def doc_matrix(spark, sf) -> DataFrame:
     """All measures of the documents, nulls included: ``doc_id, lang`` and the columns of ``MATRIX``."""
     docs = views.documents(spark, sf).select("doc_id", "lang", "text")
-    scores = CorpusModel.fit(docs, "text").score(docs, "text", ["doc_id"])
+    scores = CorpusModel.fit(docs, "text").score(docs, "text", ["doc_id"], known=True)
     measured = row_measures(docs, "text", ["doc_id", "lang"], cues=TEST_CUES).join(scores, "doc_id", "left")
     return kept(measured.select("doc_id", "lang", *MATRIX), "doc-matrix")
 
@@ -384,6 +384,24 @@ def feature_kde(spark, sf):
     return rounded(profile.feature_kde(_section_lengths(spark, sf), "length", "section", 50), "x", "density")
 
 
+def _section_basics(spark, sf) -> DataFrame:
+    sections = views.sections(spark, sf)
+    return sections.select("section", *[c.alias(n) for n, c in basic(F.col("text")).items()])
+
+
+BASICS = ("length", "avg_sentence_length", "avg_clauses")
+
+
+@query
+def density_curves(spark, sf):
+    return rounded(profile.density_curves(_section_basics(spark, sf), BASICS, "section"), "x", "density")
+
+
+@query
+def histograms(spark, sf):
+    return rounded(profile.histograms(_section_basics(spark, sf), BASICS, "section"), "density")
+
+
 @query
 def confusion_matrix(spark, sf):
     return metrics.confusion_matrix(judged(spark, sf))
@@ -542,7 +560,7 @@ def content_word_entropy(spark, sf):
 def bigram_perplexity(spark, sf):
     docs = views.documents(spark, sf).select("doc_id", "text")
     model = CorpusModel.fit(docs, "text")
-    return logged(model.score(docs, "text", ["doc_id"], cwe=False), "ppl")
+    return logged(model.score(docs, "text", ["doc_id"], cwe=False, known=True), "ppl")
 
 
 @query

@@ -67,11 +67,12 @@ def feature_table(pairs: DataFrame, model: CorpusModel | None = None, cues=None,
     they come back by id and a hash of the texts, so rows that share an id keep
     their own values.
     """
-    if model is None:
+    known = model is None
+    if known:
         model = CorpusModel.fit(stack_sections(pairs), "text")
     keyed = pairs.withColumn("_v", F.xxhash64(*SECTIONS))
     texts = stack_sections(keyed, "doc_id", "_v")
-    scores = model.score(texts, "text", ["doc_id", "_v", "section"])
+    scores = model.score(texts, "text", ["doc_id", "_v", "section"], known=known)
     scored = scores.groupBy("doc_id", "_v").agg(*[
         F.max(F.when(F.col("section") == s, F.col(m))).alias(f"{s}_{m}") for s in SECTIONS for m in CORPUS_MEASURES
     ])

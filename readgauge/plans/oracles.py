@@ -217,6 +217,27 @@ ORACLES["feature_kde"] = f"""WITH {LENGTHS},
   SELECT section, point::INT AS point, round(any_value(x), 6) AS x,
     round(sum(exp(-(((v - x) / h) ** 2) / 2)) / any_value(h * sqrt(2 * pi()) * total), 6) AS density
   FROM lengths JOIN g USING (section) GROUP BY section, point"""
+BASICS = f"""{SECTIONS}, wide AS (SELECT section, {n_words('text')}::DOUBLE AS length, {asl('text')} AS avg_sentence_length,
+    {clauses('text')} AS avg_clauses FROM sections),
+  long AS (UNPIVOT wide ON length, avg_sentence_length, avg_clauses INTO NAME feature VALUE v)"""
+ORACLES["density_curves"] = f"""WITH {BASICS},
+  s AS (SELECT * FROM (SELECT section, feature, min(v) AS low, max(v) AS high, count(*) AS total, count(*) ** (-0.2) * stddev_samp(v) AS h
+    FROM long GROUP BY ALL) WHERE h > 0),
+  p AS (SELECT section, feature, (v - low) / ((high - low) / 1024) AS place FROM long JOIN s USING (section, feature)),
+  c AS (SELECT section, feature, least(floor(place), 1023) AS cell, place FROM p),
+  w AS (SELECT section, feature, cell, sum(weight) AS weight FROM (
+    SELECT section, feature, cell, 1 - (place - cell) AS weight FROM c UNION ALL SELECT section, feature, cell + 1, place - cell FROM c) GROUP BY ALL),
+  g AS (SELECT *, low + point * ((high - low) / 49) AS x FROM s, range(50) t(point))
+  SELECT section, feature, point::INT AS point, round(any_value(x), 6) AS x,
+    round(sum(weight * exp(-(((low + cell * ((high - low) / 1024) - x) / h) ** 2) / 2) / (h * sqrt(2 * pi()) * total)), 6) AS density
+  FROM w JOIN g USING (section, feature) GROUP BY section, feature, point"""
+ORACLES["histograms"] = f"""WITH {BASICS},
+  r AS (SELECT feature, min(v) - if(min(v) = max(v), 0.5, 0) AS low, max(v) + if(min(v) = max(v), 0.5, 0) AS high FROM long GROUP BY feature),
+  e AS (SELECT section, feature, bin FROM (SELECT DISTINCT section FROM long), (SELECT DISTINCT feature FROM long), range(20) t(bin)),
+  c AS (SELECT section, feature, least(floor((v - low) / ((high - low) / 20)), 19) AS bin, count(*) AS n FROM long JOIN r USING (feature) GROUP BY ALL)
+  SELECT section, feature, bin, coalesce(n, 0)::BIGINT AS n,
+    round(coalesce(n, 0) / (sum(coalesce(n, 0)) OVER (PARTITION BY section, feature) * (high - low) / 20), 6) AS density
+  FROM e JOIN r USING (feature) LEFT JOIN c USING (section, feature, bin)"""
 ORACLES["confusion_matrix"] = f"""WITH {JUDGED}, c AS (SELECT label AS c FROM judged UNION SELECT prediction FROM judged)
   SELECT a.c AS label, b.c AS prediction, (SELECT count(*) FROM judged WHERE label = a.c AND prediction = b.c) AS n FROM c a, c b"""
 ORACLES["accuracy"] = f"WITH {JUDGED} SELECT round(avg((label = prediction)::INT), 6) AS accuracy FROM judged"

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readgauge.functions import lexicon
-from readgauge.operators import coherence, language, stats
+from readgauge.operators import coherence, stats
 from readgauge.operators.language import CorpusModel
 
 
@@ -55,26 +55,28 @@ def naive_scores(train, texts):
     return out
 
 
-@pytest.mark.parametrize("broadcast_rows, chars", [(3, 64), (6, 64), (6, 5), (1000, 64), (1000, 5)])
-def test_language_scores(spark, monkeypatch, broadcast_rows, chars):
-    monkeypatch.setattr(language, "BROADCAST_ROWS", broadcast_rows)
-    monkeypatch.setattr(language, "BROADCAST_WORD_CHARS", chars)
-    model = CorpusModel.fit(spark.createDataFrame([(t,) for t in TRAIN], "text string"), "text")
+def test_language_scores(spark):
+    train = spark.createDataFrame([(t,) for t in TRAIN], "text string")
+    model = CorpusModel.fit(train, "text")
     df = spark.createDataFrame(list(enumerate(SCORED)), "i int, text string")
     got = {r["i"]: (r["cwe"], r["ppl"]) for r in model.score(df, "text", ["i"]).collect()}
     for i, want in enumerate(naive_scores(TRAIN, SCORED)):
         assert got[i] == pytest.approx(want), SCORED[i]
         assert got[i][1] is None or got[i][1] >= 1
-    often, seldom = language._by_frequency(model.words(spark), ["w"], model.n_words, model.n_long_words, model.n_tokens)
-    assert often.count() <= broadcast_rows and often.filter(F.length("w") > chars).isEmpty()
-    assert often.count() + (seldom.count() if seldom else 0) == model.n_words
+    own = spark.createDataFrame(list(enumerate(TRAIN)), "i int, text string")
+    known = {r["i"]: (r["cwe"], r["ppl"]) for r in model.score(own, "text", ["i"], known=True).collect()}
+    assert all(known[i] == pytest.approx(got[i]) for i in range(len(TRAIN)))
 
 
-def test_no_side_is_broadcast_on_a_guess(spark, monkeypatch):
-    monkeypatch.setattr(language, "BROADCAST_ROWS", 3)
+def test_no_size_decides_the_plan(spark):
+    """Tables are joined by shuffles; broadcasts come from adaptive execution, from sizes it has seen."""
     df = spark.createDataFrame(list(enumerate(SCORED)), "i int, text string")
-    plan = CorpusModel.fit(df, "text").score(df, "text", ["i"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("SortMergeJoin") == 2 and "BuildLeft" not in plan and "Cartesian" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = CorpusModel.fit(df, "text").score(df, "text", ["i"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 4 and "BroadcastHashJoin" not in plan and "Cartesian" not in plan
 
 
 def test_word_model_alone(spark):
