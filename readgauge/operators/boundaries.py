@@ -154,7 +154,7 @@ def type_counts(rows: DataFrame) -> DataFrame:
 
 
 def follow_counts(rows: DataFrame, abbreviations) -> DataFrame:
-    """``previous, type, both``: types right after a number, initial or abbreviation with a full stop; a null ``previous``
+    """``previous, type, n_both``: types right after a number, initial or abbreviation with a full stop; a null ``previous``
     stands for all sure sentence ends.
     """
     previous = F.col("previous")
@@ -162,7 +162,7 @@ def follow_counts(rows: DataFrame, abbreviations) -> DataFrame:
     short = short | previous.isin(*abbreviations) if abbreviations else short
     after = rows.filter((F.col("type") != "") & (F.col("type") != NUMBER) & (previous != ""))
     after = after.withColumn("_short", short).filter(F.when(F.col("_short"), F.col("previous_stop")).otherwise(F.col("after_end")))
-    return after.groupBy(F.when(F.col("_short"), previous).alias("previous"), "type").agg(F.count("*").alias("both"))
+    return after.groupBy(F.when(F.col("_short"), previous).alias("previous"), "type").agg(F.count("*").alias("n_both"))
 
 
 def _with_totals(found: DataFrame, counted: DataFrame) -> DataFrame:
@@ -172,21 +172,21 @@ def _with_totals(found: DataFrame, counted: DataFrame) -> DataFrame:
 
 
 def collocation_scores(after: DataFrame, counted: DataFrame) -> DataFrame:
-    """``previous, type, both, score`` of what follows a number, initial or abbreviation."""
+    """``previous, type, n_both, score`` of what follows a number, initial or abbreviation."""
     both = after.filter("previous IS NOT NULL")
-    firsts = both.groupBy("previous").agg(F.sum("both").alias("n_previous"))
+    firsts = both.groupBy("previous").agg(F.sum("n_both").alias("n_previous"))
     found = _with_totals(both.join(firsts, "previous"), counted)
-    score = likelihood_ratio(F.col("both"), F.col("n_previous"), F.col("n_type"), F.col("n"))
-    return found.select("previous", "type", "both", score.alias("score"))
+    score = likelihood_ratio(F.col("n_both"), F.col("n_previous"), F.col("n_type"), F.col("n"))
+    return found.select("previous", "type", "n_both", score.alias("score"))
 
 
 def starter_scores(after: DataFrame, counted: DataFrame) -> DataFrame:
-    """``type, both, score`` of what follows sure sentence ends."""
-    both = after.filter("previous IS NULL").select("type", "both")
-    ends = both.agg(F.coalesce(F.sum("both"), F.lit(0))).first()[0]
+    """``type, n_both, score`` of what follows sure sentence ends."""
+    both = after.filter("previous IS NULL").select("type", "n_both")
+    ends = both.agg(F.coalesce(F.sum("n_both"), F.lit(0))).first()[0]
     found = _with_totals(both, counted)
-    score = likelihood_ratio(F.col("both"), F.lit(max(ends, 1)), F.col("n_type"), F.col("n"))
-    return found.select("type", "both", score.alias("score"))
+    score = likelihood_ratio(F.col("n_both"), F.lit(max(ends, 1)), F.col("n_type"), F.col("n"))
+    return found.select("type", "n_both", score.alias("score"))
 
 
 def split_rows(df: DataFrame, text: str, *keep: str, model: Boundaries) -> DataFrame:
