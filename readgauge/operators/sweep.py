@@ -248,55 +248,45 @@ def grow_tree(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, n_classes: in
     takes the split of greatest Gini gain, which may be 0. Also the gain that each column brought.
     """
     n_columns = bins.shape[1]
-    feature, cut, left = [-1], [0], [0]
-    votes = [np.bincount(y, weight, n_classes)]
-    gains = np.zeros(n_columns)
-    rows, node, level = np.arange(len(y)), np.zeros(len(y), int), [0]
-    for _ in range(max_depth):
-        chosen = np.array([rng.permutation(n_columns) for _ in level])
-        size = len(level)
+    gains, rows, node = np.zeros(n_columns), np.flatnonzero(weight > 0), np.zeros(int((weight > 0).sum()), int)
+    votes = np.bincount(y, weight, n_classes)[None, :]
+    levels, n_nodes = [], 1
+    for depth in range(max_depth + 1):
+        size = len(votes)
         best_gain, best, tried = np.full(size, -np.inf), np.full((size, 2), -1), np.zeros(size, int)
-        for j in range(n_columns):
+        chosen = rng.random((size, n_columns)).argsort(axis=1)
+        mixed = votes.max(axis=1) < votes.sum(axis=1)
+        for j in range(n_columns if depth < max_depth and mixed.any() else 0):
             column = chosen[node, j]
             code = (node * n_bins + bins[rows, column]) * n_classes + y[rows]
-            table = np.bincount(code, weight[rows], size * n_bins * n_classes).reshape(size, n_bins, n_classes)
-            low = table.cumsum(axis=1)
-            whole = low[:, -1:, :]
-            high = whole - low
-            n_low, n_high, n = low.sum(axis=2), high.sum(axis=2), whole.sum(axis=2)
+            low = np.bincount(code, weight[rows], size * n_bins * n_classes).reshape(size, n_bins, n_classes).cumsum(axis=1)
+            high = votes[:, None, :] - low
+            n_low, n_high, n = low.sum(axis=2), high.sum(axis=2), votes.sum(axis=1)
             with np.errstate(divide="ignore", invalid="ignore"):
-                gain = (low ** 2).sum(axis=2) / n_low + (high ** 2).sum(axis=2) / n_high - (whole ** 2).sum(axis=2) / n
+                gain = (low ** 2).sum(axis=2) / n_low + (high ** 2).sum(axis=2) / n_high - ((votes ** 2).sum(axis=1) / n)[:, None]
             gain[(n_low == 0) | (n_high == 0)] = -np.inf
             at = gain.argmax(axis=1)
             top = gain[np.arange(size), at]
-            usable = np.isfinite(top) & (tried < tries) & (whole[:, 0].max(axis=1) < n[:, 0])
+            usable = np.isfinite(top) & (tried < tries) & mixed
             better = usable & (top > best_gain)
             best_gain[better] = top[better]
             best[better] = np.column_stack([chosen[:, j], at])[better]
             tried += usable
-            if (tried >= tries).all():
+            if (tried >= tries)[mixed].all():
                 break
         split = np.flatnonzero(best[:, 0] >= 0)
+        first = np.zeros(size, int)  # children stand side by side, in the order of their parents
+        first[split] = n_nodes + 2 * np.arange(len(split))
+        levels.append((best[:, 0], best[:, 1], first, votes))
         if not len(split):
             break
-        children = np.full(size, -1)
-        following = []
-        for s in split:
-            children[s] = len(following)
-            parent = level[s]
-            feature[parent], cut[parent], left[parent] = int(best[s, 0]), int(best[s, 1]), len(feature)
-            gains[best[s, 0]] += max(best_gain[s], 0.0)
-            following += [len(feature), len(feature) + 1]
-            for _ in range(2):
-                feature.append(-1), cut.append(0), left.append(0), votes.append(None)
-        keep = children[node] >= 0
+        np.add.at(gains, best[split, 0], np.maximum(best_gain[split], 0.0))
+        keep = best[node, 0] >= 0
         rows, old = rows[keep], node[keep]
-        node = children[old] + (bins[rows, best[old, 0]] > best[old, 1])
-        counted = np.bincount(node * n_classes + y[rows], weight[rows], len(following) * n_classes).reshape(-1, n_classes)
-        for child, own in zip(following, counted):
-            votes[child] = own
-        level = following
-    return np.array(feature), np.array(cut), np.array(left), np.array(votes), gains
+        node = first[old] - n_nodes + (bins[rows, best[old, 0]] > best[old, 1])
+        n_nodes += 2 * len(split)
+        votes = np.bincount(node * n_classes + y[rows], weight[rows], 2 * len(split) * n_classes).reshape(-1, n_classes)
+    return (*(np.concatenate(x) for x in zip(*levels)), gains)
 
 
 def grow_forest(bins, y, n_classes: int, trees: int, max_depth: int, seed: int, n_bins: int):
