@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon, measures as ms, text as tx
 from ..operators import (
     attribution, boundaries, chains, coherence, joins, learn, metrics, profile, reshape, roles, scorers, stats, sweep, vectors,
+    wordclasses,
 )
 from ..operators.language import CorpusModel
 from ..operators.trigrams import KneserNey
@@ -619,6 +620,19 @@ def sentence_split_learned(spark, sf):
     return boundaries.split_rows(docs, "text", "doc_id", model=boundaries.Boundaries.fit(docs, "text"))
 
 
+@query
+def word_classes(spark, sf):
+    return wordclasses.WordClasses.fit(views.documents(spark, sf), "text", "lang").table(spark)
+
+
+@query
+def content_words_learned(spark, sf):
+    docs = views.documents(spark, sf).select("doc_id", "lang", "text")
+    model = wordclasses.WordClasses.fit(docs, "text", "lang")
+    found = model.content(tx.lower_words(F.col("text")), F.col("lang"))
+    return docs.select("doc_id", F.posexplode(found).alias("pos", "word"))
+
+
 @query
 def content_words(spark, sf):
     found = ms.content_words(tx.lower_words(F.col("text")))

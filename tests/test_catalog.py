@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 ROWS_ONLY = {
     "pca_scores", "pca_loadings", "pca_variance", "logistic_single", "forest_single", "feature_importances",
     "attribution_mean_abs", "subset_sweep", "subset_sweep_records", "forest_sweep", "role_classifier", "role_chain",
-    "adjacent_cosine_learned", "feature_table_trained_roles",
+    "adjacent_cosine_learned", "feature_table_trained_roles", "word_classes", "content_words_learned",
 }
 
 

@@ -13,7 +13,7 @@ ROW_BY_ROW = [
 ]
 FITTING = {
     "logistic_single", "forest_single", "feature_importances", "attribution_mean_abs", "subset_sweep", "subset_sweep_records",
-    "forest_sweep", "role_classifier", "role_chain",
+    "forest_sweep", "role_classifier", "role_chain", "word_classes",
 }
 
 
