@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quoted import read_quoted_csv
+
 ARTICLE = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("abstract", T.ArrayType(T.StringType())),
@@ -87,10 +89,8 @@ def write_articles(pairs: DataFrame, path: str, mode: str = "errorifexists") ->
 
 def read_pairs_csv(spark: SparkSession, path: str, id_col: str = "doc_id", abstract_col: str = "abs_text",
                    summary_col: str = "pls_text") -> DataFrame:
-    """Pairs from CSV with quoted line breaks. The three columns must exist."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    df = reader.csv(path)
-    return pairs_from(df, id_col, abstract_col, summary_col)
+    """Pairs from CSV with quoted line breaks, each file read by as many tasks as it has blocks. The three columns must exist."""
+    return pairs_from(read_quoted_csv(spark, path), id_col, abstract_col, summary_col)
 
 
 def pairs_from(df: DataFrame, id_col: str, abstract_col: str, summary_col: str) -> DataFrame:
