@@ -2,8 +2,8 @@
 
 Counting is single-pass indexing in memory. A task collects postings (language, term, source: occurrences, documents) until
 ``RUN_POSTINGS`` of them fill its memory, then spills them as a run sorted by term and cut into chunks by language and hash
-shard. A shard's chunks, ordered by their first term, are merged with a heap: a chunk opens when the merge reaches its first term,
-so only chunks that overlap are in memory, one for each run. More than ``FAN`` runs are merged in rounds. The result are the
+shard. A shard's chunks, ordered by their first term, are merged with a heap: a chunk waits in it from when the merge reaches its first
+term until its last is passed, so little more than the chunks that overlap is in memory, one for each run. More than ``FAN`` runs are merged in rounds. The result are the
 frequencies of each kept term, with its sources.
 
 A group's probability of a term it does not hold is the same for all terms, so a pair's divergence is the one of two empty groups
@@ -18,7 +18,7 @@ count each; equal values rank by the item's UTF-8 bytes; no rows give no rows. T
 from __future__ import annotations
 
 import heapq
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +29,18 @@ from pyspark.sql import types as T
 
 from ..operators.bounded import settled
 from . import words as wd
-from .common import written
+from .common import thrifty, written
 
 LEAST_DOCS = 30
 SMOOTHING = 5
 SCALE = 1_000_000_000
 TOP_TERMS = 50
-RUN_POSTINGS = 400_000
-CHUNK_POSTINGS = 2048
+RUN_POSTINGS = 200_000
+CHUNK_POSTINGS = 1024
+CHUNK_ROWS = 64
+MERGE_POSTINGS = 100_000
 FAN = 256
-SHARDS = 64
+SHARDS = 256
 PAIRS_HELD = 1_000_000
 TILE = 1024
 
@@ -47,156 +49,171 @@ RUN = ("lang string, shard int, run bigint, first binary, terms array<binary>, s
 FREQUENCY = "lang string, term string, docs bigint, total bigint, sources array<string>, counts array<bigint>"
 
 
+POSTING = [("term", pa.binary()), ("source", pa.string()), ("count", pa.int64()), ("docs", pa.int64())]
+RUN_ARROW = pa.schema([
+    ("lang", pa.string()), ("shard", pa.int32()), ("run", pa.int64()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())),
+    ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())),
+])
+
+
 def _schema(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 
 
-def _add(postings: dict, column: pa.Array, langs: list, sources: list) -> None:
-    """Count the texts of a batch into ``postings``."""
-    pairs = list(zip(langs, sources))
-    kinds = {p: i for i, p in enumerate(dict.fromkeys(pairs))}
-    names, group = list(kinds), np.fromiter((kinds[p] for p in pairs), np.int64, len(pairs))
-    for lang, source in names:  # every group occurs, even without terms
-        postings.setdefault((lang, b"", source), [0, 0])
+def _added(table: pa.Table, *keys: str) -> pa.Table:
+    """Rows of equal keys added up."""
+    found = table.group_by([*keys]).aggregate([("count", "sum"), ("docs", "sum")])
+    return found.rename_columns([c.removesuffix("_sum") for c in found.column_names]).select([*keys, "count", "docs"])
+
+
+def _postings(column: pa.Array, group: np.ndarray) -> Iterator[pa.Table]:
+    """``group, term, count, docs`` of the texts, whose groups are numbers, slab by slab."""
     raw, offsets = wd.buffers(column)
+    n_groups = int(group.max(initial=0)) + 1
     for low, high in wd.slabs(offsets):
         words, number, first = wd.distinct(raw, offsets[low:high + 1], wd.LETTERS)
-        code = number * len(names) + group[low:high][words.doc]
+        if not len(number):
+            continue
+        code = number * n_groups + group[low:high][words.doc]
         order = np.argsort(code, kind="stable")  # texts stay in order within a code
         code, doc = code[order], words.doc[order]
-        new = np.concatenate([[True], code[1:] != code[:-1]])[:len(code)]
+        new = np.concatenate([[True], code[1:] != code[:-1]])
         begin = np.flatnonzero(new)
-        if not len(begin):
-            continue
-        counts = np.diff(np.append(begin, len(code)))
         n_docs = np.add.reduceat((new | np.concatenate([[True], doc[1:] != doc[:-1]])).astype(np.int64), begin)
-        spelled = [words.raw[a:b].tobytes() for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
-        for c, count, n in zip(code[begin].tolist(), counts.tolist(), n_docs.tolist()):
-            lang, source = names[c % len(names)]
-            key = lang, spelled[c // len(names)], source
-            entry = postings.get(key)
-            if entry is None:
-                postings[key] = [count, n]
-            else:
-                entry[0] += count
-                entry[1] += n
-
-
-def _chunk(lang, shard, run, rows) -> tuple:
-    terms, sources, counts, docs = zip(*rows)
-    return lang, shard, run, terms[0], terms, sources, counts, docs
-
-
-def _sorted_run(postings: dict, run: int, shards: int):
+        yield pa.table({
+            "group": pa.array(code[begin] % n_groups, pa.int32()), "term": wd.spelled(words, first[code[begin] // n_groups]),
+            "count": pa.array(np.diff(np.append(begin, len(code)))), "docs": pa.array(n_docs)})
+
+
+def _shards(terms: pa.Array, shards: int) -> np.ndarray:
+    """Each term's shard, by a hash of its bytes; '' has shard 0."""
+    raw, offsets = wd.buffers(terms)
+    some = np.diff(offsets) > 0
+    out = np.zeros(len(terms), np.int32)
+    if some.any():
+        at = np.flatnonzero(some)
+        out[at] = (wd.span_hashes(raw, offsets[at], offsets[at + 1]) % np.uint64(shards)).astype(np.int32)
+    return out
+
+
+def _chunks(table: pa.Table, run: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Postings ``lang, shard, term, source, count, docs`` in order as chunks of one language and shard."""
+    table = table.combine_chunks()
+    n = table.num_rows
+    if not n:
+        return
+    lang = table["lang"].combine_chunks().dictionary_encode().indices.to_numpy()
+    shard = table["shard"].to_numpy()
+    new = np.concatenate([[True], (lang[1:] != lang[:-1]) | (shard[1:] != shard[:-1])])
+    heads = np.flatnonzero(new)
+    since = np.arange(n) - np.repeat(heads, np.diff(np.append(heads, n)))
+    begin = np.flatnonzero(since % size == 0)
+    offsets = pa.array(np.append(begin, n).astype(np.int32))
+    at = pa.array(begin)
+    lists = [pa.ListArray.from_arrays(offsets, table[c].combine_chunks()) for c in ("term", "source", "count", "docs")]
+    whole = pa.RecordBatch.from_arrays([
+        table["lang"].combine_chunks().take(at), pa.array(shard[begin], pa.int32()), pa.array(np.full(len(begin), run), pa.int64()),
+        table["term"].combine_chunks().take(at), *lists], schema=RUN_ARROW)
+    for low in range(0, len(begin), 256):
+        yield whole.slice(low, 256)
+
+
+def _sorted_run(held: list[pa.Table], groups: list[tuple[str, str]], run: int, shards: int) -> Iterator[pa.RecordBatch]:
     """The postings as chunks, sorted by language, shard, term and source."""
-    rows = [(lang, zlib.crc32(term, zlib.crc32(lang.encode())) % shards, term, source, count, n)
-            for (lang, term, source), (count, n) in postings.items()]
-    rows.sort()
-    held, key = [], None
-    for lang, shard, *row in rows:
-        if held and (key != (lang, shard) or len(held) == CHUNK_POSTINGS):
-            yield _chunk(*key, run, held)
-            held = []
-        key = lang, shard
-        held.append(row)
-    if held:
-        yield _chunk(*key, run, held)
-
-
-def _batches(rows, schema: pa.Schema, size: int = 256):
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-
-
-RUN_ARROW = pa.schema([
-    ("lang", pa.string()), ("shard", pa.int32()), ("run", pa.int64()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())),
-    ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())),
-])
-FREQUENCY_ARROW = pa.schema([
-    ("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("total", pa.int64()), ("sources", pa.list_(pa.string())),
-    ("counts", pa.list_(pa.int64())),
-])
+    table = _added(pa.concat_tables(held), "group", "term").combine_chunks()
+    of = table["group"].combine_chunks()
+    lang, source = (pa.array([g[i] for g in groups], pa.string()).take(of) for i in (0, 1))
+    shard = pa.array(_shards(table["term"].combine_chunks(), shards), pa.int32())
+    table = table.drop_columns("group").append_column("lang", lang).append_column("source", source).append_column("shard", shard)
+    yield from _chunks(table.sort_by([(c, "ascending") for c in ("lang", "shard", "term", "source")]), run, CHUNK_POSTINGS)
 
 
 def term_runs(docs: DataFrame, memory: int = RUN_POSTINGS, shards: int = SHARDS) -> DataFrame:
-    """Term-sorted runs of postings as chunks."""
+    """Term-sorted runs of postings as chunks; every group of a task has a posting of the term '' in its last run."""
     def build(batches):
-        postings, run = {}, TaskContext.get().partitionId() << 24
+        groups: dict[tuple[str, str], int] = {}
+        held, size, run = [], 0, TaskContext.get().partitionId() << 24
+
+        def none():
+            zero = pa.array(np.zeros(len(groups), np.int64))
+            return pa.table({"group": pa.array(range(len(groups)), pa.int32()), "term": pa.array([b""] * len(groups), pa.binary()),
+                             "count": zero, "docs": zero})
+
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                _add(postings, part.column("text"), part.column("lang").to_pylist(), part.column("source").to_pylist())
-                if len(postings) >= memory:
-                    yield from _batches(_sorted_run(postings, run, shards), RUN_ARROW)
-                    postings, run = {}, run + 1
-        yield from _batches(_sorted_run(postings, run, shards), RUN_ARROW)
+                pairs = zip(part.column("lang").to_pylist(), part.column("source").to_pylist())
+                group = np.fromiter((groups.setdefault(p, len(groups)) for p in pairs), np.int64, part.num_rows)
+                for found in _postings(part.column("text"), group):
+                    held.append(found)
+                    size += found.num_rows
+                    if size >= 2 * memory:  # add up; a run is full if that does not help
+                        held = [_added(pa.concat_tables(held), "group", "term")]
+                        size = held[0].num_rows
+                        if size >= memory:
+                            yield from _sorted_run(held, list(groups), run, shards)
+                            held, size, run = [], 0, run + 1
+        if groups:
+            yield from _sorted_run([*held, none()], list(groups), run, shards)
 
     blank = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    return docs.select(*blank).mapInArrow(build, _schema(RUN))
-
+    return docs.select(*blank).mapInArrow(thrifty(build), _schema(RUN))
 
-def _cursor(row: dict, number: int):
-    """What a chunk still has: its next posting, comparable, and the rest."""
-    postings = zip(row["terms"], row["sources"], row["counts"], row["docs"])
-    return ((term, source, number, count, n) for term, source, count, n in postings)
 
+def merge_chunks(chunks, block: int = MERGE_POSTINGS) -> Iterator[pa.Table]:
+    """Postings ``term, source, count, docs`` in order, equal ones added up, from chunks ordered by their first term.
 
-def merge_chunks(chunks):
-    """Postings ``(term, source, count, docs)`` in order from chunks ordered by their first term, equal ones added up."""
-    heap, last = [], None
-    cursors: dict[int, object] = {}
+    ``chunks`` gives ``(first, table)``. Open chunks wait in a heap by their last term. When about ``block`` postings wait, all before
+    the first term of the next chunk are complete: they leave whole chunks, and the beginnings of chunks that reach further.
+    No term is in two of the tables given.
+    """
+    heap, waiting, number = [], 0, 0
 
-    def advance(until):
-        nonlocal last
+    def complete(until):
+        nonlocal waiting
+        parts = []
         while heap and (until is None or heap[0][0] < until):
-            term, source, number, count, n = heap[0]
-            following = next(cursors[number], None)
-            if following is None:
-                heapq.heappop(heap)
-                del cursors[number]
-            else:
-                heapq.heapreplace(heap, following)
-            if last is not None and last[0] == term and last[1] == source:
-                last[2] += count
-                last[3] += n
-            else:
-                if last is not None:
-                    yield last
-                last = [term, source, count, n]
-
-    for number, row in enumerate(chunks):
-        yield from advance(row["first"])
-        cursors[number] = _cursor(row, number)
-        heapq.heappush(heap, next(cursors[number]))
-    yield from advance(None)
-    if last is not None:
-        yield last
+            parts.append(heapq.heappop(heap)[2])
+        if until is not None:
+            for i, (last, k, table) in enumerate(heap):
+                n = pa.compute.sum(pa.compute.less(table["term"], pa.scalar(until, pa.binary()))).as_py() or 0
+                if n:
+                    parts.append(table.slice(0, n))
+                    heap[i] = last, k, table.slice(n)
+        if parts:
+            found = _added(pa.concat_tables(parts), "term", "source").sort_by([("term", "ascending"), ("source", "ascending")])
+            waiting -= sum(p.num_rows for p in parts)
+            yield found
+
+    for first, table in chunks:
+        if waiting >= block:
+            yield from complete(first)
+        heapq.heappush(heap, (table["term"][-1].as_py(), number, table))
+        waiting, number = waiting + table.num_rows, number + 1
+    yield from complete(None)
 
 
 def _grouped(batches, names):
     """``(key, chunks)`` for every stretch of rows with one key; chunks are read as they are used."""
     def rows():
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
+            keys = list(zip(*(batch.column(n).to_pylist() for n in names)))
+            first = batch.column("first").to_pylist()
+            lists = [batch.column(c) for c in ("terms", "sources", "counts", "docs")]
+            for i, key in enumerate(keys):
+                yield key, (first[i], pa.Table.from_arrays([c[i].values for c in lists], schema=pa.schema(POSTING)))
 
     source = rows()
     row = next(source, None)
 
     def stretch(key):
         nonlocal row
-        while row is not None and tuple(row[n] for n in names) == key:
-            yield row
+        while row is not None and row[0] == key:
+            yield row[1]
             row = next(source, None)
 
     while row is not None:
-        key = tuple(row[n] for n in names)
+        key = row[0]
         yield key, stretch(key)
 
 
@@ -208,41 +225,38 @@ def _shuffled(runs: DataFrame, *more: str) -> DataFrame:
 def merged_runs(runs: DataFrame, groups: int) -> DataFrame:
     """Each of ``groups`` sets of runs merged into one."""
     def merge(batches):
-        def chunks():
-            for (lang, shard, part), own in _grouped(batches, ("lang", "shard", "part")):
-                held = []
-                for posting in merge_chunks(own):
-                    held.append(posting)
-                    if len(held) == CHUNK_POSTINGS:
-                        yield _chunk(lang, shard, part, held)
-                        held = []
-                if held:
-                    yield _chunk(lang, shard, part, held)
-        yield from _batches(chunks(), RUN_ARROW)
+        for (lang, shard, part), own in _grouped(batches, ("lang", "shard", "part")):
+            for found in merge_chunks(own):
+                n = found.num_rows
+                found = found.append_column("lang", pa.array([lang] * n, pa.string())).append_column("shard", pa.array(np.full(n, shard), pa.int32()))
+                yield from _chunks(found, part, CHUNK_POSTINGS)
 
     dealt = runs.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(groups)))
-    return _shuffled(dealt, "part").mapInArrow(merge, _schema(RUN))
+    return _shuffled(dealt, "part").mapInArrow(thrifty(merge), _schema(RUN))
 
 
 def frequencies(runs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``lang, term, docs, total, sources, counts`` of the terms in at least ``least_docs`` documents, and of the term ''."""
     def merge(batches):
-        def rows():
-            for (lang, _), own in _grouped(batches, ("lang", "shard")):
-                term, sources, counts, docs = None, [], [], 0
-                for word, source, count, n in merge_chunks(own):
-                    if word != term:
-                        if term == b"" or term is not None and docs >= least_docs:
-                            yield lang, term.decode(), docs, sum(counts), sources, counts
-                        term, sources, counts, docs = word, [], [], 0
-                    sources.append(source)
-                    counts.append(count)
-                    docs += n
-                if term == b"" or term is not None and docs >= least_docs:
-                    yield lang, term.decode(), docs, sum(counts), sources, counts
-        yield from _batches(rows(), FREQUENCY_ARROW)
-
-    return _shuffled(runs).mapInArrow(merge, _schema(FREQUENCY))
+        for (lang, _), own in _grouped(batches, ("lang", "shard")):
+            for found in merge_chunks(own):
+                found = found.combine_chunks()
+                term = found["term"].combine_chunks()
+                number = term.dictionary_encode().indices.to_numpy()
+                begin = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+                ends = np.append(begin, len(number))
+                docs, total = (np.add.reduceat(found[c].to_numpy(), begin) for c in ("docs", "count"))
+                names = term.take(pa.array(begin))
+                keep = np.flatnonzero((docs >= least_docs) | (pa.compute.binary_length(names).to_numpy() == 0))
+                sizes = np.diff(ends)[keep]
+                rows = pa.array(np.repeat(begin[keep], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(keep), pa.string()), names.take(pa.array(keep)).cast(pa.string()), pa.array(docs[keep]),
+                    pa.array(total[keep]), *(pa.ListArray.from_arrays(offsets, found[c].combine_chunks().take(rows)) for c in ("source", "count")),
+                ], [part.split()[0] for part in FREQUENCY.split(", ")])
+
+    return _shuffled(runs).mapInArrow(thrifty(merge), _schema(FREQUENCY))
 
 
 def probability(count: Column, total: Column, kept: Column) -> Column:
@@ -386,8 +400,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TE
     n_runs = runs.select("run").distinct().count()
     while n_runs > fan:
         n_runs = -(-n_runs // fan)
-        runs = written(merged_runs(runs, n_runs), "runs")
-    found = written(frequencies(runs, least_docs), "frequencies")
+        runs = written(merged_runs(runs, n_runs), "runs", CHUNK_ROWS)
+    found = written(frequencies(runs, least_docs), "frequencies", CHUNK_ROWS)
 
     by_lang = found.groupBy("lang").agg(F.count_if(F.col("term") != "").alias("v"), F.sum("total").alias("lang_total"))
     counted = found.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x"))

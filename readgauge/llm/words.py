@@ -12,8 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLAB_BYTES = 4 << 20
-HASH_BYTES = 1 << 20
+SLAB_BYTES = 2 << 20
+HASH_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -50,7 +50,7 @@ _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(HASH_BYTES.bit_length() + 1, int(n).bit_length())
+    size = 1 << max(HASH_BYTES.bit_length(), int(n).bit_length())
     if size not in _TABLES:
         _TABLES[size] = _powers(_BASE, size), _powers(_BASE_INVERSE, size)
     return _TABLES[size]
@@ -134,6 +134,19 @@ def distinct(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[W
         seed += 1
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of lower-cased bytes, in the order of their places; the same everywhere."""
+    return _hashes(raw, starts, ends, 0)
+
+
+def spelled(words: Words, which: np.ndarray) -> pa.Array:
+    """The bytes of some of the words."""
+    starts, lengths = words.starts[which], (words.ends - words.starts)[which]
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    data = words.raw[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
 class Vocabulary:
     """A set of words as sorted hashes and bytes, to be broadcast: ``find`` gives each word's number or -1."""
 
@@ -168,7 +181,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a text column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets

@@ -264,7 +264,8 @@ def test_audit_of_an_empty_table(tables):
     assert divergence.audit(tables[0].limit(0)).count() == 0
 
 
-def test_chunks_merge_in_order():
+@pytest.mark.parametrize("block", [1, 20, 10_000])
+def test_chunks_merge_in_order(block):
     rng = random.Random(2)
     want, chunks = collections.defaultdict(lambda: [0, 0]), []
     for run in range(7):
@@ -274,11 +275,14 @@ def test_chunks_merge_in_order():
             for t, s, c, n in part:
                 want[t, s][0] += c
                 want[t, s][1] += n
-            terms, sources, counts, docs = zip(*part)
-            chunks.append({"first": terms[0], "terms": terms, "sources": sources, "counts": counts, "docs": docs})
-    chunks.sort(key=lambda c: c["first"])
-    got = [tuple(x) for x in divergence.merge_chunks(chunks)]
+            columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*part), divergence.POSTING)]
+            chunks.append((part[0][0], pa.Table.from_arrays(columns, schema=pa.schema(divergence.POSTING))))
+    chunks.sort(key=lambda c: c[0])
+    tables = list(divergence.merge_chunks(iter(chunks), block))
+    got = [tuple(r.values()) for t in tables for r in t.to_pylist()]
     assert got == [(t, s, c, n) for (t, s), (c, n) in sorted(want.items())]
+    terms = [set(t["term"].to_pylist()) for t in tables]
+    assert sum(map(len, terms)) == len(set().union(*terms)) and (len(tables) > 1) == (block < 10_000)
 
 
 def test_pair_corrections_in_tiles(monkeypatch):
