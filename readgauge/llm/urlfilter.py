@@ -4,7 +4,8 @@ Rules name a host (with its subdomains) and the begin of a path; the longest tha
 judged by the graph: pages link hosts (links within a page's host count as an edge to itself), and a subdomain and its
 parent domain vouch for each other. Trust is the personalised PageRank from hosts whose pages an allow rule covers; distrust
 is the PageRank over the reversed edges from hosts whose pages a block rule covers. A host is blocked when its distrust
-exceeds its trust by the factor THRESHOLD. A host that neither reaches is allowed.
+exceeds its trust by the factor THRESHOLD. Walks are followed until what still moves, summed over all hosts, is below TOLERANCE and
+no host is met for the first time; so every host that links tie to a seed has a rank. A host that neither reaches is allowed.
 
 Null urls and those without ``://`` have an empty host and path, which belong to no host: allowed. Repeated rows each get
 a row. Only SQL functions are used; ranks are tables with a row per host.
@@ -22,8 +23,8 @@ RULES = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
 )
 DAMPING = 0.85
-ITERATIONS = 12
-CUT_EVERY = 3
+TOLERANCE = 1e-6
+CUT_EVERY = 4
 THRESHOLD = 1.0
 SUBDOMAIN_WEIGHT = 1.0
 
@@ -92,11 +93,13 @@ def neighbours(host: Column) -> Column:
         a.alias("child"), b.alias("parent"))), lambda p: p["parent"].isNotNull() & p["parent"].contains("."))
 
 
-def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``host, trust, distrust`` from ``src, dst, weight`` and ``host, allowed, blocked`` (weights of the seeds).
 
-    Both ranks are one table with a ``kind``; an iteration is one join and one sum. Rank that reaches a host without
-    edges ends there, as it does in truncated walks. Every CUT_EVERY iterations the table is written to cut lineage.
+    Both ranks are one table with a ``kind``: ``r``, what has come to a host so far, and ``walk``, what came with the last step and moves
+    on with the next; a step is one join and one sum. Rank that reaches a host without edges ends there. The sum of ``walk`` shrinks
+    by the damping with each step, which bounds the steps unless there are longer chains of hosts. Every CUT_EVERY
+    steps the table is written, which cuts lineage, and looked at.
     """
     ways = edges.select(F.lit("t").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("z"), "weight").unionByName(
         edges.select(F.lit("d").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("z"), "weight"))
@@ -106,20 +109,26 @@ def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iteratio
     start = seeds.select(F.lit("t").alias("kind"), F.col("host").alias("a"), F.col("allowed").alias("w")).unionByName(
         seeds.select(F.lit("d").alias("kind"), F.col("host").alias("a"), F.col("blocked").alias("w"))).where("w > 0")
     sums = start.groupBy("kind").agg(F.sum("w").alias("all"))
-    start = written(start.join(sums, "kind").select("kind", "a", (F.col("w") / F.col("all")).alias("r")), "host-seeds")
-    rank = start
-    base = start.withColumn("r", F.col("r") * (1 - damping))
-    for i in range(1, iterations + 1):
-        moved = rank.join(ways, ["kind", "a"]).select("kind", F.col("z").alias("a"), (F.col("r") * F.col("p") * damping).alias("r"))
-        rank = moved.unionByName(base).groupBy("kind", "a").agg(F.sum("r").alias("r"))
-        if i % CUT_EVERY == 0:
-            rank = written(rank, "host-rank")
+    own = F.col("w") / F.col("all") * (1 - damping)
+    rank = written(start.join(sums, "kind").select("kind", "a", own.alias("r"), own.alias("walk")), "host-rank")
+    hosts = rank.count()
+    while True:
+        for _ in range(CUT_EVERY):
+            moved = rank.where("walk > 0").join(ways, ["kind", "a"]).select(
+                "kind", F.col("z").alias("a"), F.lit(0.0).alias("r"), (F.col("walk") * F.col("p") * damping).alias("walk"))
+            stayed = rank.select("kind", "a", "r", F.lit(0.0).alias("walk"))
+            rank = moved.unionByName(stayed).groupBy("kind", "a").agg((F.sum("r") + F.sum("walk")).alias("r"), F.sum("walk").alias("walk"))
+        rank = written(rank, "host-rank")
+        moving, met = rank.agg(F.coalesce(F.sum("walk"), F.lit(0.0)), F.count(F.lit(1))).first()
+        if moving < tolerance and met == hosts:
+            break
+        hosts = met
     return rank.groupBy(F.col("a").alias("host")).agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "t", F.col("r"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("kind") == "d", F.col("r"))), F.lit(0.0)).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, iterations: int = ITERATIONS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` for every row of ``page_id, url, html``."""
     rule_rows = rule_table(pages.sparkSession, rules)
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
@@ -127,7 +136,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, iteration
     seeds = named.where("rule is not null").groupBy("host").agg(
         F.sum((F.col("rule_verdict") == "allow").cast("double")).alias("allowed"),
         F.sum((F.col("rule_verdict") == "block").cast("double")).alias("blocked"))
-    rank = ranks(host_edges(split.select("host", "html")), seeds, iterations=iterations)
+    rank = ranks(host_edges(split.select("host", "html")), seeds, tolerance=tolerance)
     out = named.join(rank, "host", "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     graph = F.when(distrust > trust * threshold, "block").otherwise("allow")
