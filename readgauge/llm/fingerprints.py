@@ -1,13 +1,15 @@
 """Order-independent document fingerprints: sums of vectors hashed from paragraphs.
 
-Each paragraph hashes to a wide vector of zeros and ones; a document's fingerprint is the sum of its paragraphs' vectors
-and their number, each kept modulo a power of two (three lanes of 20 bits share a long). Sums don't depend on the order,
-and a paragraph is inserted or deleted by adding or subtracting its vector. Seen as signs, the lanes are random
-projections of the multiset of paragraphs, so the cosine of two fingerprints estimates the cosine of the multisets.
+Each paragraph hashes to a wide vector: for each of SEEDS 64 zeros and ones, and for each of WIDE_SEEDS a number below
+2 ** WIDE_BITS. A document's fingerprint is the sum of its paragraphs' vectors and their number; lanes of zeros and ones are summed modulo
+2 ** LANE_BITS (two lanes share a long, with a bit between them that takes the carry and is cleared), wide numbers modulo 2 ** WIDE_BITS. Sums
+don't depend on the order, and a paragraph is inserted or deleted by adding or subtracting its vector. Seen as signs, the lanes of
+zeros and ones are random projections of the multiset of paragraphs, so the cosine of two fingerprints estimates the
+cosine of the multisets; the wide numbers make different multisets differ.
 
 A paragraph is a line, or a sentence or table cell of it (DELIMITER). Null counts as the empty text, which has the zero
 fingerprint; equal texts have equal fingerprints; two empty texts are alike (1), an empty and another are not (0).
-Everything is built from SQL functions; a text is one cell and may be of any length up to some ten million paragraphs.
+Everything is built from SQL functions; a text is one cell and may be of any length, for no cell holds 2 ** LANE_BITS paragraphs.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ from pyspark.sql import functions as F
 
 DELIMITER = r"[\n\r]+\s*|(?<=[.!?|])\s+"
 SEEDS = (17, 42)
-LANE_BITS = 20
-LANE_ONES = 1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS
-LANE_MASK = (1 << LANE_BITS) - 1
+WIDE_SEEDS = (5, 29, 71, 113)
+LANE_BITS = 31
+LANES = 32  # longs of two lanes for each seed
+WIDE_BITS = 62
 PARTS_PER_PARTITION = 4
 
 
@@ -31,31 +34,59 @@ def hashed(units: Column, seed: int) -> Column:
     return F.transform(units, lambda x: F.xxhash64(x, F.lit(seed)))
 
 
-def summed(*hashes: Column) -> Column:
-    """``array<bigint>``: the number of units, then the packed lane sums of each seed."""
+def _both(x: int) -> int:
+    return x | x << 32
+
+
+def lane_mask() -> Column:
+    return F.lit(_both((1 << LANE_BITS) - 1)).cast("bigint")
+
+
+def wide_mask() -> Column:
+    return F.lit((1 << WIDE_BITS) - 1).cast("bigint")
+
+
+def summed(hashes: list[Column], wide: list[Column]) -> Column:
+    """``array<bigint>``: the number of units, the lane sums of each seed, two in a long, and the wide sums."""
+    zero = F.lit(0).cast("bigint")
+
     def lane(column: Column, shift: int) -> Column:
-        return F.aggregate(column, F.lit(0).cast("bigint"), lambda acc, x: acc + F.shiftrightunsigned(x, shift).bitwiseAND(
-            F.lit(LANE_ONES)))
+        ones = F.lit(_both(1)).cast("bigint")
+        return F.aggregate(column, zero, lambda acc, x: (acc + F.shiftrightunsigned(x, shift).bitwiseAND(ones)).bitwiseAND(lane_mask()))
+
+    def total(column: Column) -> Column:
+        return F.aggregate(column, zero, lambda acc, x: (acc + x.bitwiseAND(wide_mask())).bitwiseAND(wide_mask()))
 
-    return F.array(F.size(hashes[0]).cast("bigint"), *(lane(h, k) for h in hashes for k in range(LANE_BITS)))
+    return F.array(F.size(hashes[0]).cast("bigint"), *(lane(h, k) for h in hashes for k in range(LANES)), *map(total, wide))
 
 
 def with_sums(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the lane sums of ``text`` as ``out``."""
-    names = [f"{out}__h{seed}" for seed in SEEDS]
+    names = {seed: f"{out}__h{seed}" for seed in (*SEEDS, *WIDE_SEEDS)}
     df = df.withColumn(f"{out}__u", paragraphs(F.col(text)))
-    df = df.withColumns({n: hashed(F.col(f"{out}__u"), s) for n, s in zip(names, SEEDS)})
-    return df.withColumn(out, summed(*(F.col(n) for n in names))).drop(f"{out}__u", *names)
+    df = df.withColumns({n: hashed(F.col(f"{out}__u"), s) for s, n in names.items()})
+    sums = summed([F.col(names[s]) for s in SEEDS], [F.col(names[s]) for s in WIDE_SEEDS])
+    return df.withColumn(out, sums).drop(f"{out}__u", *names.values())
+
+
+def _by_lane(a: Column, b: Column, count, lane, wide) -> Column:
+    n = LANES * len(SEEDS)
+    pairs = F.arrays_zip(a.alias("x"), b.alias("y"))
+    return F.transform(pairs, lambda p, i: F.when(i == 0, count(p["x"], p["y"])).when(i <= n, lane(p["x"], p["y"])).otherwise(wide(p["x"], p["y"])))
 
 
 def inserted(sums: Column, more: Column) -> Column:
     """Fingerprint of the union of two multisets of paragraphs."""
-    return F.zip_with(sums, more, lambda a, b: a + b)
+    return _by_lane(sums, more, lambda x, y: x + y, lambda x, y: (x + y).bitwiseAND(lane_mask()), lambda x, y: (x + y).bitwiseAND(wide_mask()))
 
 
 def deleted(sums: Column, less: Column) -> Column:
     """Fingerprint after the deletion of paragraphs that are contained."""
-    return F.zip_with(sums, less, lambda a, b: a - b)
+    ahead = F.lit(1 << LANE_BITS).cast("bigint")
+    ahead = ahead + F.shiftleft(ahead, 32)  # one whole turn of each lane, so that none borrows from the other
+    turn = F.lit(1 << WIDE_BITS).cast("bigint")
+    return _by_lane(sums, less, lambda x, y: x - y, lambda x, y: (x.bitwiseOR(ahead) - y).bitwiseAND(lane_mask()),
+                    lambda x, y: (x.bitwiseOR(turn) - y).bitwiseAND(wide_mask()))
 
 
 def as_text(sums: Column) -> Column:
@@ -64,12 +95,14 @@ def as_text(sums: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Cosine of the signed lanes, cut to 0..1; 1 for equal fingerprints."""
+    low = F.lit((1 << LANE_BITS) - 1).cast("bigint")
+
     def lane(x, i, n):
-        return (F.shiftright(x, LANE_BITS * i).bitwiseAND(F.lit(LANE_MASK)) * 2 - n).cast("double")
+        return (F.shiftrightunsigned(x, 32 * i).bitwiseAND(low) * 2 - n).cast("double")
 
     def add(acc, z):
         x, y = z["x"], z["y"]
-        pairs = [(lane(x, i, F.element_at(a, 1)), lane(y, i, F.element_at(b, 1))) for i in range(3)]
+        pairs = [(lane(x, i, F.element_at(a, 1)), lane(y, i, F.element_at(b, 1))) for i in range(2)]
         return F.struct(
             (acc["xy"] + sum(p * q for p, q in pairs)).alias("xy"),
             (acc["xx"] + sum(p * p for p, _ in pairs)).alias("xx"),
@@ -77,7 +110,7 @@ def likeness(a: Column, b: Column) -> Column:
         )
 
     zero = F.struct(*(F.lit(0.0).alias(n) for n in ("xy", "xx", "yy")))
-    lanes = F.zip_with(F.slice(a, 2, LANE_BITS * len(SEEDS)), F.slice(b, 2, LANE_BITS * len(SEEDS)),
+    lanes = F.zip_with(F.slice(a, 2, LANES * len(SEEDS)), F.slice(b, 2, LANES * len(SEEDS)),
                        lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     cosine = F.aggregate(lanes, zero, add, lambda s: F.try_divide(s["xy"], F.sqrt(s["xx"] * s["yy"])))
     return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine, F.lit(0.0)))))
