@@ -320,6 +320,81 @@ def test_url_rules_and_graph(spark):
     assert {r["host"]: r["trust"] > r["distrust"] for r in rows}["good.net"]
 
 
+@pytest.mark.parametrize("bits,wide", [(31, 62), (3, 5)])
+def test_fingerprint_lanes_wrap_and_come_back(spark, monkeypatch, bits, wide):
+    """Lanes that overflow many times lose only whole turns, and deleting brings the smaller multiset back."""
+    monkeypatch.setattr(fingerprints, "LANE_BITS", bits)
+    monkeypatch.setattr(fingerprints, "WIDE_BITS", wide)
+    rng = random.Random(1)
+    units = [f"line {rng.randrange(30)}" for _ in range(300)]
+    texts = ["\n".join(u) for u in (units, units[:170], units[170:], units[::-1], units[1:])]
+    df = spark.createDataFrame([tuple(texts)], "a string, b string, c string, d string, e string")
+    for c in "abcde":
+        df = fingerprints.with_sums(df, c, f"f{c}")
+    row = df.select("fa", "fb", "fc", "fd", "fe", fingerprints.inserted(F.col("fb"), F.col("fc")).alias("more"),
+                    fingerprints.deleted(F.col("fa"), F.col("fb")).alias("less"),
+                    fingerprints.deleted(F.col("fa"), F.col("fa")).alias("none")).first()
+    assert row["more"] == row["fa"] == row["fd"] != row["fe"] and row["less"] == row["fc"] and not any(row["none"])
+    lanes = row["fa"][1:1 + 2 * fingerprints.LANES]
+    parts = [x >> 32 * i & (1 << 32) - 1 for x in lanes for i in (0, 1)]
+    assert len(parts) == 128 and max(parts) < 1 << bits and max(row["fa"][-4:]) < 1 << wide
+    hashes = [r["h"] for r in spark.createDataFrame([(u,) for u in units], "u string").select(F.xxhash64("u", F.lit(17)).alias("h")).collect()]
+    for k in range(fingerprints.LANES):
+        for i in (0, 1):
+            assert lanes[k] >> 32 * i & (1 << 32) - 1 == sum((h >> k + 32 * i) & 1 for h in hashes) % (1 << bits)
+
+
+def test_likeness_of_very_many_equal_paragraphs(spark):
+    df = spark.sql("SELECT repeat('x\n', 1100000) AS a, repeat('x\n', 1048577) AS b, repeat('y\n', 1100000) AS c")
+    for c in "abc":
+        df = fingerprints.with_sums(df, c, f"f{c}")
+    row = df.select(fingerprints.likeness(F.col("fa"), F.col("fb")), fingerprints.likeness(F.col("fa"), F.col("fc"))).first()
+    assert row[0] == pytest.approx(1) and row[1] < 0.5
+
+
+def ranks_by_hand(edges, start, damping=0.85):
+    hosts = sorted({h for e in edges for h in e[:2]} | set(start))
+    at = {h: i for i, h in enumerate(hosts)}
+    move = np.zeros((len(hosts), len(hosts)))
+    for a, z, w in edges:
+        move[at[a], at[z]] += w
+    out = move.sum(axis=1, keepdims=True)
+    move = np.divide(move, out, out=np.zeros_like(move), where=out > 0)
+    base = np.zeros(len(hosts))
+    for h, w in start.items():
+        base[at[h]] = w / sum(start.values())
+    rank = np.linalg.solve(np.eye(len(hosts)) - damping * move.T, (1 - damping) * base)
+    return dict(zip(hosts, rank))
+
+
+def test_ranks_are_those_of_the_whole_graph(spark):
+    rng = random.Random(5)
+    hosts = [f"h{i}" for i in range(30)]
+    edges = list({(rng.choice(hosts), rng.choice(hosts)): float(rng.randint(1, 4)) for _ in range(90)}.items())
+    edges = [(a, z, w) for (a, z), w in edges] + [(f"c{i}", f"c{i + 1}", 1.0) for i in range(25)] + [("c25", "h1", 2.0)]
+    allowed, blocked = {"h0": 2.0, "h7": 1.0}, {"h1": 1.0, "h3": 3.0}
+    seeds = [(h, allowed.get(h, 0.0), blocked.get(h, 0.0)) for h in {*allowed, *blocked}]
+    got = {r["host"]: r for r in urlfilter.ranks(
+        spark.createDataFrame(edges, "src string, dst string, weight double").repartition(3),
+        spark.createDataFrame(seeds, "host string, allowed double, blocked double")).collect()}
+    trust, distrust = ranks_by_hand(edges, allowed), ranks_by_hand([(z, a, w) for a, z, w in edges], blocked)
+    for h in trust:
+        row = got.get(h)
+        assert (row["trust"] if row else 0) == pytest.approx(trust[h], abs=1e-5)
+        assert (row["distrust"] if row else 0) == pytest.approx(distrust[h], abs=1e-5)
+        assert (distrust[h] > 1e-12) == bool(row and row["distrust"] > 0)
+
+
+def test_a_long_chain_to_a_blocked_host_is_blocked(spark):
+    pages = [(0, "http://c0.net/", '<a href="http://bad.com/de/">')]
+    pages += [(i, f"http://c{i}.net/", f'<a href="http://c{i - 1}.net/">') for i in range(1, 21)]
+    pages += [(90, "http://bad.com/de/x", None), (91, "http://alone.net/", "<p>")]
+    found = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert all(found[i]["verdict"] == "block" for i in [*range(21), 90]) and found[91]["verdict"] == "allow"
+    ranks = [found[i]["distrust"] for i in range(21)]
+    assert ranks == sorted(ranks, reverse=True) and ranks[-1] > 0
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(400, 16))
@@ -342,6 +417,51 @@ def test_neighbours(spark):
     assert [i for i, _ in got[20]][:3] == [100, 101, 102]
 
 
+def recall(spark, x, k=20):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(3)
+    found = {}
+    for r in neighbours.nearest(df, F.col("id") % 20 == 0, k).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hit = 0
+    for q in range(0, len(x), 20):
+        products = x @ x[q]
+        order = [i for i in np.lexsort((np.arange(len(x)), -products)) if i != q][:k]
+        rows = sorted(found[q])
+        assert [r for r, *_ in rows] == list(range(1, k + 1))
+        assert all(s == pytest.approx(products[i]) for _, i, s in rows) and [s for *_, s in rows] == sorted((s for *_, s in rows), reverse=True)
+        hit += len(set(order) & {i for _, i, _ in rows})
+    return hit / (len(range(0, len(x), 20)) * k)
+
+
+@pytest.mark.parametrize("kind", ["unit", "half", "one", "single"])
+def test_recall_whatever_the_lengths(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind in ("half", "one"):
+        x *= np.exp(rng.normal(size=(1500, 1)) * {"half": 0.5, "one": 1.0}[kind])
+    if kind == "single":
+        x[7] *= 10
+    assert recall(spark, x) >= 0.9
+
+
+def test_classes_of_lengths():
+    norms = np.array([10.0, 8.0, 7.9, 1e-9, 10 / 1.25 ** 3])
+    c = neighbours.class_of(norms, 10.0)
+    assert c.tolist() == [0, 1, 1, neighbours.CLASSES - 1, 3]
+    tops = 10 * neighbours.RATIO ** -c.astype(float)
+    assert (norms <= tops * (1 + 1e-9)).all()
+    x = neighbours.prepared(np.eye(5)[:, :4] * 3 + 1, 10.0, False)
+    assert np.allclose(np.linalg.norm(x, axis=1), 1)
+    assert neighbours.class_of(norms, None).tolist() == [0] * 5
+
+
+def test_full_buckets_are_split_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    x = np.random.default_rng(5).normal(size=(300, 16))
+    assert recall(spark, x, 5) >= 0.9
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(0, 6)], "vec_id bigint, embedding array<float>")
     got = neighbours.nearest(df, F.col("id") == 0).orderBy("rank").collect()
