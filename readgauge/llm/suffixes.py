@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, written
+from .common import bucketed, thrifty, written
 from .induced import SuffixSorter, pieces_text
 from .shingles import BASE, BYTE_VALUES, mixed
 
@@ -70,7 +70,7 @@ def packs_of(docs: DataFrame) -> DataFrame:
         if ids:
             yield made()
 
-    return slim.mapInArrow(run, f"{PACKS}, rest array<{slim.schema['rest'].dataType.simpleString()}>")
+    return slim.mapInArrow(thrifty(run), f"{PACKS}, rest array<{slim.schema['rest'].dataType.simpleString()}>")
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -176,7 +176,7 @@ def shared_anchors(packs: DataFrame, buckets: int) -> DataFrame:
         bits = [np.packbits(x).tobytes() for x in np.split(several, np.cumsum(sizes)[:-1])]
         return pa.table({"pid": group["pid"], "pack": group["pack"], "bucket": group["bucket"], "bits": pa.array(bits, pa.binary())})
 
-    sent = packs.mapInArrow(send, "bucket int, pid int, pack bigint, hashes binary, several binary")
+    sent = packs.mapInArrow(thrifty(send), "bucket int, pid int, pack bigint, hashes binary, several binary")
     told = sent.groupBy("bucket").applyInArrow(lambda g: decide(g), "pid int, pack bigint, bucket int, bits binary")
     return told.groupBy("pid", "pack").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("told"))
 
@@ -223,7 +223,7 @@ def fragments(packs: DataFrame, told: DataFrame, buckets: int, shards: int) -> D
                     types = [pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 6
                     yield pa.RecordBatch.from_arrays([pa.array(rows[n], t) for n, t in zip(names, types)], names)
 
-    return packs.join(told, ["pid", "pack"]).select("pid", "pack", "ids", "ends", "text", "told").mapInArrow(run, FRAGMENTS)
+    return packs.join(told, ["pid", "pack"]).select("pid", "pack", "ids", "ends", "text", "told").mapInArrow(thrifty(run), FRAGMENTS)
 
 
 def with_company(pieces: list[bytes]) -> np.ndarray:
@@ -400,7 +400,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     joined = packs.join(found, ["pid", "pack"], "left").select("pid", "pack", "ids", "ends", "text", "found", *["rest"] * with_text)
     kind = packs.schema["rest"].dataType.elementType.simpleString()
-    return joined.mapInArrow(cut, RESULT + f", kept_text string, rest {kind}" * with_text)
+    return joined.mapInArrow(thrifty(cut), RESULT + f", kept_text string, rest {kind}" * with_text)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
