@@ -108,6 +108,17 @@ def ordered(mixed: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """The taken documents in training order, each as often as it is begun (its last time may be taken in part)."""
-    parts = mix(docs, **parameters)
-    return ordered(parts.select("doc", F.explode("positions").alias("position"))).select("doc.*")
+    """The taken documents in training order, each as often as it is begun (its last time may be taken in part).
+
+    Positions are found for keys of the rows alone: the md5 of the id and a hash of all columns. The texts move twice, to meet their
+    positions and into the range sort. Equal rows are one text with the positions of all.
+    """
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    keyed = docs.select(key.alias("_k"), F.xxhash64(*docs.columns).alias("_h"), F.struct(*docs.columns).alias("_doc"))
+    size = n_words(F.col("text"))
+    slim = docs.select("doc_id", "source", size.alias("_size"), key.alias("_k"), F.xxhash64(*docs.columns).alias("_h"))
+    parts = mix(slim, size=F.col("_size"), slim=("_k", "_h"), **parameters)
+    places = parts.select("doc._k", "doc._h", F.explode("positions").alias("_position"))
+    texts = keyed.dropDuplicates(["_k", "_h"])
+    placed = places.hint("merge").join(texts, ["_k", "_h"])
+    return placed.orderBy("_position", "_k", "_h").select("_doc.*")
