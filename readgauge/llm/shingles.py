@@ -15,6 +15,10 @@ the shingle at its earliest place, which is a copy's original as a rule; compone
 round compares all members of a list that are still in different components and were not compared before. So a group of
 copies costs a comparison per member, and no link between components is lost. Nothing is capped.
 
+Links. A link's ends are in one component, so the links of a set are counted inside its component: members are dealt by hash to
+blocks of about BLOCK_SETS sets or BLOCK_SHINGLES shingles, and every two blocks of a component meet in one group, which
+compares all their sets at once. Memory is bounded by two blocks; work is quadratic in a component's different sets.
+
 A null or blank text has no shingles and links with nothing; a text of fewer than ``n`` words is one shingle. Repeated
 rows have equal sets and are linked. The component is named by its smallest id; ids compare as numbers, null is last.
 """
@@ -37,6 +41,9 @@ SLICE_BITS = 16
 SENT = 200_000
 STAR_ROUNDS = 1
 CHUNK_BYTES = 500_000
+BLOCK_SETS = 1000
+BLOCK_SHINGLES = 400_000
+COLUMNS_AT_ONCE = 8192
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -286,8 +293,81 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         state = new.select("key", "root")
 
 
-def grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The documents as a table (``pid, row, doc``) and, for each, ``pid, row, doc_id, n_shingles, component_id, n_links``."""
+def linked_counts(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """How many links each set has to the others, between the sets marked ``low`` and those marked ``high``, both if one block."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    column = (np.cumsum(times > 1) - 1)[at]  # a shingle of one set only is in no intersection
+    row, column = row[times[at] > 1], column[times[at] > 1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    a, b = np.flatnonzero(low), np.flatnonzero(high)
+    shared = np.zeros((len(a), len(b)), np.int64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS_AT_ONCE):
+        i, j = np.searchsorted(column, [first, first + COLUMNS_AT_ONCE])
+        held = np.zeros((len(sets), min(COLUMNS_AT_ONCE, int(column[-1]) + 1 - first)), np.float32)
+        held[row[i:j], column[i:j] - first] = 1
+        shared += (held[a] @ held[b].T).astype(np.int64)
+    link = 100 * shared >= percent * (sizes[a][:, None] + sizes[b][None, :] - shared)
+    link &= a[:, None] != b[None, :]
+    counts = np.zeros(len(sets), np.int64)
+    counts[a] = link.sum(axis=1)
+    if not np.array_equal(a, b):
+        counts[b] += link.sum(axis=0)
+    return counts
+
+
+def link_counts(roots: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """``key, n_links``: the links of every set that has any, to sets different from it; all pairs of a component are compared.
+
+    A component of two sets is the link that made it.
+    """
+    holders = nodes.where("first is not null").groupBy("key").agg(F.min(F.struct("pid", "n_shingles")).alias("x"))
+    members = written(roots.join(holders, "key").select("key", "root", "x.*"), "members")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("s")).where("k > 2")
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.join(sizes.select("root", blocks.alias("blocks")), "root").select(
+        "key", "pid", "root", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
+    texts = nodes.where("first is not null").select("pid", "key", F.col("doc.text").alias("text")).join(dealt, ["pid", "key"])
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = texts.select("key", "text", "root", "block", other).select(
+        "key", "text", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
+
+    def compare(batches):
+        held, name = [], None
+
+        def counted():
+            keys, texts, block = (sum((x[i] for x in held), []) for i in range(3))
+            block = np.array(block)
+            found = linked_counts(shingle_sets(texts, n), block == name[1], block == name[2], percent)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.int64())], ["key", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            root, low, high = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("root", "low", "high"))
+            starts = [0, *(i for i in range(1, len(root)) if (root[i], low[i], high[i]) != (root[i - 1], low[i - 1], high[i - 1]))]
+            for i, j in zip(starts, [*starts[1:], len(root)]):
+                if held and name != (root[i], low[i], high[i]):
+                    yield counted()
+                    held = []
+                name = (root[i], low[i], high[i])
+                held.append([batch.column(batch.schema.names.index(c)).slice(i, j - i).to_pylist() for c in ("key", "text", "block")])
+        if held:
+            yield counted()
+
+    group = ["root", "low", "high"]
+    larger = met.repartition(*group).sortWithinPartitions(*group).mapInArrow(thrifty(compare), "key binary, n bigint")
+    twos = members.join(sizes.select("root"), "root", "left_anti").select("key", F.lit(1).cast("bigint").alias("n"))
+    return larger.unionByName(twos).groupBy("key").agg(F.sum("n").alias("n_links"))
+
+
+def grouped(docs: DataFrame, n: int, percent: int, count: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The documents as a table (``pid, row, doc``) and, for each, ``pid, row, doc_id, n_shingles, component_id, n_links``.
+
+    Without ``count``, links are not counted and ``n_links`` is missing.
+    """
     spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(classes(sketch(docs, n)))  # 2 ** SKETCH_BITS bytes
     nodes = bucketed(nodes_of(docs, n, percent, rank), "nodes", max(1, docs.rdd.getNumPartitions()))
@@ -333,21 +413,21 @@ def grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
         done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
         links = found if links is None else links.unionByName(found)
         roots = components(links, "component")
-    counts = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("n_links"))
     lowest = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"))
     named = lowest.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    names = named.join(least, "root").join(counts, "key", "left").select("key", "component_id", "n_links")
-    return nodes, rows.join(names, "key", "left").select(
-        "pid", "row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    names = named.join(least, "root").select("key", "component_id")
+    found = ["pid", "row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")]
+    if count:
+        names = names.join(link_counts(roots, nodes, n, percent), "key", "left")
+        found.append(F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return nodes, rows.join(names, "key", "left").select(*found)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` for every row; similarity of ``percent`` hundredths or more links.
 
-    ``n_links`` counts the links that were verified for the document's set; once sets are known to be in one component,
-    they are not compared, so it is a lower bound.
+    ``n_links`` counts the different sets that the document's set links with; copies have one set.
     """
     _, named = grouped(docs.select("doc_id", "text"), n, percent)
     return named.select("doc_id", "n_shingles", "component_id", "n_links")
@@ -355,7 +435,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 def one_per_group(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id, and every row without words."""
-    nodes, named = grouped(docs, n, percent)
+    nodes, named = grouped(docs, n, percent, count=False)
     some = named.where("n_shingles > 0").groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "pid", "row")).alias("x")).select("x.pid", "x.row")
     keep = some.unionByName(named.where("n_shingles = 0").select("pid", "row"))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -74,6 +75,21 @@ def test_jaccard_components(docs, rows, n, percent):
     assert got == components({r[0]: r[1] for r in rows}, n, percent)
 
 
+@pytest.mark.parametrize("sets, shingles_held", [(1000, 400_000), (7, 400_000), (1000, 900)])
+def test_links_within_a_component_are_counted(docs, rows, monkeypatch, sets, shingles_held):
+    monkeypatch.setattr(shingles, "BLOCK_SETS", sets)
+    monkeypatch.setattr(shingles, "BLOCK_SHINGLES", shingles_held)
+    monkeypatch.setattr(shingles, "COLUMNS_AT_ONCE", 50)
+    of = {}
+    for i, text, *_ in rows:
+        words = [w for w in re.split(r"[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+        of[i] = frozenset(tuple(words[j:j + 4]) for j in range(max(1, len(words) - 3))) if words else frozenset()
+    different = set(of.values()) - {frozenset()}
+    want = {i: sum(a != b and 100 * len(a & b) >= 60 * len(a | b) for b in different) if a else 0 for i, a in of.items()}
+    got = {r["doc_id"]: r["n_links"] for r in shingles.near_duplicates(docs, 4, 60).collect()}
+    assert got == want and max(want.values()) > 10
+
+
 def test_one_per_group_keeps_columns_and_repeats_once(docs, rows):
     kept = shingles.one_per_group(docs.unionByName(docs.where("doc_id < 30")))
     assert kept.columns == docs.columns
