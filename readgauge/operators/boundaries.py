@@ -41,7 +41,7 @@ INITIAL = r"^[\p{L}]$"
 
 def type_of(token: Column) -> Column:
     """``…"Dr.`` becomes ``dr``, ``U.S.`` becomes ``u.s``, ``3.`` becomes ``#``; '' without a letter or digit."""
-    core = F.regexp_replace(F.lower(token), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    core = F.regexp_replace(F.lower(token), r"^[^\p{L}\p{N}]+|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
     return F.when(core.rlike(r"^\p{N}[\p{N}.,]*$"), F.lit(NUMBER)).otherwise(core)
 
 
@@ -50,17 +50,25 @@ def has_stop(token: Column) -> Column:
     return token.rlike(r"[\p{L}\p{N}]\.$")
 
 
+def _tokens(text: str) -> Column:
+    return F.filter(F.split(F.col(text), f"[{tx.BLANKS}]+"), lambda t: t != "")
+
+
 def token_rows(df: DataFrame, text: str) -> DataFrame:
-    """One row per token: ``type, stop, previous, previous_stop, after_end``, the last: it begins a text or follows ``.!?``."""
-    blanks = f"[{tx.BLANKS}]+"
-    tokens = F.filter(F.split(F.col(text), blanks), lambda t: t != "")
-    listed = df.select(tokens.alias("_t"))
-    shifted = F.concat(F.array(F.lit("")), F.slice("_t", F.lit(1), F.greatest(F.size("_t") - 1, F.lit(0))))
-    rows = listed.filter(F.size("_t") > 0).select(F.inline(F.arrays_zip(F.col("_t").alias("token"), shifted.alias("before"))))
-    return rows.select(
-        type_of(F.col("token")).alias("type"), has_stop(F.col("token")).alias("stop"), type_of(F.col("before")).alias("previous"),
-        has_stop(F.col("before")).alias("previous_stop"), ((F.col("before") == "") | F.col("before").rlike(r"[.!?]$")).alias("after_end"),
-    )
+    """One row per distinct token: ``type, stop, n``, so types are found once a token and not once an occurrence."""
+    counted = df.select(F.explode(_tokens(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return counted.select(type_of(F.col("token")).alias("type"), has_stop(F.col("token")).alias("stop"), "n")
+
+
+def end_rows(df: DataFrame, text: str) -> DataFrame:
+    """One row per distinct token with the one before it, if that ends with ``.!?``: ``type, previous, previous_stop, n``."""
+    listed = df.select(_tokens(text).alias("_t")).filter(F.size("_t") > 1)
+    n = F.size("_t") - 1
+    rows = listed.select(F.inline(F.arrays_zip(F.slice("_t", F.lit(1), n).alias("before"), F.slice("_t", F.lit(2), n).alias("token"))))
+    # a look at the last character, which may be one of those that $ passes over, saves most tokens the pattern
+    ends = rows.filter(F.substring("before", -1, 1).isin(*".!?\u0085\u2028\u2029")).groupBy("before", "token").agg(F.count("*").alias("n"))
+    return ends.filter(F.col("before").rlike(r"[.!?]$")).select(
+        type_of(F.col("token")).alias("type"), type_of(F.col("before")).alias("previous"), has_stop(F.col("before")).alias("previous_stop"), "n")
 
 
 def _part(k: Column, n: Column, p: Column) -> Column:
@@ -100,13 +108,12 @@ class Boundaries:
     starters: tuple[str, ...]
 
     @classmethod
-    def fit(cls, df: DataFrame, text: str, listed: int = LISTED) -> Boundaries:
-        """Two passes over the texts: types, then what follows full stops."""
+    def fit(cls, df: DataFrame, text: str, listed: int = LISTED, tables: tuple[DataFrame, DataFrame] | None = None) -> Boundaries:
+        """Two passes over the texts: types, then what follows full stops; ``tables``: as from ``statistics``, if made before."""
         def best(scores: DataFrame, least: float, *names: str) -> list:
             return scores.filter(F.col("score") >= least).orderBy(F.desc("score"), *names).select(*names).limit(listed).collect()
 
-        rows = token_rows(df, text)
-        counted = _written(type_counts(rows), "types")
+        counted, rows = tables or statistics(df, text)
         abbreviations = [r["type"] for r in best(abbreviation_scores(counted), ABBREVIATION, "type")]
         after = _written(follow_counts(rows, abbreviations), "after")
         starters = [r["type"] for r in best(starter_scores(after, counted), STARTER, "type")]
@@ -130,15 +137,23 @@ class Boundaries:
         return F.when(F.size(parts) == 0, F.array().cast("array<string>")).otherwise(F.split(whole, CUT))
 
     def _same_sentence(self, part: Column, following: Column) -> Column:
-        token = F.regexp_extract(part, rf"[^{tx.BLANKS}]+$", 0)
-        after = F.regexp_extract(following, rf"^[^{tx.BLANKS}]+", 0)
-        before, next_type = type_of(token), type_of(after)
-        short = before.isin(*self.abbreviations) | before.rlike(INITIAL) if self.abbreviations else before.rlike(INITIAL)
-        lower = after.rlike(r"^[^\p{L}\p{N}]*\p{Ll}")
-        together = F.concat(before, F.lit(" "), next_type).isin(*[f"{a} {b}" for a, b in self.collocations]) if self.collocations else F.lit(False)
-        starts = next_type.isin(*self.starters) if self.starters else F.lit(False)
-        known = short | (before == NUMBER)
-        return has_stop(token) & known & (lower | together | (short & ~starts))
+        """Whether a cut is taken back. Only parts that end with a full stop are looked into, and their last type is found once."""
+        def known(before: Column) -> Column:
+            short = before.isin(*self.abbreviations) | before.rlike(INITIAL) if self.abbreviations else before.rlike(INITIAL)
+            return F.when(before == NUMBER, F.lit(1)).when(short, F.lit(2)).otherwise(F.lit(0))
+
+        def joins(at: Column) -> Column:
+            before, kind, after = at["before"], at["kind"], F.regexp_extract(following, rf"^[^{tx.BLANKS}]+", 0)
+            next_type = type_of(after)
+            lower = after.rlike(r"^[^\p{L}\p{N}]*\p{Ll}")
+            together = F.concat(before, F.lit(" "), next_type).isin(*[f"{a} {b}" for a, b in self.collocations]) if self.collocations else F.lit(False)
+            starts = next_type.isin(*self.starters) if self.starters else F.lit(False)
+            return (kind > 0) & (lower | together | ((kind == 2) & ~starts))
+
+        token = F.regexp_extract(part, rf"(?<![^{tx.BLANKS}])[^{tx.BLANKS}]++$", 0)
+        kinds = F.transform(F.array(type_of(token)), lambda t: F.struct(t.alias("before"), known(t).alias("kind")))
+        # a full stop and what $ passes over after it are the last three characters at most
+        return has_stop(F.substring(part, -3, 3)) & F.get(F.transform(kinds, joins), F.lit(0))
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -147,22 +162,28 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def statistics(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """``type_counts`` and ``end_rows`` of a corpus as tables, a pass over the texts each."""
+    return _written(type_counts(token_rows(df, text)), "types"), _written(end_rows(df, text), "ends")
+
+
 def type_counts(rows: DataFrame) -> DataFrame:
     """``type, n_stop, n_plain`` over token rows."""
     counted = rows.filter("type <> ''").groupBy("type")
-    return counted.agg(F.count_if("stop").alias("n_stop"), F.count_if(~F.col("stop")).alias("n_plain"))
+    n = F.col("n")
+    return counted.agg(F.sum(F.when(F.col("stop"), n).otherwise(0)).alias("n_stop"), F.sum(F.when(F.col("stop"), 0).otherwise(n)).alias("n_plain"))
 
 
 def follow_counts(rows: DataFrame, abbreviations) -> DataFrame:
-    """``previous, type, n_both``: types right after a number, initial or abbreviation with a full stop; a null ``previous``
-    stands for all sure sentence ends.
+    """``previous, type, n_both`` from ``end_rows``: types right after a number, initial or abbreviation with a full stop; a null
+    ``previous`` stands for all sure sentence ends.
     """
     previous = F.col("previous")
     short = previous.rlike(INITIAL) | (previous == NUMBER)
     short = short | previous.isin(*abbreviations) if abbreviations else short
     after = rows.filter((F.col("type") != "") & (F.col("type") != NUMBER) & (previous != ""))
-    after = after.withColumn("_short", short).filter(F.when(F.col("_short"), F.col("previous_stop")).otherwise(F.col("after_end")))
-    return after.groupBy(F.when(F.col("_short"), previous).alias("previous"), "type").agg(F.count("*").alias("n_both"))
+    after = after.withColumn("_short", short).filter(~F.col("_short") | F.col("previous_stop"))
+    return after.groupBy(F.when(F.col("_short"), previous).alias("previous"), "type").agg(F.sum("n").alias("n_both"))
 
 
 def _with_totals(found: DataFrame, counted: DataFrame) -> DataFrame:

@@ -607,9 +607,9 @@ def abbreviations(spark, sf):
 
 @query
 def sentence_starters(spark, sf):
-    rows = boundaries.token_rows(views.documents(spark, sf), "text")
-    counted = boundaries.type_counts(rows)
-    short = boundaries.Boundaries.fit(views.documents(spark, sf), "text").abbreviations
+    docs = views.documents(spark, sf)
+    counted, rows = boundaries.statistics(docs, "text")
+    short = boundaries.Boundaries.fit(docs, "text", tables=(counted, rows)).abbreviations
     scores = boundaries.starter_scores(boundaries.follow_counts(rows, short), counted)
     return rounded(scores.filter(F.col("score") >= boundaries.STARTER), "score")
 

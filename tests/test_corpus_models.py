@@ -256,3 +256,30 @@ def test_boundaries_of_an_empty_corpus(spark):
     model = boundaries.Boundaries.fit(table(spark, [None, ""]), "text")
     assert model == boundaries.Boundaries((), (), ())
     assert [r["sentence"] for r in boundaries.split_rows(table(spark, ["Aa bb. Cc dd."]), "text", "i", model=model).collect()] == ["Aa bb.", "Cc dd."]
+
+
+def test_types_are_found_once_a_token(spark):
+    """Counted by hand over occurrences; and the statistics hold a row per distinct token, however often it stands."""
+    texts = ["Dr. Foo ran. (Dr. Foo)! 3. Mai... a. B c.  Dd   ee?\u0085 Ff", "x. Dr. Foo", None, "", "Dr."] * 3
+    df, counts, ends = table(spark, texts), Counter(), Counter()
+
+    def kind(token):
+        core = re.sub(r"^[\W_]+|[\W_]+$", "", token.lower())
+        return "#" if re.fullmatch(r"\d[\d.,]*", core) else core
+
+    def stop(token):
+        return bool(re.search(r"[^\W_]\.[\u0085  ]?$", token))
+
+    for text in texts:
+        tokens = [t for t in re.split("[ \n\t\r]+", text or "") if t]
+        counts.update((kind(t), stop(t)) for t in tokens)
+        for a, b in zip(tokens, tokens[1:]):
+            short = len(kind(a)) == 1 or kind(a) in ("#", "dr")
+            if kind(a) and kind(b) not in ("", "#") and (stop(a) if short else re.search("[.!?][\u0085  ]?$", a)):
+                ends[kind(a) if short else None, kind(b)] += 1
+    rows = boundaries.token_rows(df, "text")
+    assert rows.count() == len({t for x in texts for t in re.split("[ \n\t\r]+", x or "") if t})
+    got = {r["type"]: (r["n_stop"], r["n_plain"]) for r in boundaries.type_counts(rows).collect()}
+    assert got == {t: (counts[t, True], counts[t, False]) for t, _ in counts if t}
+    after = boundaries.follow_counts(boundaries.end_rows(df, "text"), ["dr"]).collect()
+    assert {(r["previous"], r["type"]): r["n_both"] for r in after} == ends and len(after) == len(ends)
