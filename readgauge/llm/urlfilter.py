@@ -97,7 +97,8 @@ def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleranc
     """``host, trust, distrust`` from ``src, dst, weight`` and ``host, allowed, blocked`` (weights of the seeds).
 
     Both ranks are one table with a ``kind``: ``r``, what has come to a host so far, and ``walk``, what came with the last step and moves
-    on with the next; a step is one join and one sum. Rank that reaches a host without edges ends there. The sum of ``walk`` shrinks
+    on with the next. Each host has a way to itself, marked ``own``, on which ``r`` stays; so a step reads the table once, as one join and
+    one sum, and plans grow by as much with each step. Rank that reaches a host without edges ends there. The sum of ``walk`` shrinks
     by the damping with each step, which bounds the steps unless there are longer chains of hosts. Every CUT_EVERY
     steps the table is written, which cuts lineage, and looked at.
     """
@@ -106,23 +107,27 @@ def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleranc
     totals = ways.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
     ways = written(ways.join(totals, ["kind", "a"]).select("kind", "a", "z", (F.col("weight") / F.col("total")).alias("p")),
                    "host-edges")
+    hosts = ways.select("kind", F.explode(F.array("a", "z")).alias("a")).unionByName(
+        seeds.select(F.explode(F.array(F.lit("t"), F.lit("d"))).alias("kind"), F.col("host").alias("a"))).distinct()
+    own = hosts.select("kind", "a", F.col("a").alias("z"), F.lit(0.0).alias("p"), F.lit(True).alias("own"))
+    steps = written(ways.withColumn("own", F.lit(False)).unionByName(own), "host-steps")
     start = seeds.select(F.lit("t").alias("kind"), F.col("host").alias("a"), F.col("allowed").alias("w")).unionByName(
         seeds.select(F.lit("d").alias("kind"), F.col("host").alias("a"), F.col("blocked").alias("w"))).where("w > 0")
     sums = start.groupBy("kind").agg(F.sum("w").alias("all"))
-    own = F.col("w") / F.col("all") * (1 - damping)
-    rank = written(start.join(sums, "kind").select("kind", "a", own.alias("r"), own.alias("walk")), "host-rank")
-    hosts = rank.count()
+    first = F.col("w") / F.col("all") * (1 - damping)
+    rank = written(start.join(sums, "kind").select("kind", "a", first.alias("r"), first.alias("walk")), "host-rank")
+    known = rank.count()
     while True:
         for _ in range(CUT_EVERY):
-            moved = rank.where("walk > 0").join(ways, ["kind", "a"]).select(
-                "kind", F.col("z").alias("a"), F.lit(0.0).alias("r"), (F.col("walk") * F.col("p") * damping).alias("walk"))
-            stayed = rank.select("kind", "a", "r", F.lit(0.0).alias("walk"))
-            rank = moved.unionByName(stayed).groupBy("kind", "a").agg((F.sum("r") + F.sum("walk")).alias("r"), F.sum("walk").alias("walk"))
+            moved = rank.join(steps, ["kind", "a"]).where("own or walk > 0").select(
+                "kind", F.col("z").alias("a"), F.when(F.col("own"), F.col("r")).otherwise(0.0).alias("r"),
+                F.when(F.col("own"), 0.0).otherwise(F.col("walk") * F.col("p") * damping).alias("walk"))
+            rank = moved.groupBy("kind", "a").agg((F.sum("r") + F.sum("walk")).alias("r"), F.sum("walk").alias("walk"))
         rank = written(rank, "host-rank")
         moving, met = rank.agg(F.coalesce(F.sum("walk"), F.lit(0.0)), F.count(F.lit(1))).first()
-        if moving < tolerance and met == hosts:
+        if moving < tolerance and met == known:
             break
-        hosts = met
+        known = met
     return rank.groupBy(F.col("a").alias("host")).agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "t", F.col("r"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("kind") == "d", F.col("r"))), F.lit(0.0)).alias("distrust"))

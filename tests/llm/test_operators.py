@@ -383,6 +383,22 @@ def ranks_by_hand(edges, start, damping=0.85):
     return dict(zip(hosts, rank))
 
 
+def test_rank_steps_are_one_join_each(spark, monkeypatch):
+    plans, write = [], urlfilter.written
+
+    def noting(df, name):
+        if name == "host-rank":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(urlfilter, "written", noting)
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 2.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("z", 0.0, 2.0)], "host string, allowed double, blocked double")
+    got = {r["host"]: r for r in urlfilter.ranks(edges, seeds).collect()}
+    assert sorted(got) == ["a", "b", "c", "z"] and got["z"]["distrust"] == pytest.approx(0.15)
+    assert plans and all(p.count("Join ") <= urlfilter.CUT_EVERY for p in plans)
+
+
 def test_ranks_are_those_of_the_whole_graph(spark):
     rng = random.Random(5)
     hosts = [f"h{i}" for i in range(30)]
