@@ -60,6 +60,19 @@ def test_perplexity_by_hand(spark):
     assert [own[i] for i in range(len(TRAIN))] == [pytest.approx(by_hand.ppl(t)) for t in TRAIN]
 
 
+def test_triples_stay_in_the_buckets_of_their_middle_word(spark):
+    df, by_hand = table(spark, TRAIN), Model(TRAIN)
+    found = KneserNey.fit(df, "text", keys=["i"])
+    scored = found.score(df, "text", ["i"], known=True)
+    own = {r["i"]: r["ppl"] for r in scored.collect()}
+    assert [own[i] for i in range(len(TRAIN))] == [pytest.approx(by_hand.ppl(t)) for t in TRAIN]
+    plan = scored._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1  # the sums of a text
+    fresh = KneserNey.load(spark.newSession(), found.path).score(table(spark, SCORED), "text", ["i"])
+    got = {r["i"]: r["ppl"] for r in fresh.collect()}
+    assert [got[i] for i in range(len(SCORED))] == [pytest.approx(by_hand.ppl(t)) for t in SCORED]
+
+
 @pytest.mark.parametrize("context", [("the", "cell"), ("<1>", "<2>"), ("cell", "cell"), ("new", "words"), ("b", "c")])
 def test_probabilities_of_a_context_add_up(context):
     by_hand = Model(TRAIN)
