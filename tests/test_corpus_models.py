@@ -108,6 +108,28 @@ def test_no_size_decides_the_plan(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_occurrences_move_as_keys_and_one_hash(spark):
+    df = table(spark, TRAIN)
+    scored = CorpusModel.fit(df, "text").score(df, "text", ["i"], known=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert sorted(set(moved)) == ["h", "i"]  # no word moves to be looked up
+    held_out = CorpusModel.fit(df, "text").score(table(spark, SCORED), "text", ["i"])
+    words = [re.findall(r"\w+", (t or "").lower()) for t in TRAIN]
+    single, followed = Counter(w for x in words for w in x), Counter(v for x in words for v in x[:-1])
+    pairs = Counter(p for x in words for p in zip(x, x[1:]))
+    for texts, frame in ((TRAIN, scored), (SCORED, held_out)):
+        got = {r["i"]: r["ppl"] for r in frame.collect()}
+        for i, text in enumerate(texts):
+            x = re.findall(r"\w+", (text or "").lower())
+            logs = [math.log((followed[v] + len(single)) / (pairs[v, w] + 1)) for v, w in zip(x, x[1:])]
+            assert got[i] == (pytest.approx(math.exp(np.mean(logs))) if logs else None)
+
+
 # --- sentence vectors
 
 TOPICS = (["cell", "membrane", "protein", "tissue", "nucleus"], ["market", "price", "trade", "money", "bank"], ["river", "lake", "water", "fish", "boat"])
