@@ -116,13 +116,20 @@ def cooccurrences(df: DataFrame, text: str, lexicon: Lexicon, window: int = WIND
 
 
 def association(pairs: DataFrame) -> DataFrame:
-    """``(a, b, n, ppmi)`` for both directions of every pair; ``pairs`` as from ``cooccurrences``. 0 or less is left out."""
+    """``(a, b, n, ppmi)`` for both directions of every pair; ``pairs`` as from ``cooccurrences``. 0 or less is left out.
+
+    The sums by word, as many as the vocabulary has words at most, are sent to the tasks; the pairs are counted and written
+    once and don't move again.
+    """
+    path = scratch_path(pairs.sparkSession, "pairs")
+    pairs.write.parquet(path)
+    pairs = pairs.sparkSession.read.schema(pairs.schema).parquet(path)
     same = F.col("a") == F.col("b")
     both = pairs.select(F.inline(F.when(same, F.array(F.struct("a", "b", (F.col("n") * 2).alias("n")))).otherwise(F.array(
         F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n"))))))
     margins = both.groupBy("a").agg(F.sum("n").alias("n_a"))
     total = margins.agg(F.coalesce(F.sum("n_a"), F.lit(0)).alias("total")).first()["total"]
-    joined = both.join(margins, "a").join(margins.withColumnsRenamed({"a": "b", "n_a": "n_b"}), "b")
+    joined = both.join(F.broadcast(margins), "a").join(F.broadcast(margins.withColumnsRenamed({"a": "b", "n_a": "n_b"})), "b")
     value = F.log(F.col("n").cast("double") * float(total) / (F.col("n_a").cast("double") * F.col("n_b").cast("double")))
     return joined.select("a", "b", "n", value.alias("ppmi")).filter("ppmi > 0")
 

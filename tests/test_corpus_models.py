@@ -202,6 +202,16 @@ def test_word_pairs_by_hand(spark, topical):
     assert {(r["w"], r["near"]): (r["n"], r["ppmi"]) for r in got} == want
 
 
+def test_associated_pairs_do_not_move(spark, topical):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = vectors.word_pairs(table(spark, topical[0][:20]), "text", size=12)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 4 and "SortMergeJoin" not in plan and "MapInArrow" not in plan
+
+
 def test_counts_are_whole_when_memory_fills(spark, topical):
     df, n = table(spark, topical[0]), 60
     lexicon = vectors.Lexicon(vectors.vocabulary(df, "text").select(F.xxhash64("w").alias("h")).toPandas()["h"].to_numpy(np.int64))
