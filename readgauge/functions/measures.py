@@ -106,12 +106,13 @@ def _bound(value: Column, use) -> Column:
 def adjacent_bow_cosine(lowered_sents: Column) -> Column:
     """Mean bag-of-words cosine of neighbouring sentences, 1.0 below two sentences.
 
-    Sentences become sorted runs of (word, count). The runs of two neighbours are
-    sorted together, where equal words end up side by side, and folded into the
-    dot product. Apart from the sorts the work is linear in the text, and nothing
-    is shuffled.
+    Of a sentence's words, most occur once; those of two neighbours are compared as
+    sets. Only words that occur more often become (word, count), are sorted together
+    with the neighbour's, where equal words end up side by side, and folded into the
+    dot product. Apart from the sorts the work is linear in the text, and nothing is
+    shuffled.
     """
-    bags = F.transform(lowered_sents, lambda s: _word_runs(F.sort_array(tx.words(s))))
+    bags = F.transform(lowered_sents, lambda s: _bag(F.sort_array(tx.words(s))))
 
     def mean_of_pairs(bags: Column) -> Column:
         n = F.greatest(F.size(bags) - 1, F.lit(0))
@@ -121,22 +122,25 @@ def adjacent_bow_cosine(lowered_sents: Column) -> Column:
     return _bound(bags, mean_of_pairs)
 
 
-def _word_runs(sorted_words: Column) -> Column:
-    """``struct<runs: array<struct<w, n>>, norm>`` of a sorted array of words."""
+def _bag(sorted_words: Column) -> Column:
+    """``struct<once: array<w>, more: array<struct<w, n>>, norm>`` of a sorted array of words."""
 
     def runs(words: Column) -> Column:
         new = lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i)
         starts = F.filter(F.transform(words, new), lambda i: i.isNotNull())
         return _bound(starts, lambda at: F.zip_with(
             at, F.slice(F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(words))), F.lit(1), F.size(at)),
-            lambda i, end: F.struct(F.get(words, i).alias("w"), (end - i).cast("double").alias("n")),
+            lambda i, end: F.struct(F.get(words, i).alias("w"), (end - i + 1).cast("double").alias("n")),
         ))
 
-    def with_norm(found: Column) -> Column:
-        norm = F.aggregate(found, F.lit(0.0), lambda acc, e: acc + e["n"] * e["n"])
-        return F.struct(found.alias("runs"), F.sqrt(norm).alias("norm"))
+    def of(words: Column) -> Column:
+        again = F.filter(words, lambda w, i: w == F.get(words, i - 1))  # a word n times is here n - 1 times
+        return _bound(_bound(again, runs), lambda more: _bound(F.array_except(words, more["w"]), lambda once: F.struct(
+            once.alias("once"), more.alias("more"),
+            F.sqrt(F.aggregate(more, F.size(once).cast("double"), lambda acc, e: acc + e["n"] * e["n"])).alias("norm"),
+        )))
 
-    return _bound(_bound(sorted_words, runs), with_norm)
+    return _bound(sorted_words, of)
 
 
 def _bag_cosine(left: Column, right: Column) -> Column:
@@ -146,5 +150,10 @@ def _bag_cosine(left: Column, right: Column) -> Column:
         shared = F.when(acc["w"] == e["w"], acc["n"] * e["n"]).otherwise(F.lit(0.0))
         return F.struct(e["w"].alias("w"), e["n"].alias("n"), (acc["dot"] + shared).alias("dot"))
 
-    merged = F.sort_array(F.concat(left["runs"], right["runs"]))
-    return ratio(F.aggregate(merged, start, step, lambda acc: acc["dot"]), left["norm"] * right["norm"])
+    def ones(once: Column, more: Column) -> Column:
+        return F.transform(F.array_intersect(once, more["w"]), lambda w: F.struct(w.alias("w"), F.lit(1.0).alias("n")))
+
+    merged = F.sort_array(F.concat(
+        left["more"], right["more"], ones(left["once"], right["more"]), ones(right["once"], left["more"])))
+    single = F.size(F.array_intersect(left["once"], right["once"])).cast("double")
+    return ratio(single + F.aggregate(merged, start, step, lambda acc: acc["dot"]), left["norm"] * right["norm"])

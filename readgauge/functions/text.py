@@ -82,9 +82,11 @@ def syllable_count(text: Column) -> Column:
 def any_word_of(words) -> str:
     """A pattern for any of the given lower-case words or phrases as whole words.
 
-    Common beginnings are written once, so a position is dismissed by its first letters.
+    Common beginnings are written once, so a position is dismissed by its first letters, before the letter ahead of it is looked at.
     """
-    return f"{WORD_START}(?:{_by_prefix(set(words))}){WORD_END}"
+    firsts = sorted({w[:1] for w in words})
+    ahead = f"(?=[{''.join(firsts)}])" if firsts and all(c.isalnum() for c in firsts) else ""
+    return f"{ahead}{WORD_START}(?:{_by_prefix(set(words))}){WORD_END}"
 
 
 def _by_prefix(words: set[str]) -> str:

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -136,3 +137,27 @@ def test_cosine(spark):
         ms.cosine(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0))).alias("zero"),
     ).first()
     assert row["a"] == pytest.approx(math.sqrt(0.5)) and row["zero"] == 0
+
+
+def test_whole_words_are_dismissed_by_their_first_letters():
+    assert tx.any_word_of(["for", "to"]).startswith("(?=[ft])")
+    assert not tx.any_word_of(["for", ""]).startswith("(?=") and not tx.any_word_of(["[x"]).startswith("(?=")
+
+
+def test_neighbours_are_compared_as_sets_of_words(spark):
+    rng = random.Random(3)
+    texts = [["".join(rng.choices("abcdefgh", k=rng.randint(1, 2))) for _ in range(rng.randint(0, 30))] for _ in range(80)]
+    texts = [[texts[i], texts[i + 1], texts[i]] for i in range(len(texts) - 1)]
+    rows = [(i, [" ".join(s) for s in t]) for i, t in enumerate(texts)] + [(900, []), (901, ["a a b"]), (902, None), (903, ["", "a a"])]
+    df = spark.createDataFrame(rows, "i int, s array<string>").select("i", ms.adjacent_bow_cosine(F.col("s")).alias("v"))
+    assert "array_intersect" in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["i"]: r["v"] for r in df.collect()}
+
+    def cosine(x, y):
+        x, y = Counter(x), Counter(y)
+        norms = math.sqrt(sum(n * n for n in x.values())) * math.sqrt(sum(n * n for n in y.values()))
+        return sum(n * y[w] for w, n in x.items()) / norms if norms else 0.0
+
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(sum(map(cosine, t, t[1:])) / 2, abs=1e-12)
+    assert [got[i] for i in (900, 901, 902, 903)] == [1.0, 1.0, 1.0, 0.0]
