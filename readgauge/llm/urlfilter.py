@@ -100,7 +100,8 @@ def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleranc
     on with the next. Each host has a way to itself, marked ``own``, on which ``r`` stays; so a step reads the table once, as one join and
     one sum, and plans grow by as much with each step. Rank that reaches a host without edges ends there. The sum of ``walk`` shrinks
     by the damping with each step, which bounds the steps unless there are longer chains of hosts. Every CUT_EVERY
-    steps the table is written, which cuts lineage, and looked at.
+    steps the table is written, which cuts lineage, and looked at. A step's sums lie where its join needs them, and the ways are
+    shuffled once for all steps of a plan; a broadcast would instead stay in the driver's memory, one for each step.
     """
     ways = edges.select(F.lit("t").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("z"), "weight").unionByName(
         edges.select(F.lit("d").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("z"), "weight"))
@@ -119,7 +120,7 @@ def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleranc
     known = rank.count()
     while True:
         for _ in range(CUT_EVERY):
-            moved = rank.join(steps, ["kind", "a"]).where("own or walk > 0").select(
+            moved = rank.join(steps.hint("merge"), ["kind", "a"]).where("own or walk > 0").select(
                 "kind", F.col("z").alias("a"), F.when(F.col("own"), F.col("r")).otherwise(0.0).alias("r"),
                 F.when(F.col("own"), 0.0).otherwise(F.col("walk") * F.col("p") * damping).alias("walk"))
             rank = moved.groupBy("kind", "a").agg((F.sum("r") + F.sum("walk")).alias("r"), F.sum("walk").alias("walk"))

@@ -399,6 +399,23 @@ def test_rank_steps_are_one_join_each(spark, monkeypatch):
     assert plans and all(p.count("Join ") <= urlfilter.CUT_EVERY for p in plans)
 
 
+def test_rank_steps_send_nothing_through_the_driver(spark, monkeypatch):
+    plans, write = [], urlfilter.written
+
+    def noting(df, name):
+        out = write(df, name)
+        if name == "host-rank":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(urlfilter, "written", noting)
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 2.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("z", 0.0, 2.0)], "host string, allowed double, blocked double")
+    urlfilter.ranks(edges, seeds)
+    steps = plans[1:]  # the first holds the seeds
+    assert steps and all("SortMergeJoin" in p and "BroadcastExchange" not in p for p in steps)
+
+
 def test_ranks_are_those_of_the_whole_graph(spark):
     rng = random.Random(5)
     hosts = [f"h{i}" for i in range(30)]
