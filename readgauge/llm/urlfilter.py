@@ -25,6 +25,8 @@ RULES = (
 DAMPING = 0.85
 TOLERANCE = 1e-6
 CUT_EVERY = 4
+JUMP_ROWS = 1_000_000
+JUMP_GROWTH = 4
 THRESHOLD = 1.0
 SUBDOMAIN_WEIGHT = 1.0
 
@@ -93,7 +95,30 @@ def neighbours(host: Column) -> Column:
         a.alias("child"), b.alias("parent"))), lambda p: p["parent"].isNotNull() & p["parent"].contains("."))
 
 
-def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+def jumps(ways: DataFrame, steps: int, parts: int) -> tuple[DataFrame, int]:
+    """``kind, a, z, p, q`` of ``kind, a, z, p``, and how many steps they go at once: 1, 2, 4, up to ``steps``.
+
+    ``p`` is the weight of all walks of just so many steps from a to z, ``q`` that of all walks of so many or fewer. Each doubling joins
+    the ways with themselves, if the rows of that join, which are counted before, are JUMP_ROWS or JUMP_GROWTH for each way at most.
+    """
+    most, length, ways = None, 1, ways.withColumn("q", F.col("p"))
+    while 2 * length <= steps:
+        ends = F.explode(F.array(F.struct(F.col("z").alias("host"), (F.col("p") > 0).cast("bigint").alias("i"), F.lit(0).alias("o")),
+                                 F.struct(F.col("a").alias("host"), F.lit(0).cast("bigint").alias("i"), F.lit(1).alias("o"))))
+        met = ways.select("kind", ends.alias("e")).groupBy("kind", "e.host").agg(F.sum("e.i").alias("i"), F.sum("e.o").alias("o"))
+        most = most or max(JUMP_ROWS, JUMP_GROWTH * ways.count())
+        if (met.agg(F.sum(F.col("i").cast("double") * F.col("o"))).first()[0] or 0) > most:
+            break
+        on = ways.select("kind", F.col("a").alias("m"), "z", F.col("p").alias("p2"), F.col("q").alias("q2"))
+        far = ways.where("p > 0").select("kind", "a", F.col("z").alias("m"), "p").join(on.hint("merge"), ["kind", "m"]).select(
+            "kind", "a", "z", (F.col("p") * F.col("p2")).alias("p"), (F.col("p") * F.col("q2")).alias("q"))
+        both = ways.select("kind", "a", "z", F.lit(0.0).alias("p"), "q").unionByName(far).groupBy("kind", "a", "z").agg(
+            F.sum("p").alias("p"), F.sum("q").alias("q"))
+        ways, length = written(both.coalesce(parts), "host-jumps"), 2 * length
+    return ways, length
+
+
+def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, parts: int = 200) -> DataFrame:
     """``host, trust, distrust`` from ``src, dst, weight`` and ``host, allowed, blocked`` (weights of the seeds).
 
     Both ranks are one table with a ``kind``: ``r``, what has come to a host so far, and ``walk``, what came with the last step and moves
@@ -102,29 +127,33 @@ def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleranc
     by the damping with each step, which bounds the steps unless there are longer chains of hosts. Every CUT_EVERY
     steps the table is written, which cuts lineage, and looked at. A step's sums lie where its join needs them, and the ways are
     shuffled once for all steps of a plan; a broadcast would instead stay in the driver's memory, one for each step.
+
+    Where the ways of several steps are few (``jumps``), one join takes those steps at once. Tables of hosts are written by ``parts``
+    tasks at most: an empty partition of a shuffle costs a task as a full one does, and there are hundreds of shuffles.
     """
     ways = edges.select(F.lit("t").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("z"), "weight").unionByName(
         edges.select(F.lit("d").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("z"), "weight"))
     totals = ways.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
-    ways = written(ways.join(totals, ["kind", "a"]).select("kind", "a", "z", (F.col("weight") / F.col("total")).alias("p")),
-                   "host-edges")
+    ways = written(ways.join(totals, ["kind", "a"]).select(
+        "kind", "a", "z", (F.col("weight") / F.col("total") * damping).alias("p")).coalesce(parts), "host-edges")
     hosts = ways.select("kind", F.explode(F.array("a", "z")).alias("a")).unionByName(
         seeds.select(F.explode(F.array(F.lit("t"), F.lit("d"))).alias("kind"), F.col("host").alias("a"))).distinct()
-    own = hosts.select("kind", "a", F.col("a").alias("z"), F.lit(0.0).alias("p"), F.lit(True).alias("own"))
-    steps = written(ways.withColumn("own", F.lit(False)).unionByName(own), "host-steps")
+    own = hosts.select("kind", "a", F.col("a").alias("z"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"), F.lit(True).alias("own"))
+    ways, length = jumps(ways, CUT_EVERY, parts)
+    steps = written(ways.withColumn("own", F.lit(False)).unionByName(own).coalesce(parts), "host-steps")
     start = seeds.select(F.lit("t").alias("kind"), F.col("host").alias("a"), F.col("allowed").alias("w")).unionByName(
         seeds.select(F.lit("d").alias("kind"), F.col("host").alias("a"), F.col("blocked").alias("w"))).where("w > 0")
     sums = start.groupBy("kind").agg(F.sum("w").alias("all"))
     first = F.col("w") / F.col("all") * (1 - damping)
-    rank = written(start.join(sums, "kind").select("kind", "a", first.alias("r"), first.alias("walk")), "host-rank")
+    rank = written(start.join(sums, "kind").select("kind", "a", first.alias("r"), first.alias("walk")).coalesce(parts), "host-rank")
     known = rank.count()
     while True:
-        for _ in range(CUT_EVERY):
+        for _ in range(CUT_EVERY // length):
             moved = rank.join(steps.hint("merge"), ["kind", "a"]).where("own or walk > 0").select(
-                "kind", F.col("z").alias("a"), F.when(F.col("own"), F.col("r")).otherwise(0.0).alias("r"),
-                F.when(F.col("own"), 0.0).otherwise(F.col("walk") * F.col("p") * damping).alias("walk"))
-            rank = moved.groupBy("kind", "a").agg((F.sum("r") + F.sum("walk")).alias("r"), F.sum("walk").alias("walk"))
-        rank = written(rank, "host-rank")
+                "kind", F.col("z").alias("a"), F.when(F.col("own"), F.col("r")).otherwise(F.col("walk") * F.col("q")).alias("r"),
+                F.when(F.col("own"), 0.0).otherwise(F.col("walk") * F.col("p")).alias("walk"))
+            rank = moved.groupBy("kind", "a").agg(F.sum("r").alias("r"), F.sum("walk").alias("walk"))
+        rank = written(rank.coalesce(parts), "host-rank")
         moving, met = rank.agg(F.coalesce(F.sum("walk"), F.lit(0.0)), F.count(F.lit(1))).first()
         if moving < tolerance and met == known:
             break
@@ -142,7 +171,9 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, tolerance
     seeds = named.where("rule is not null").groupBy("host").agg(
         F.sum((F.col("rule_verdict") == "allow").cast("double")).alias("allowed"),
         F.sum((F.col("rule_verdict") == "block").cast("double")).alias("blocked"))
-    rank = ranks(host_edges(split.select("host", "html")), seeds, tolerance=tolerance)
+    parts = max(1, pages.rdd.getNumPartitions())
+    edges = written(host_edges(split.select("host", "html")).coalesce(parts), "host-links")  # read for both directions
+    rank = ranks(edges, seeds, tolerance=tolerance, parts=parts)
     out = named.join(rank, "host", "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     graph = F.when(distrust > trust * threshold, "block").otherwise("allow")

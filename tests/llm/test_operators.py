@@ -434,6 +434,35 @@ def test_ranks_are_those_of_the_whole_graph(spark):
         assert (distrust[h] > 1e-12) == bool(row and row["distrust"] > 0)
 
 
+@pytest.mark.parametrize("rows, growth, joins", [(10**6, 4, 1), (0, 8, 2), (0, 0, 4)])
+def test_several_steps_are_one_join(spark, monkeypatch, rows, growth, joins):
+    monkeypatch.setattr(urlfilter, "JUMP_ROWS", rows)
+    monkeypatch.setattr(urlfilter, "JUMP_GROWTH", growth)
+    plans, files, write = [], [], urlfilter.written
+
+    def noting(df, name):
+        out = write(df, name)
+        if name == "host-rank":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(urlfilter, "written", noting)
+    hosts = [f"h{i}" for i in range(12)]  # ten ways to and from each of h0 and h1; h11 has none
+    edges = [(h, x, 1.0 + i) for i, h in enumerate(hosts[2:11]) for x in hosts[:2]]
+    edges += [(x, h, 2.0) for h in hosts[2:10] for x in hosts[:2]] + [("h10", "c0", 1.0)] + [(f"c{i}", f"c{i + 1}", 1.0) for i in range(11)]
+    seeds = [("h2", 2.0, 0.0), ("h3", 1.0, 1.0), ("c9", 0.0, 3.0), ("h11", 1.0, 0.0)]
+    got = {r["host"]: r for r in urlfilter.ranks(
+        spark.createDataFrame(edges, "src string, dst string, weight double").repartition(3),
+        spark.createDataFrame(seeds, "host string, allowed double, blocked double"), parts=2).collect()}
+    trust = ranks_by_hand(edges + [("h11", "none", 0.0)], {"h2": 2.0, "h3": 1.0, "h11": 1.0})
+    distrust = ranks_by_hand([(z, a, w) for a, z, w in edges], {"h3": 1.0, "c9": 3.0})
+    for h in got:
+        assert got[h]["trust"] == pytest.approx(trust.get(h, 0), abs=1e-5) and got[h]["distrust"] == pytest.approx(distrust.get(h, 0), abs=1e-5)
+    assert {h for h in distrust if distrust[h] > 1e-12} <= set(got) and "h11" in got
+    assert all(p.count("Join ") == joins for p in plans[1:]) and max(files) <= 2
+
+
 def test_a_long_chain_to_a_blocked_host_is_blocked(spark):
     pages = [(0, "http://c0.net/", '<a href="http://bad.com/de/">')]
     pages += [(i, f"http://c{i}.net/", f'<a href="http://c{i - 1}.net/">') for i in range(1, 21)]
