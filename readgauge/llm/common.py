@@ -95,8 +95,8 @@ def lower_ascii(column) -> F.Column:
     return F.translate(column, upper, upper.lower())
 
 
-def bucketed(df: DataFrame, name: str, least: int) -> DataFrame:
-    """Written once, bucketed by ``pid``: joins on it and more columns don't shuffle this side.
+def bucketed(df: DataFrame, name: str, least: int, by: str = "pid") -> DataFrame:
+    """Written once, bucketed by ``pid`` or another column: joins on it and more columns don't shuffle this side.
 
     ``pid`` is the writing task's number, so each task writes one file. Joins keep the buckets only with the setting below,
     which stays on for the session, and with as many buckets as there are shuffle partitions.
@@ -106,5 +106,5 @@ def bucketed(df: DataFrame, name: str, least: int) -> DataFrame:
     spark, table_name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     path = scratch_path(spark, name)
     _note(spark, path, table_name)
-    df.write.options(**PARQUET).bucketBy(buckets, "pid").option("path", path).saveAsTable(table_name)
+    df.write.options(**PARQUET).bucketBy(buckets, by).option("path", path).saveAsTable(table_name)
     return spark.table(table_name)

@@ -8,7 +8,7 @@ Candidates. Under any total order of all shingles, two sets that are similar eno
 last, by a count sketch of the whole corpus whose size is fixed (2 ** SKETCH_BITS cells), and shuffle equals by hashes of their own.
 Any one table of classes gives an order, so the sketch may be rough: a task sends about SENT of its cells, the others' counts
 being borne by those chosen. The first order's prefix is an inverted index; what it finds must pass the length filter and the positional filter, and must
-share a prefix shingle under every other order as well, before two whole sets are compared.
+share enough of its prefix under every other order (``may_link``), before two whole sets are compared.
 
 Work. Equal sets are one node. In each star round a shingle's list is compared with one member of it only, the one with
 the shingle at its earliest place, which is a copy's original as a rule; components are then known in large part. The last
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -219,8 +219,23 @@ def nodes_of(docs: DataFrame, n: int, percent: int, rank) -> DataFrame:
     return packed.mapInArrow(thrifty(run), f"{NODE}, doc {packed.schema['doc'].dataType.simpleString()}")
 
 
-def lists_of(nodes: DataFrame) -> DataFrame:
-    """Inverted index of the first order's prefixes: ``token, key, pid, size, place``, a set once per list."""
+def set_id() -> Column:
+    """A row of the nodes as one number; a set is known by that of its first row."""
+    return F.shiftleft(F.col("pid").cast("bigint"), 32) + F.col("row")
+
+
+def pid_of(key: str) -> Column:
+    return F.shiftright(key, 32).cast("int")
+
+
+def sets_of(nodes: DataFrame) -> DataFrame:
+    """``key, id, n_shingles, low``: a row per set, with the smallest doc_id. The row named by ``id`` has the prefixes."""
+    return nodes.where("key is not null").groupBy("key").agg(
+        F.min(set_id()).alias("id"), F.min("n_shingles").alias("n_shingles"), F.min("doc_id").alias("low"))
+
+
+def tokens_of(nodes: DataFrame, some: DataFrame) -> DataFrame:
+    """``token, key, size, place, root`` of the first order's prefixes of the sets ``key, root``; the table of nodes is not moved."""
     def run(batches):
         for whole in batches:
             for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
@@ -229,33 +244,50 @@ def lists_of(nodes: DataFrame) -> DataFrame:
                 rows = pa.array(np.repeat(np.arange(len(parts)), lengths))
                 place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(parts)), *(batch.column(i).take(rows) for i in (0, 1, 2)),
-                     pa.array(place.astype(np.int32))], ["token", "key", "pid", "size", "place"])
+                    [pa.array(np.concatenate(parts)), *(batch.column(i).take(rows) for i in (0, 1)),
+                     pa.array(place.astype(np.int32)), batch.column(2).take(rows)], ["token", "key", "size", "place", "root"])
 
-    slim = nodes.where("first is not null").select("key", "pid", F.col("n_shingles").cast("int").alias("size"), "first")
-    lists = slim.mapInArrow(thrifty(run), "token bigint, key binary, pid int, size int, place int").repartition("token")
+    slim = nodes.where("first is not null").select("pid", set_id().alias("key"), F.col("n_shingles").cast("int").alias("size"), "first")
+    slim = slim.join(some.select("key", "root", pid_of("key").alias("pid")), ["pid", "key"]).select("key", "size", "root", "first")
+    return slim.mapInArrow(thrifty(run), "token bigint, key bigint, size int, place int, root bigint")
+
+
+def lists_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Inverted index of the first order's prefixes: ``token, key, size, place``, a set once per list."""
+    lists = tokens_of(nodes, sets.select(F.col("id").alias("key"), F.col("id").alias("root"))).drop("root").repartition("token")
     shared = Window.partitionBy("token")
-    once = lists.groupBy("token", "key").agg(F.min(F.struct("pid", "size", "place")).alias("x")).select("token", "key", "x.*")
-    return once.withColumn("members", F.count(F.lit(1)).over(shared)).where("members > 1").drop("members")
+    return lists.withColumn("members", F.count(F.lit(1)).over(shared)).where("members > 1").drop("members")
 
 
 def with_columns_of(pairs: DataFrame, nodes: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Adds ``names`` of both members (suffixed _a and _b); the table of nodes is not moved, only pairs are."""
     for letter in "ab":
         side = nodes.where("first is not null").select(
-            F.col("pid").alias(f"pid_{letter}"), F.col("key").alias(letter), *(F.col(c).alias(f"{c}_{letter}") for c in names))
-        pairs = pairs.join(side, [f"pid_{letter}", letter])
+            F.col("pid").alias(f"pid_{letter}"), set_id().alias(letter), *(F.col(c).alias(f"{c}_{letter}") for c in names))
+        pairs = pairs.withColumn(f"pid_{letter}", pid_of(letter)).join(side, [f"pid_{letter}", letter])
     return pairs
 
 
+def may_link(near_a: list[int], near_b: list[int], size_a: int, size_b: int, percent: int) -> bool:
+    """Whether two sets can be similar enough by their prefixes under one order, whose shingles may be cut to some bits.
+
+    What one prefix holds and the other does not is in one of the two sets only: the prefix that ends earlier in the order
+    lies wholly where the other set is known. Which it is need not be known, as both must hold too much for a refusal.
+    """
+    shared = min(sum(map(set(y).__contains__, x)) for x, y in ((near_a, near_b), (near_b, near_a)))  # cut shingles can clash: as many at most
+    need = -(-percent * (size_a + size_b) // (100 + percent))
+    return shared > 0 and (len(near_a) - shared <= size_a - need or len(near_b) - shared <= size_b - need)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` that link: the prefixes of the other orders must meet (by 16 bits of a shingle), then whole sets."""
     def meet(batches):
         for batch in batches:
-            names = batch.schema.names
-            both = zip(batch.column(names.index("near_a")).to_pylist(), batch.column(names.index("near_b")).to_pylist())
-            keep = [len(np.intersect1d(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2"))) > 0 for x, y in both]
-            yield batch.select(["a", "pid_a", "b", "pid_b"]).filter(pa.array(keep, pa.bool_()))
+            near_a, near_b, size_a, size_b = (
+                batch.column(batch.schema.names.index(c)).to_pylist() for c in ("near_a", "near_b", "size_a", "size_b"))
+            keep = [may_link(np.frombuffer(x, "<u2").tolist(), np.frombuffer(y, "<u2").tolist(), i, j, percent)
+                    for x, y, i, j in zip(near_a, near_b, size_a, size_b)]
+            yield batch.select(["a", "b", "size_a", "size_b"]).filter(pa.array(keep, pa.bool_()))
 
     def compare(batches):
         for batch in batches:
@@ -270,9 +302,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFr
     near = pairs
     for order in range(ORDERS - 1):  # one order after the other, as few pairs outlive the first
         one = nodes.withColumn("near", F.get("others", F.lit(order)))
-        near = with_columns_of(near, one, ("near",)).mapInArrow(thrifty(meet), "a binary, pid_a int, b binary, pid_b int")
+        near = with_columns_of(near, one, ("near",)).mapInArrow(thrifty(meet), "a bigint, b bigint, size_a int, size_b int")
     nodes = nodes.withColumn("text", F.col("doc.text"))
-    return with_columns_of(near, nodes, ("text",)).mapInArrow(thrifty(compare), "a binary, b binary")
+    return with_columns_of(near.select("a", "b"), nodes, ("text",)).mapInArrow(thrifty(compare), "a bigint, b bigint")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -318,18 +350,18 @@ def linked_counts(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray, per
     return counts
 
 
-def link_counts(roots: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+def link_counts(roots: DataFrame, sets: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """``key, n_links``: the links of every set that has any, to sets different from it; all pairs of a component are compared.
 
     A component of two sets is the link that made it.
     """
-    holders = nodes.where("first is not null").groupBy("key").agg(F.min(F.struct("pid", "n_shingles")).alias("x"))
-    members = written(roots.join(holders, "key").select("key", "root", "x.*"), "members")
+    members = written(roots.join(sets.select(F.col("id").alias("key"), "n_shingles"), "key").select("key", "root", "n_shingles"), "members")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("n_shingles").alias("s")).where("k > 2")
     blocks = F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     dealt = members.join(sizes.select("root", blocks.alias("blocks")), "root").select(
-        "key", "pid", "root", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
-    texts = nodes.where("first is not null").select("pid", "key", F.col("doc.text").alias("text")).join(dealt, ["pid", "key"])
+        "key", pid_of("key").alias("pid"), "root", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
+    texts = nodes.where("first is not null").select("pid", set_id().alias("key"), F.col("doc.text").alias("text")).join(
+        dealt, ["pid", "key"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     met = texts.select("key", "text", "root", "block", other).select(
         "key", "text", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
@@ -341,7 +373,7 @@ def link_counts(roots: DataFrame, nodes: DataFrame, n: int, percent: int) -> Dat
             keys, texts, block = (sum((x[i] for x in held), []) for i in range(3))
             block = np.array(block)
             found = linked_counts(shingle_sets(texts, n), block == name[1], block == name[2], percent)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.int64())], ["key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.int64())], ["key", "n"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -358,7 +390,7 @@ def link_counts(roots: DataFrame, nodes: DataFrame, n: int, percent: int) -> Dat
             yield counted()
 
     group = ["root", "low", "high"]
-    larger = met.repartition(*group).sortWithinPartitions(*group).mapInArrow(thrifty(compare), "key binary, n bigint")
+    larger = met.repartition(*group).sortWithinPartitions(*group).mapInArrow(thrifty(compare), "key bigint, n bigint")
     twos = members.join(sizes.select("root"), "root", "left_anti").select("key", F.lit(1).cast("bigint").alias("n"))
     return larger.unionByName(twos).groupBy("key").agg(F.sum("n").alias("n_links"))
 
@@ -372,7 +404,8 @@ def grouped(docs: DataFrame, n: int, percent: int, count: bool = True) -> tuple[
     rank = spark.sparkContext.broadcast(classes(sketch(docs, n)))  # 2 ** SKETCH_BITS bytes
     nodes = bucketed(nodes_of(docs, n, percent, rank), "nodes", max(1, docs.rdd.getNumPartitions()))
     rows = nodes.select("pid", "row", "doc_id", "key", "n_shingles")
-    lists = written(lists_of(nodes), "lists")
+    sets = written(sets_of(nodes), "sets")
+    lists = bucketed(lists_of(nodes, sets), "lists", 1, "token")  # not moved again until its open lists are
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Length and positional filter; the larger place bounds what can still be shared."""
@@ -380,30 +413,31 @@ def grouped(docs: DataFrame, n: int, percent: int, count: bool = True) -> tuple[
         need = F.ceil((F.col("size_a") + F.col("size_b")) * percent / (100.0 + percent) - 1e-9)
         left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
         return pairs.where((small * 100 >= large * percent) & (left >= need)).select(
-            "a", "pid_a", "b", "pid_b").dropDuplicates(["a", "b"])
+            "a", "b", "size_a", "size_b").dropDuplicates(["a", "b"])
 
     def side(df, letter):
-        return df.select("token", F.col("key").alias(letter), *(F.col(c).alias(f"{c}_{letter}") for c in ("pid", "size", "place", "root")))
+        return df.select("token", F.col("key").alias(letter), *(F.col(c).alias(f"{c}_{letter}") for c in ("size", "place", "root")))
 
     roots, done, links = None, None, None
     for star in range(STAR_ROUNDS + 1):
         state = lists
         if roots is not None:
-            state = lists.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-            open_lists = state.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-            state = state.join(open_lists.select("token"), "token", "left_semi")
+            linked = tokens_of(nodes, roots).select("token", "key", "root")
+            state = lists.join(linked, ["token", "key"], "left").withColumn("root", F.coalesce("root", "key"))
+            ends = (f("root").over(Window.partitionBy("token")) for f in (F.min, F.max))
+            state = state.withColumns(dict(zip(("low", "high"), ends))).where("low != high").drop("low", "high")
         else:
             state = state.withColumn("root", F.col("key"))
         if star < STAR_ROUNDS:
             # the centre: the earliest place; in later rounds, that of another component
             order = F.struct("place", "size", "key") if star == 0 else F.struct(F.xxhash64("root", F.lit(star)), "place", "key")
-            centre = F.min(F.struct(order.alias("o"), "key", "pid", "size", "place", "root")).over(Window.partitionBy("token"))
+            centre = F.min(F.struct(order.alias("o"), "key", "size", "place", "root")).over(Window.partitionBy("token"))
             pairs = state.withColumn("c", centre).where("c.root != root")
-            x, y = (F.struct("key", "pid", "size", "place"), F.struct("c.key", "c.pid", "c.size", "c.place"))
+            x, y = (F.struct("key", "size", "place"), F.struct("c.key", "c.size", "c.place"))
             pairs = pairs.select(F.when(F.col("key") < F.col("c.key"), x).otherwise(y).alias("x"),
                                  F.when(F.col("key") < F.col("c.key"), y).otherwise(x).alias("y"))
             pairs = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), *(
-                F.col(f"{s}.{c}").alias(f"{c}_{t}") for s, t in (("x", "a"), ("y", "b")) for c in ("pid", "size", "place")))
+                F.col(f"{s}.{c}").alias(f"{c}_{t}") for s, t in (("x", "a"), ("y", "b")) for c in ("size", "place")))
         else:
             state = written(state, "open")
             pairs = side(state, "a").join(side(state, "b"), "token").where("root_a != root_b and a < b")
@@ -413,13 +447,12 @@ def grouped(docs: DataFrame, n: int, percent: int, count: bool = True) -> tuple[
         done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
         links = found if links is None else links.unionByName(found)
         roots = components(links, "component")
-    lowest = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"))
-    named = lowest.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = sets.join(roots.withColumnRenamed("key", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    names = named.join(least, "root").select("key", "component_id")
+    names = named.join(least, "root").select("key", "id", "component_id")
     found = ["pid", "row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")]
     if count:
-        names = names.join(link_counts(roots, nodes, n, percent), "key", "left")
+        names = names.join(link_counts(roots, sets, nodes, n, percent).withColumnRenamed("key", "id"), "id", "left")
         found.append(F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     return nodes, rows.join(names, "key", "left").select(*found)
 

@@ -90,6 +90,42 @@ def test_links_within_a_component_are_counted(docs, rows, monkeypatch, sets, shi
     assert got == want and max(want.values()) > 10
 
 
+def test_prefixes_refuse_no_link_and_most_others():
+    rng = np.random.default_rng(8)
+    rank = rng.integers(0, 3, 1 << shingles.SKETCH_BITS).astype(np.uint8)
+    links, refused = 0, 0
+    for _ in range(400):
+        a = rng.integers(0, 1 << 63, rng.integers(1, 300), dtype=np.uint64)
+        same = int(len(a) * rng.choice([0.3, 0.5, 0.9, 0.97, 1.0]))
+        more = len(a) - same + (rng.random() < 0.3) * rng.integers(0, 5)
+        b = np.concatenate([a[:same], rng.integers(0, 1 << 63, more, dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        shared = len(np.intersect1d(a, b))
+        near = [(shingles.prefix(x, rank, 1, 85) >> np.uint64(48)).astype("<u2").tolist() for x in (a, b)]
+        kept = shingles.may_link(*near, len(a), len(b), 85)
+        if 100 * shared >= 85 * (len(a) + len(b) - shared):
+            links += 1
+            assert kept
+        elif 100 * shared < 60 * (len(a) + len(b) - shared):
+            refused += not kept
+    assert links > 50 and refused > 100  # one common shingle in the prefixes, as before, refuses few of these
+
+
+def test_lists_are_not_moved_to_learn_their_roots(docs, monkeypatch):
+    plans, write = {}, shingles.written
+
+    def noting(df, name):
+        out = write(df, name)
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(shingles, "written", noting)
+    shingles.near_duplicates(docs, 4, 60).count()
+    assert "Bucketed: true" in plans["open"] and "key#" in plans["open"]
+    moved = [line for line in plans["open"].split("Initial Plan")[0].splitlines() if " Exchange hashpartitioning(key" in line]
+    assert not moved
+
+
 def test_one_per_group_keeps_columns_and_repeats_once(docs, rows):
     kept = shingles.one_per_group(docs.unionByName(docs.where("doc_id < 30")))
     assert kept.columns == docs.columns
