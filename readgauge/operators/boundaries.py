@@ -16,8 +16,9 @@ and the next token begins with a lower-case letter and the token before is a num
 collocation; or if the token before is an initial or abbreviation and the next token is no sentence starter. Parts
 joined again have one blank between them.
 
-The three lists are bounded: ``LISTED`` entries each, those of the highest score. They become literals of the column that
-``split`` gives, so texts are split in their rows, without a shuffle. A corpus without tokens gives empty lists.
+All entries of the three lists count. A list of at most ``LISTED`` entries becomes literals of the column that ``split`` gives, so texts are
+split in their rows, without a shuffle; a longer one stays a table, never on the driver, and ``split_rows`` looks the cuts up by
+joins. Both give the same sentences. A corpus without tokens gives empty lists.
 """
 
 from __future__ import annotations
@@ -101,30 +102,45 @@ def abbreviation_scores(counted: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Boundaries:
-    """The fitted lists, best first."""
+    """The fitted lists, best first; those too long for literals are tables: ``type`` or ``previous, type``."""
 
-    abbreviations: tuple[str, ...]
-    collocations: tuple[tuple[str, str], ...]
-    starters: tuple[str, ...]
+    abbreviations: tuple[str, ...] | DataFrame
+    collocations: tuple[tuple[str, str], ...] | DataFrame
+    starters: tuple[str, ...] | DataFrame
 
     @classmethod
     def fit(cls, df: DataFrame, text: str, listed: int = LISTED, tables: tuple[DataFrame, DataFrame] | None = None) -> Boundaries:
-        """Two passes over the texts: types, then what follows full stops; ``tables``: as from ``statistics``, if made before."""
-        def best(scores: DataFrame, least: float, *names: str) -> list:
-            return scores.filter(F.col("score") >= least).orderBy(F.desc("score"), *names).select(*names).limit(listed).collect()
+        """Two passes over the texts: types, then what follows full stops; ``tables``: as from ``statistics``, if made before.
+
+        ``listed`` decides how a list is kept, not what is in it.
+        """
+        def best(scores: DataFrame, least: float, *names: str) -> tuple | DataFrame:
+            found = scores.filter(F.col("score") >= least)
+            rows = found.orderBy(F.desc("score"), *names).select(*names).limit(listed + 1).collect()
+            if len(rows) > listed:
+                return _written(found.select(*names), "listed")
+            return tuple(tuple(r) if len(names) > 1 else r[0] for r in rows)
 
         counted, rows = tables or statistics(df, text)
-        abbreviations = [r["type"] for r in best(abbreviation_scores(counted), ABBREVIATION, "type")]
+        abbreviations = best(abbreviation_scores(counted), ABBREVIATION, "type")
         after = _written(follow_counts(rows, abbreviations), "after")
-        starters = [r["type"] for r in best(starter_scores(after, counted), STARTER, "type")]
+        starters = best(starter_scores(after, counted), STARTER, "type")
         scores = collocation_scores(after, counted)
-        scores = scores.filter(~F.col("type").isin(*starters)) if starters else scores
-        pairs = [(r["previous"], r["type"]) for r in best(scores, COLLOCATION, "previous", "type")]
-        return cls(tuple(abbreviations), tuple(pairs), tuple(starters))
+        if isinstance(starters, DataFrame):
+            scores = scores.join(starters, "type", "left_anti")
+        elif starters:
+            scores = scores.filter(~F.col("type").isin(*starters))
+        return cls(abbreviations, best(scores, COLLOCATION, "previous", "type"), starters)
+
+    @property
+    def in_literals(self) -> bool:
+        return not any(isinstance(x, DataFrame) for x in (self.abbreviations, self.collocations, self.starters))
 
     def split(self, text: Column) -> Column:
-        """The sentences of a text as an array."""
-        parts = tx.sentences(F.translate(text, CUT, " "))
+        """The sentences of a text as an array. Lists that are tables cannot be looked up in a column: ``split_rows`` joins them."""
+        if not self.in_literals:
+            raise ValueError("lists kept as tables: split with split_rows")
+        parts = _parts(text)
 
         def joined(parts: Column) -> Column:
             def with_cut(part: Column, i: Column) -> Column:
@@ -143,19 +159,35 @@ class Boundaries:
             return F.when(before == NUMBER, F.lit(1)).when(short, F.lit(2)).otherwise(F.lit(0))
 
         def joins(at: Column) -> Column:
-            before, kind, after = at["before"], at["kind"], F.regexp_extract(following, rf"^[^{tx.BLANKS}]+", 0)
+            before, kind, after = at["before"], at["kind"], _first_token(following)
             next_type = type_of(after)
-            lower = after.rlike(r"^[^\p{L}\p{N}]*\p{Ll}")
+            lower = _small_letter(after)
             together = F.concat(before, F.lit(" "), next_type).isin(*[f"{a} {b}" for a, b in self.collocations]) if self.collocations else F.lit(False)
             starts = next_type.isin(*self.starters) if self.starters else F.lit(False)
             return (kind > 0) & (lower | together | ((kind == 2) & ~starts))
 
-        token = F.regexp_extract(part, rf"(?<![^{tx.BLANKS}])[^{tx.BLANKS}]++$", 0)
-        kinds = F.transform(F.array(type_of(token)), lambda t: F.struct(t.alias("before"), known(t).alias("kind")))
+        kinds = F.transform(F.array(type_of(_last_token(part))), lambda t: F.struct(t.alias("before"), known(t).alias("kind")))
         # a full stop and what $ passes over after it are the last three characters at most
         return has_stop(F.substring(part, -3, 3)) & F.get(F.transform(kinds, joins), F.lit(0))
 
 
+def _parts(text: Column) -> Column:
+    """A text cut after every run of ``.!?`` that blanks follow."""
+    return tx.sentences(F.translate(text, CUT, " "))
+
+
+def _last_token(part: Column) -> Column:
+    return F.regexp_extract(part, rf"(?<![^{tx.BLANKS}])[^{tx.BLANKS}]++$", 0)
+
+
+def _first_token(part: Column) -> Column:
+    return F.regexp_extract(part, rf"^[^{tx.BLANKS}]+", 0)
+
+
+def _small_letter(token: Column) -> Column:
+    return token.rlike(r"^[^\p{L}\p{N}]*\p{Ll}")
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -180,12 +212,23 @@ def follow_counts(rows: DataFrame, abbreviations) -> DataFrame:
     """
     previous = F.col("previous")
     short = previous.rlike(INITIAL) | (previous == NUMBER)
-    short = short | previous.isin(*abbreviations) if abbreviations else short
     after = rows.filter((F.col("type") != "") & (F.col("type") != NUMBER) & (previous != ""))
+    after, listed = _looked_up(after, abbreviations, "previous")
+    short = short | listed
     after = after.withColumn("_short", short).filter(~F.col("_short") | F.col("previous_stop"))
     return after.groupBy(F.when(F.col("_short"), previous).alias("previous"), "type").agg(F.sum("n").alias("n_both"))
 
 
+def _looked_up(df: DataFrame, listed: tuple | DataFrame, *names: str) -> tuple[DataFrame, Column]:
+    """``df`` and whether what stands under ``names`` is in a list: a condition on literals, or a joined column where the list is a table."""
+    if isinstance(listed, DataFrame):
+        found = f"_listed_{len(df.columns)}"
+        return df.join(listed.toDF(*names).withColumn(found, F.lit(True)), [*names], "left"), F.col(found).isNotNull()
+    if not listed:
+        return df, F.lit(False)
+    return df, (F.col(names[0]) if len(names) == 1 else F.concat_ws(" ", *names)).isin(*[x if len(names) == 1 else " ".join(x) for x in listed])
+
+
 def _with_totals(found: DataFrame, counted: DataFrame) -> DataFrame:
     total = counted.agg(F.coalesce(F.sum(F.col("n_stop") + F.col("n_plain")), F.lit(0))).first()[0]
     each = counted.select("type", (F.col("n_stop") + F.col("n_plain")).alias("n_type"))
@@ -212,4 +255,33 @@ def starter_scores(after: DataFrame, counted: DataFrame) -> DataFrame:
 
 def split_rows(df: DataFrame, text: str, *keep: str, model: Boundaries) -> DataFrame:
     """The kept columns and one row per sentence: ``pos`` from 0 and ``sentence``."""
-    return df.select(*keep, F.posexplode(model.split(F.col(text))).alias("pos", "sentence"))
+    if model.in_literals:
+        return df.select(*keep, F.posexplode(model.split(F.col(text))).alias("pos", "sentence"))
+    named = df.select(*[F.col(k).alias(f"_keep{i}") for i, k in enumerate(keep)], _parts(F.col(text)).alias("_parts"))
+    # written, so that the numbers of the rows stay what they are
+    rows = _written(named.withColumn("_row", F.monotonically_increasing_id()), "parts")
+    parts, n = F.col("_parts"), F.size("_parts")
+    joined = _joined_cuts(rows, model).groupBy("_row").agg(F.collect_list("_i").alias("_joined"))
+    rows = rows.filter(n > 0).join(joined, "_row", "left")
+    last = n - 1
+    between = F.when(n > 1, F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    ends = F.array_except(between, F.coalesce("_joined", F.array().cast("array<int>")))
+    begins = F.concat(F.array(F.lit(0)), F.transform(ends, lambda e: e + 1))
+    sentences = F.zip_with(begins, F.concat(ends, F.array(last)), lambda a, b: F.array_join(F.slice(parts, a + 1, b - a + 1), " "))
+    return rows.select(*[F.col(f"_keep{i}").alias(k) for i, k in enumerate(keep)], F.posexplode(sentences).alias("pos", "sentence"))
+
+
+def _joined_cuts(rows: DataFrame, model: Boundaries) -> DataFrame:
+    """``_row, _i``: the parts of ``rows(_row, _parts)`` whose sentence goes on in the next part. Only ends with a full stop move, as their types."""
+    parts, n = F.col("_parts"), F.greatest(F.size("_parts") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(parts, F.lit(1), n), F.slice(parts, F.lit(2), n), lambda a, b: F.struct(
+        F.substring(a, -3, 3).alias("end"), _last_token(a).alias("token"), _first_token(b).alias("after")))
+    cuts = rows.select("_row", F.posexplode(pairs).alias("_i", "_x")).filter(has_stop(F.col("_x.end")))
+    cuts = cuts.select("_row", "_i", type_of(F.col("_x.token")).alias("before"), type_of(F.col("_x.after")).alias("next"),
+                       _small_letter(F.col("_x.after")).alias("lower"))
+    cuts, short = _looked_up(cuts, model.abbreviations, "before")
+    kind = F.when(F.col("before") == NUMBER, F.lit(1)).when(short | F.col("before").rlike(INITIAL), F.lit(2)).otherwise(F.lit(0))
+    cuts = cuts.select("_row", "_i", "before", "next", "lower", kind.alias("kind")).filter("kind > 0")
+    cuts, together = _looked_up(cuts, model.collocations, "before", "next")
+    cuts, starts = _looked_up(cuts, model.starters, "next")
+    return cuts.filter(F.col("lower") | together | ((F.col("kind") == 2) & ~starts)).select("_row", "_i")

@@ -403,7 +403,9 @@ def token_type(t):
 
 
 STOPS = r"regexp_matches({}, '[\p{{L}}\p{{N}}]\.$')"
-TOKENS = rf"""tl AS (SELECT regexp_extract_all(text, '[^ \n\t\r]+') AS t FROM documents),
+def tokens(listed=""):
+    """The types and the abbreviations among them; ``listed``: which of these."""
+    return rf"""tl AS (SELECT regexp_extract_all(text, '[^ \n\t\r]+') AS t FROM documents),
   tk AS (SELECT unnest(t) AS token, unnest(list_concat([''], t[:-2])) AS before FROM tl WHERE len(t) > 0),
   ty AS (SELECT {token_type('token')} AS type, {STOPS.format('token')} AS stop, {token_type('before')} AS previous,
     {STOPS.format('before')} AS previous_stop, before = '' OR regexp_matches(before, '[.!?]$') AS after_end FROM tk),
@@ -414,7 +416,7 @@ TOKENS = rf"""tl AS (SELECT regexp_extract_all(text, '[^ \n\t\r]+') AS t FROM do
       * exp(-(length(type) - dots)::DOUBLE) * (dots + 1) * pow((length(type) - dots)::DOUBLE, -n_plain::DOUBLE) AS score
     FROM (SELECT *, length(type) - length(replace(type, '.', '')) AS dots FROM tc), tt
     WHERE n_stop > 0 AND regexp_matches(type, '\p{{L}}')),
-  tb AS (FROM ta WHERE score >= 0.3 ORDER BY score DESC, type LIMIT 5000),
+  tb AS (FROM ta WHERE score >= 0.3{listed}),
   tf AS (SELECT CASE WHEN short THEN previous END AS previous, type, count(*)::DOUBLE AS n_both FROM (
       SELECT *, previous = '#' OR regexp_matches(previous, '^\p{{L}}$') OR previous IN (SELECT type FROM tb) AS short FROM ty)
     WHERE type NOT IN ('', '#') AND previous <> '' AND CASE WHEN short THEN previous_stop ELSE after_end END GROUP BY ALL)"""
@@ -430,13 +432,13 @@ def ratio_score(both, a, b, n):
 
 STARTERS = f"""ts AS (SELECT f.type, f.n_both::BIGINT AS n_both, {ratio_score('f.n_both', 'e.n', '(c.n_stop + c.n_plain)::DOUBLE', 'tt.tokens')} AS score
     FROM tf f JOIN tc c USING (type), (SELECT sum(n_both) AS n FROM tf WHERE previous IS NULL) e, tt WHERE f.previous IS NULL)"""
-ORACLES["abbreviations"] = f"WITH {TOKENS} SELECT type, n_stop, n_plain, round(score, 6) AS score FROM ta WHERE score >= 0.3"
-ORACLES["sentence_starters"] = f"WITH {TOKENS}, {STARTERS} SELECT type, n_both, round(score, 6) AS score FROM ts WHERE score >= 30"
-ORACLES["sentence_split_learned"] = rf"""WITH {TOKENS}, {STARTERS},
-  st AS (SELECT type FROM ts WHERE score >= 30 ORDER BY score DESC, type LIMIT 5000),
+ORACLES["abbreviations"] = f"WITH {tokens(' ORDER BY score DESC, type LIMIT 5000')} SELECT type, n_stop, n_plain, round(score, 6) AS score FROM ta WHERE score >= 0.3"
+ORACLES["sentence_starters"] = f"WITH {tokens()}, {STARTERS} SELECT type, n_both, round(score, 6) AS score FROM ts WHERE score >= 30"
+ORACLES["sentence_split_learned"] = rf"""WITH {tokens()}, {STARTERS},
+  st AS (SELECT type FROM ts WHERE score >= 30),
   co AS (SELECT previous, type FROM (SELECT f.previous, f.type, {ratio_score('f.n_both', 'p.n', '(c.n_stop + c.n_plain)::DOUBLE', 'tt.tokens')} AS score
       FROM tf f JOIN (SELECT previous, sum(n_both) AS n FROM tf GROUP BY previous) p ON p.previous = f.previous JOIN tc c ON c.type = f.type, tt)
-    WHERE score >= 7.88 AND type NOT IN (SELECT type FROM st) ORDER BY score DESC, previous, type LIMIT 5000),
+    WHERE score >= 7.88 AND type NOT IN (SELECT type FROM st)),
   pa AS (SELECT row_number() OVER () AS r, doc_id, {sents("translate(text, chr(1), ' ')")} AS s FROM documents),
   pb AS (SELECT r, doc_id, unnest(range(len(s))) AS i, unnest(s) AS part, unnest(list_concat(s[2:], [NULL])) AS following FROM pa),
   pc AS (SELECT *, regexp_extract(part, '[^ \n\t\r]+$') AS token, regexp_extract(following, '^[^ \n\t\r]+') AS after FROM pb),

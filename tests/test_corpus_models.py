@@ -328,3 +328,40 @@ def test_types_are_found_once_a_token(spark):
     assert got == {t: (counts[t, True], counts[t, False]) for t, _ in counts if t}
     after = boundaries.follow_counts(boundaries.end_rows(df, "text"), ["dr"]).collect()
     assert {(r["previous"], r["type"]): r["n_both"] for r in after} == ends and len(after) == len(ends)
+
+
+SPLIT = ["He met Dr. Miller today. The cell grows.", "It was J. Weber. It is late.", "On the 3. Mai it rained. It is late!", "He had 3. The bank is full.",
+         "Animals, e.g. fish, swim.  The end", "Really?! Yes. ok. no", "Wait... Dr. \n Kovac", "Vitamin C. the", "\x01 Aha. Box\x01", "", None, " \n", "One"]
+
+
+@pytest.mark.parametrize("listed", [0, 1])
+def test_no_entry_is_lost_to_a_long_list(spark, listed):
+    """Lists with more entries than literals may have stay whole and split as literals do, repeated rows and empty texts included."""
+    learning_texts = [
+        f"Dr. {name} met J. {name} on the {i % 29 + 1}. Mai, e.g. at home. The bank is full. It is late. The full bank is near water and late. "
+        "The water near home is full of late fish. It is full here. The home of late rain grows near water. The sun is red."
+        for i in range(50) for name in NAMES]
+    learned = boundaries.Boundaries.fit(table(spark, learning_texts), "text")
+    model = boundaries.Boundaries.fit(table(spark, learning_texts), "text", listed=listed)
+    assert not model.in_literals
+    for got, want in zip((model.abbreviations, model.collocations, model.starters), (learned.abbreviations, learned.collocations, learned.starters)):
+        rows = [tuple(r) if len(r) > 1 else r[0] for r in got.collect()] if not isinstance(got, tuple) else got
+        assert sorted(rows) == sorted(want) and len(want) > 1
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(SPLIT * 2 + learning_texts[:40])] + [(0, SPLIT[0])], "i int, text string")
+    whole, other = (sorted(map(tuple, boundaries.split_rows(texts, "text", "i", model=m).collect())) for m in (learned, model))
+    assert whole == other and any(s == "Dr. Kovac" for _, _, s in other)
+    with pytest.raises(ValueError):
+        model.split(F.col("text"))
+
+
+def test_long_list_of_abbreviations_counts_what_follows(spark):
+    rows = boundaries.end_rows(table(spark, ["Dr. Foo ran. No. Go e.g. fish. a. B 3. c x? Dr. Foo"]), "text")
+    short = ["dr", "e.g"]
+    listed = spark.createDataFrame([(t,) for t in short], "type string")
+    as_rows = lambda a: sorted(map(str, boundaries.follow_counts(rows, a).collect()))
+    assert as_rows(listed) == as_rows(short) != as_rows([])
+
+
+def test_sql_keeps_all_entries():
+    from readgauge.plans.oracles import ORACLES
+    assert "LIMIT" not in ORACLES["sentence_starters"] + ORACLES["sentence_split_learned"]
