@@ -4,7 +4,8 @@ The score of a labelling adds, for each sentence, its label's weights of the sen
 number) and, for neighbours, the weight of the two labels in that order, with weights for the first and last label. Training
 minimises the negative log-likelihood plus half ``penalty`` times the squared weights by L-BFGS. Each evaluation is one pass over the
 stored chains: tasks run forward-backward on their chains and add up loss and gradient, whose size depends on ``buckets`` and the
-number of labels only. Prediction takes the best labelling of each chain (Viterbi).
+number of labels only. All labelled sentences are trained on unless ``most`` is given; where there are many tasks, their sums are added up by
+other tasks first, so that the driver gets few of them. Prediction takes the best labelling of each chain (Viterbi).
 
 Sentences in rows of their own, ``(chain, position, text)``, are gathered in stretches of ``STRETCH`` positions, so a chain with a large
 part of all rows spreads over many tasks; each stretch is a chain to the model. Sentences of one text in one row stay there
@@ -16,9 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +33,11 @@ from ..session import scratch_path
 BUCKETS = 1 << 15
 STRETCH = 256
 CELLS = 1 << 16
-TRAIN_SENTENCES = 50_000
-TASKS = 64
+LIKE = 1.5
+SLICE = 50_000
+TINY = 1e-200  # far above what a double can hold, so that products of two are no zeros
+SUMS = 16
+SUM_SCHEMA = "part long, loss double, g binary"
 
 
 def features(text: Column, buckets: int = BUCKETS) -> Column:
@@ -75,7 +81,7 @@ def padded(scores: np.ndarray, chains: np.ndarray):
     low = 0
     while low < len(order):
         high = low + 1
-        while high < len(order) and (high + 1 - low) * sizes[order[high]] <= CELLS:
+        while high < len(order) and (high + 1 - low) * sizes[order[high]] <= CELLS and sizes[order[high]] <= LIKE * sizes[order[low]] + 2:
             high += 1
         own = order[low:high]
         place = np.arange(sizes[own].max())
@@ -85,7 +91,42 @@ def padded(scores: np.ndarray, chains: np.ndarray):
 
 
 def forward_backward(x: np.ndarray, sizes: np.ndarray, moves: np.ndarray, first: np.ndarray, last: np.ndarray):
-    """Of padded scores: log of the sum over all labellings, label probabilities, expected moves summed over places."""
+    """Of padded scores: log of the sum over all labellings, label probabilities, expected moves summed over places.
+
+    Probabilities are scaled at each place, so there is one exponential a label and none a pair; scores too far apart for that are added as logarithms.
+    """
+    n, length, k = x.shape
+    shift = moves.max()
+    tops = x.max(axis=2)
+    e, m = np.exp(x - tops[:, :, None]), np.exp(moves - shift)
+    ending = np.exp(last - last.max())
+    places = np.arange(length) < sizes[:, None]
+    alpha, beta, scale = np.empty_like(x), np.empty_like(x), np.ones((n, length))
+    alpha[:, 0] = np.exp(first - first.max()) * e[:, 0]
+    scale[:, 0] = alpha[:, 0].sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        alpha[:, 0] /= scale[:, 0, None]
+        for t in range(1, length):
+            going = places[:, t]
+            step = (alpha[:, t - 1] @ m) * e[:, t]
+            scale[:, t] = np.where(going, step.sum(axis=1), 1.0)
+            alpha[:, t] = np.where(going[:, None], step / scale[:, t, None], alpha[:, t - 1])
+        ends = alpha[:, -1] @ ending
+        if not (scale.min() > TINY and ends.min() > TINY):  # also where one is not a number
+            return _log_forward_backward(x, sizes, moves, first, last)
+        beta[:, -1] = ending / ends[:, None]
+        expected = np.zeros((k, k))
+        for t in range(length - 2, -1, -1):
+            going = places[:, t + 1]
+            ahead = e[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]
+            beta[:, t] = np.where(going[:, None], ahead @ m.T, beta[:, t + 1])
+            expected += alpha[going, t].T @ ahead[going]
+    total = (np.log(scale) + np.where(places, tops, 0.0)).sum(axis=1) + np.log(ends) + (sizes - 1) * shift + first.max() + last.max()
+    return total, alpha * beta, expected * m
+
+
+def _log_forward_backward(x: np.ndarray, sizes: np.ndarray, moves: np.ndarray, first: np.ndarray, last: np.ndarray):
+    """The same as sums of logarithms, for scores of any range."""
     n, length, k = x.shape
     alpha, beta = np.empty_like(x), np.empty_like(x)
     alpha[:, 0] = first + x[:, 0]
@@ -217,6 +258,16 @@ def _arrays(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sentences.flatten().to_numpy().astype(np.int64), begins, chains
 
 
+def _sliced(batch, column: str):
+    """Parts of a batch of at most about ``SLICE`` sentences: many chains at once, so that those of like length meet."""
+    upto = np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy())
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + SLICE, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 @dataclass(frozen=True)
 class RoleChain:
     params: Params
@@ -224,8 +275,8 @@ class RoleChain:
 
     @classmethod
     def fit(cls, sentences: DataFrame, chain: str, position: str, text: str, label: str, buckets: int = BUCKETS, penalty: float = 0.1,
-            passes: int = 60, most: int = TRAIN_SENTENCES) -> RoleChain:
-        """Labels are in the order of their names. About ``most`` sentences at most are trained on, whole chains chosen by hash."""
+            passes: int = 60, most: int | None = None) -> RoleChain:
+        """Labels are in the order of their names. All sentences are trained on; with ``most`` about so many, whole stretches chosen by hash."""
         spark = sentences.sparkSession
         known = sentences.filter(F.col(label).isNotNull())
         each = {r[0]: r[1] for r in known.groupBy(label).agg(F.count("*")).collect()}
@@ -233,30 +284,43 @@ class RoleChain:
         if not labels:
             raise ValueError("no labelled sentences")
         n = sum(each.values())
-        if n > most:
+        if most is not None and n > most:
             known = known.filter(F.pmod(F.xxhash64(chain, F.floor(F.col(position) / STRETCH)), F.lit(1 << 20)) < int((1 << 20) * most / n))
         number = F.coalesce(*[F.when(F.col(label) == x, F.lit(i)) for i, x in enumerate(labels)])
         path = scratch_path(spark, "chains")
         gathered = stretches(known, chain, position, number.alias("y"), features(F.col(text), buckets).alias("f"))
         gathered.select(F.col("_s.f").alias("f"), F.col("_s.y").alias("y")).write.parquet(path)
-        rows = spark.read.parquet(path).coalesce(TASKS)  # of a bounded sample
+        rows = spark.read.parquet(path)
+        n_tasks = rows.rdd.getNumPartitions()
+        sums = max(SUMS, isqrt(n_tasks))
         start = Params.zeros(buckets, len(labels))
+        size = len(start.flat)
+
+        def add_up(batches):
+            """In the order of the tasks that made them, whichever comes first."""
+            parts = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda r: r["part"])
+            loss, gradient = 0.0, np.zeros(size)
+            for r in parts:
+                loss, gradient = loss + r["loss"], gradient + np.frombuffer(r["g"])
+            if parts:
+                yield pa.RecordBatch.from_pydict({"part": [parts[0]["part"]], "loss": [loss], "g": [gradient.tobytes()]})
 
         def evaluate(flat):
             given = spark.sparkContext.broadcast(Params(flat, buckets, len(labels)))
 
             def add(batches):
-                loss, gradient = 0.0, np.zeros(len(flat))
+                loss, gradient = 0.0, np.zeros(size)
                 for batch in batches:
-                    for low in range(0, batch.num_rows, 200):
-                        part = batch.slice(low, 200)
+                    for part in _sliced(batch, "f"):
                         own, change = loss_and_gradient(given.value, *_arrays(part.column("f")), part.column("y").flatten().to_numpy())
                         loss, gradient = loss + own, gradient + change
-                yield pa.RecordBatch.from_pydict({"loss": [loss], "g": [gradient.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "loss": [loss], "g": [gradient.tobytes()]})
 
-            parts = rows.mapInArrow(add, "loss double, g binary")
+            parts = rows.mapInArrow(add, SUM_SCHEMA)
+            if n_tasks > sums:
+                parts = parts.repartition(sums, F.floor(F.col("part") * sums / n_tasks)).mapInArrow(add_up, SUM_SCHEMA)
             loss, gradient = 0.5 * penalty * flat @ flat, penalty * flat
-            for part in parts.collect():
+            for part in sorted(parts.collect(), key=lambda r: r["part"]):
                 loss, gradient = loss + part["loss"], gradient + np.frombuffer(part["g"])
             given.unpersist()
             return loss, gradient
@@ -282,8 +346,7 @@ class RoleChain:
             model = given.value
             words = pa.array(model.labels, pa.string())
             for batch in batches:
-                for low in range(0, batch.num_rows, 200):
-                    part = batch.slice(low, 200)
+                for part in _sliced(batch, feature_arrays):
                     found, begins, chains = _arrays(part.column(feature_arrays))
                     best = words.take(pa.array(best_labels(model.params, found, begins, chains)))
                     roles = pa.ListArray.from_arrays(pa.array(chains, pa.int32()), best)

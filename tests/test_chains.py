@@ -1,5 +1,6 @@
 """The conditional random field against enumeration of all labellings, numerical gradients and an order-only task."""
 
+import math
 from itertools import product
 
 import numpy as np
@@ -129,3 +130,30 @@ def test_ratios_feed_the_feature_table(spark):
     assert [table["p"][f"abstract_{r}_ratio"] for r in lexicon.ROLES] == [pytest.approx(0.2)] * 5
     assert sum(table["p"][f"summary_{r}_ratio"] for r in lexicon.ROLES) == pytest.approx(1)
     assert all(table["q"][f"{s}_{r}_ratio"] == 0 for s in ("abstract", "summary") for r in lexicon.ROLES)
+
+
+def test_all_sentences_are_trained_on(spark, monkeypatch):
+    """Without weights a sentence loses ln of the number of labels, so the first loss tells how many there are; sums of sums are the same."""
+    rows = spark.range(60_000, numPartitions=4).selectExpr(
+        "CAST(id / 7 AS INT) AS c", "CAST(id % 7 AS INT) AS t", "concat('w', id % 50) AS s", "concat('l', id % 3) AS y")
+    first = {}
+    monkeypatch.setattr(chains, "lbfgs", lambda evaluate, flat, passes: first.setdefault(chains.SUMS, evaluate(flat)) and flat)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        for sums in (16, 1):
+            monkeypatch.setattr(chains, "SUMS", sums)
+            chains.RoleChain.fit(rows, "c", "t", "s", "y", buckets=64)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert first[16][0] == pytest.approx(60_000 * math.log(3)) == first[1][0]
+    assert np.allclose(first[16][1], first[1][1])
+
+
+@pytest.mark.parametrize("spread", [1.0, 30.0, 900.0])
+def test_scaled_sums_equal_sums_of_logarithms(spread):
+    rng = np.random.default_rng(8)
+    sizes = np.sort(rng.integers(1, 12, 20))
+    x = np.where(np.arange(11) < sizes[:, None], 1, 0)[:, :sizes.max(), None] * rng.normal(size=(20, sizes.max(), 4)) * spread
+    rest = (rng.normal(size=(4, 4)) * spread, rng.normal(size=4) * spread, rng.normal(size=4) * spread)
+    for got, want in zip(chains.forward_backward(x, sizes, *rest), chains._log_forward_backward(x, sizes, *rest)):
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
