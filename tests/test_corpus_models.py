@@ -73,6 +73,24 @@ def test_triples_stay_in_the_buckets_of_their_middle_word(spark):
     assert [got[i] for i in range(len(SCORED))] == [pytest.approx(by_hand.ppl(t)) for t in SCORED]
 
 
+def test_known_texts_are_scored_without_sorting_them(spark):
+    """Counts lie beside the occurrences, so only small tables are joined; null and repeated keys are those of one text."""
+    texts = [(1, TRAIN[0]), (1, TRAIN[1]), (None, TRAIN[-1]), (2, None), (3, TRAIN[0]), (None, TRAIN[0])]
+    df, by_hand = spark.createDataFrame(texts, "i int, text string").repartition(3), Model([t for _, t in texts if t])
+    found = KneserNey.fit(df, "text", keys=["i"])
+    scored = found.score(df, "text", ["i"], known=True)
+    plan = scored._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in plan and "Sort [" not in plan
+    got = {r["i"]: r["ppl"] for r in scored.collect()}
+    for key in (1, None, 3):
+        nll = [(math.log(by_hand.ppl(t)), len(re.findall(r"\w+", t))) for k, t in texts if k == key and t]
+        assert math.log(got[key]) == pytest.approx(sum(x * n for x, n in nll) / sum(n for _, n in nll))
+    assert got[2] is None and len(got) == 4
+    plain = KneserNey.fit(df, "text")
+    assert (found.n_words, found.n_pairs, found.triple_discounts, found.pair_discounts) == (
+        plain.n_words, plain.n_pairs, plain.triple_discounts, plain.pair_discounts)
+
+
 @pytest.mark.parametrize("context", [("the", "cell"), ("<1>", "<2>"), ("cell", "cell"), ("new", "words"), ("b", "c")])
 def test_probabilities_of_a_context_add_up(context):
     by_hand = Model(TRAIN)
