@@ -11,7 +11,7 @@ them up for any texts. Two measures come out:
 
 Scoring looks each distinct pair up once, gives it its value, and joins the values to the occurrences, all by 64-bit hashes of
 words or of pairs of them; an occurrence moves as its text's keys and one hash. These are shuffle joins, which adaptive execution
-splits where one is frequent. The words, if there are at most ``BROADCAST_WORDS``, are sent to the tasks instead, so that occurrences of
+splits where one is frequent. For the texts of the training corpus the words, if there are at most ``BROADCAST_WORDS``, are sent to the tasks instead, so that occurrences of
 single words do not move.
 """
 
@@ -109,8 +109,9 @@ class CorpusModel:
         words = spark.read.parquet(f"{path}/words").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         return cls(path, words[0], words[1])
 
-    def _by_word(self, table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if self.n_words <= BROADCAST_WORDS else table
+    def _by_word(self, table: DataFrame, known: bool) -> DataFrame:
+        """For the training corpus a table of its words is sent if they are few; for other texts its size at run time decides."""
+        return F.broadcast(table) if known and self.n_words <= BROADCAST_WORDS else table
 
     def words(self, spark: SparkSession) -> DataFrame:
         """``(w, nll)``: hash and surprisal of the content words."""
@@ -127,7 +128,7 @@ class CorpusModel:
         zero = F.lit(0).cast("long")
         context = F.log((F.coalesce("n_followed", zero) + F.lit(max(self.n_words, 1))).cast("double"))
         value = context - F.log((F.coalesce("n", zero) + 1).cast("double"))
-        return found.join(self._by_word(followed), "v", "left").select("h", value.alias("nll"))
+        return found.join(self._by_word(followed, pairs is None), "v", "left").select("h", value.alias("nll"))
 
     def score(self, df: DataFrame, text: str, keys, cwe: bool = True, ppl: bool = True, known: bool = False) -> DataFrame:
         """``(keys…, cwe, ppl)`` for every row of ``df``; ``keys`` tell the texts apart.
@@ -139,7 +140,7 @@ class CorpusModel:
         parts = [df.select(*keys, zero.alias("nll"), F.lit(0).cast("long").alias("known_content"), zero.alias("pair_nll"),
                            F.lit(0).cast("long").alias("n_pairs"))]
         if cwe:
-            rows = _content_hashes(df, text, *keys).join(self._by_word(self.words(spark)), "w")
+            rows = _content_hashes(df, text, *keys).join(self._by_word(self.words(spark), known), "w")
             parts.append(rows.select(*keys, "nll", one.alias("known_content")))
         if ppl:
             rows = _pair_hashes(df, text, *keys)
